@@ -31,7 +31,7 @@ def ratio(numerator: str | Column, denominator: str | Column) -> Column:
 
 def elapsed(end: str | Column, start: str | Column, unit: str = "second") -> Column:
     """Elapsed time ``end - start`` in ``unit`` as a double (``extract(epoch)`` / unit)."""
-    micros = F.timestampdiff("MICROSECOND", col(start), col(end))
+    micros = F.timestamp_diff("MICROSECOND", col(start), col(end))
     return micros.cast("double") / float(_MICROS[unit])
 
 

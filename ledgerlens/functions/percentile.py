@@ -134,3 +134,19 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
         c = left[k].eqNullSafe(renamed[f"_r{i}"])
         cond = c if cond is None else cond & c
     return left.join(renamed, cond, "inner").drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def attach(left: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-group ``stats`` onto ``left`` by ``keys`` with GROUP BY
+    semantics (NULL key matches NULL key).
+
+    The right side's keys are re-aliased first, so the join is unambiguous
+    even when both sides derive from the same DataFrame.
+    """
+    keys = list(keys)
+    right = stats.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], *[c for c in stats.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = left[k].eqNullSafe(right[f"_a{i}"])
+        cond = c if cond is None else cond & c
+    return left.join(right, cond, how).drop(*[f"_a{i}" for i in range(len(keys))])
