@@ -517,4 +517,6 @@ FROM calc GROUP BY trial_week
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import quality_sql  # noqa: F401  (registers the D and R keys)
+
     return {k: with_roles(v) for k, v in SQL.items()}

@@ -144,7 +144,12 @@ FROM (SELECT * FROM trial_base
       SELECT trial_id + 1000000000, account_id, started_at - INTERVAL 30 DAY, first_conv, conv_id
       FROM trial_base WHERE account_id % 10 = 0) t""",
     ),
-    ("features", "SELECT DISTINCT p_type AS feature_id, lower(p_type) AS feature_name, 'core' AS category FROM part"),
+    (
+        "features",
+        """SELECT DISTINCT p_type AS feature_id, lower(p_type) AS feature_name, 'core' AS category FROM part
+UNION
+SELECT DISTINCT event_type, event_type, 'telemetry' FROM events""",
+    ),
     (
         "feature_events",
         """SELECT o_custkey AS user_id, o_custkey AS account_id,

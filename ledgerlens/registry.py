@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import ecom, saas
+from .operators import checks, ecom, quality, saas
 from .session import tune
 from .sources.roles import ECOM_SINCE, SAAS_AS_OF, Roles
 from .sources.tables import Tables
@@ -80,3 +80,66 @@ QUERIES: dict[str, Query] = {
     "revenue_retention_strict": _s3(True),
     "feature_adoption_strict": _s4(True),
 }
+
+
+# ----------------------------------------------------------- data quality
+def _soft_fk_pairs(r: Roles):
+    """The soft foreign keys of the schema notes that exist in the role data
+    (tables without data - seats, invoices, payment attempts, tickets,
+    experiments - are not listed)."""
+    return [
+        ("accounts", r.accounts, "account_id", "users", r.users, "account_id"),
+        ("accounts", r.accounts, "account_id", "subscriptions", r.subscriptions, "account_id"),
+        ("accounts", r.accounts, "account_id", "subscription_events", r.subscription_events, "account_id"),
+        ("accounts", r.accounts, "account_id", "trials", r.trials, "account_id"),
+        ("accounts", r.accounts, "account_id", "events", r.telemetry, "account_id"),
+        ("subscriptions", r.subscriptions, "subscription_id", "subscription_events", r.subscription_events, "subscription_id"),
+        ("plans", r.plans, "plan_id", "subscriptions", r.subscriptions, "plan_id"),
+        ("users", r.users, "user_id", "events", r.telemetry, "user_id"),
+        ("features", r.features, "feature_id", "events", r.telemetry, "feature_id"),
+        ("subscriptions", r.subscriptions, "subscription_id", "trials", r.trials, "converted_subscription_id"),
+    ]
+
+
+def _r(fn):
+    return lambda s, d: fn(roles(s, d))
+
+
+QUERIES.update(
+    {
+        "subscription_grain": _r(lambda r: quality.subscription_grain(r.subscriptions, r.accounts)),
+        "mrr_price_check": _r(lambda r: quality.mrr_price_check(r.subscriptions, r.plans, r.accounts)),
+        "status_counts": _r(lambda r: quality.status_counts(r.subscriptions)),
+        "trial_state": _r(lambda r: quality.trial_state(r.trials, r.subscriptions)),
+        "plan_id_backfill": _r(lambda r: quality.plan_id_backfill(r.subscriptions, r.plans)),
+        "future_dated_events": _r(lambda r: quality.future_dated_events(r.subscription_events, as_of=SAAS_AS_OF)),
+        "cancellation_reasons": _r(lambda r: quality.cancellation_reasons(r.subscriptions)),
+        "unattributed_events": _r(lambda r: quality.unattributed_events(r.telemetry, r.users)),
+        "subs_per_account": _r(lambda r: quality.subs_per_account(r.accounts, r.subscriptions)),
+        "soft_fk_check": _r(lambda r: quality.soft_fk_check(_soft_fk_pairs(r))),
+        "feature_id_coverage": _r(lambda r: quality.feature_id_coverage(r.telemetry, r.features)),
+        "flag_domain": _r(lambda r: quality.flag_domain(r.users)),
+        "signups": _r(lambda r: quality.signups(r.users, r.accounts)),
+    }
+)
+
+
+# ----------------------------------------------------------- reconciliation
+QUERIES.update(
+    {
+        "check_activation": lambda s, d: checks.check_activation(QUERIES["activation_curve"](s, d)),
+        "check_funnel": lambda s, d: checks.check_funnel(QUERIES["checkout_funnel"](s, d)),
+        "check_retention_gap": lambda s, d: checks.check_retention_gap(QUERIES["cohort_retention"](s, d)),
+        "check_engagement": lambda s, d: checks.check_engagement(QUERIES["product_engagement"](s, d)),
+        "check_cart_total": lambda s, d: checks.check_cart_total(QUERIES["cart_abandonment"](s, d), roles(s, d).session_events),
+        "mrr_reconciliation": lambda s, d: checks.mrr_reconciliation(QUERIES["mrr_movements"](s, d), roles(s, d).subscriptions),
+        "duplicate_starts": _r(lambda r: checks.duplicate_starts(r.subscription_events)),
+        "check_trials": lambda s, d: checks.check_trials(QUERIES["trial_conversion"](s, d)),
+        "check_retention_identity": lambda s, d: checks.check_retention_identity(QUERIES["revenue_retention"](s, d)),
+        "check_adoption": lambda s, d: checks.check_adoption(QUERIES["feature_adoption"](s, d), roles(s, d).accounts, as_of=SAAS_AS_OF),
+        "check_fanout": _r(lambda r: checks.check_fanout(r.accounts, r.subscriptions, as_of=SAAS_AS_OF)),
+        "expansion_reconciliation": lambda s, d: checks.expansion_reconciliation(
+            QUERIES["expansion_revenue"](s, d), QUERIES["mrr_movements"](s, d), as_of=SAAS_AS_OF
+        ),
+    }
+)

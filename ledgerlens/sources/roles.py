@@ -300,12 +300,19 @@ class Roles:
 
     @property
     def features(self) -> DataFrame:
-        return self._get(
-            "features",
-            lambda: self.t.part.select(
+        """Feature catalog: part types (used in orders) and the telemetry event
+        vocabulary (never in orders, so these features have no adopters)."""
+
+        def build():
+            from_parts = self.t.part.select(
                 F.col("p_type").alias("feature_id"), F.lower("p_type").alias("feature_name"), F.lit("core").alias("category")
-            ).distinct(),
-        )
+            )
+            from_events = self.t.events.select(
+                F.col("event_type").alias("feature_id"), F.col("event_type").alias("feature_name"), F.lit("telemetry").alias("category")
+            )
+            return from_parts.unionByName(from_events).distinct()
+
+        return self._get("features", build)
 
     @property
     def feature_events(self) -> DataFrame:
