@@ -102,3 +102,10 @@ def bucket_ordinal(label: str | Column, labels: Sequence[str]) -> Column:
     for i, name in enumerate(labels, start=1):
         expr = F.when(c == name, F.lit(i)) if expr is None else expr.when(c == name, F.lit(i))
     return expr
+
+
+def with_scalars(df, one_row):
+    """Append the columns of a one-row frame (a global aggregate) to every row
+    of ``df`` as a scalar subquery: computed once, no join of any kind."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.select("*", *[packed.getField(c).alias(c) for c in one_row.columns])

@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+# Operators report percentiles to 9 decimals: below that, engines disagree in
+# the last bit of the interpolation.
+PERCENTILE_DIGITS = 9
 
 
 def percentile_cont(
@@ -34,16 +37,19 @@ def percentile_cont(
     value: str,
     percentiles: dict[str, float],
     accuracy: int = DEFAULT_ACCURACY,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per ``keys`` group.
 
     ``percentiles`` maps output column name -> fraction in [0, 1]. NULL values
     are ignored; groups without a non-NULL value are absent from the result
-    (callers left-join it to their group frame). Output columns are doubles.
+    (callers left-join it to their group frame). Output columns are doubles,
+    rounded to ``digits`` decimals when given (engines differ in the last bit
+    of the interpolation).
     """
     keys = list(keys)
     if not keys:  # one global group
-        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy)
+        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits)
         return out.drop("_g")
     names = list(percentiles)
     ps = [float(percentiles[n]) for n in names]
@@ -121,9 +127,8 @@ def percentile_cont(
             (F.col("_xlo") + (F.col("_h") - F.col("_klo")) * (F.col("_xhi") - F.col("_xlo"))).alias("_pv"),
         )
     )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_j") == j, F.col("_pv"))).alias(name) for j, name in enumerate(names)]
-    )
+    out = F.col("_pv") if digits is None else F.round("_pv", digits)
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, out)).alias(name) for j, name in enumerate(names)])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

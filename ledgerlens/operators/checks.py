@@ -14,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MONEY_SUM, month_start, months
+from ..functions.exprs import MONEY_SUM, month_start, months, with_scalars
 from .saas import REFERENCE_AS_OF, _ts
 
 
 def _one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pair two one-row frames (sizes fixed, so a broadcast join is safe)."""
-    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the one-row aggregate ``right`` to ``left`` (scalar subquery)."""
+    return with_scalars(left, right)
 
 
 # R1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
-from ..functions.percentile import attach, percentile_cont
+from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
 ACTIVATION_TYPES = ("add_to_cart", "begin_checkout", "purchase")
@@ -116,6 +116,7 @@ def activation_curve(
         ["signup_week"],
         "minutes_to_activation",
         {"median_minutes_to_activation": 0.5, "p90_minutes_to_activation": 0.9},
+        digits=PERCENTILE_DIGITS,
     )
     return attach(cohorts.select("*", ratio("activated_7d", "cohort_size").alias("activation_rate_7d")), pct, ["signup_week"]).orderBy(
         "signup_week"
@@ -244,7 +245,7 @@ def product_engagement(
             ratio("add_to_cart_sessions", "views").alias("atc_rate"),
         )
     )
-    medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5})
+    medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS)
     joined = attach(rates.where(F.col("category").isNotNull()), medians, ["category"], "inner")
     by_views = Window.orderBy(F.col("views").desc())
     by_rate = Window.orderBy(F.col("atc_rate").asc())

@@ -11,9 +11,10 @@ Scale notes that apply throughout:
   a struct for arg-min/arg-max), never windows partitioned by account: one
   account may hold a third of all rows.
 * Fact rows meet per-account facts through equi-joins on ``account_id``; AQE
-  broadcasts the per-account side when it is small at run time and splits a
-  hot key otherwise. Explicit ``broadcast`` is only used for frames whose size
-  is bounded by construction (one row).
+  broadcasts the per-account side when its measured size is under the
+  threshold at run time and otherwise sort-merge joins and splits a hot key.
+  No operator hints a broadcast: one-row totals are attached as scalar
+  subqueries, not joined.
 * Month- or cohort-grain outputs use windows without partition only after the
   data has been reduced to that grain.
 """
@@ -26,8 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start
-from ..functions.percentile import attach, percentile_cont
+from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
+from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 
 # Fixed values that must equal the reference's (event vocabulary and defaults).
 START_TYPES = ("subscription_started", "trial_converted")
@@ -162,7 +163,7 @@ def trial_conversion(
     aggs += [F.count_if(F.col("days_to_convert") <= n).alias(f"converted_by_{n}d") for n in conversion_days]
     cohorts = calc.groupBy("trial_week").agg(*aggs)
     rates = [ratio(f"converted_by_{n}d", "trials_started").alias(f"conv_rate_{n}d") for n in conversion_days]
-    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5})
+    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS)
     return attach(cohorts.select("*", *rates), med, ["trial_week"]).orderBy("trial_week")
 
 
@@ -352,7 +353,8 @@ def feature_adoption(
             F.count_if(F.col("nf") == F.col("k")).alias("adopted_all"),
         )
     )
-    # One-row totals: the size is fixed, so broadcasting it is safe at any scale.
+    # One-row totals attached as a scalar subquery (no join); without eligible
+    # accounts the reference's cross join yields no rows, and so does this.
     totals = retention.agg(F.count(F.lit(1)).alias("n_accounts"), F.sum("retained").alias("n_retained")).where(
         F.col("n_accounts") > 0
     )
@@ -363,7 +365,7 @@ def feature_adoption(
         F.coalesce("accounts_adopted", F.lit(0)).alias("accounts_adopted"),
         F.coalesce("adopted_all", F.lit(0)).alias("adopted_all"),
     )
-    joined = base.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one", "inner")
+    joined = with_scalars(base, totals).where(F.col("n_accounts").isNotNull())
     rest_rows = F.col("k") * F.col("n_accounts") - F.col("pairs")
     rest_ret = F.col("k") * F.col("n_retained") - F.col("pairs_retained")
     rate_adopted = ratio("pairs_retained", "pairs")
@@ -411,7 +413,7 @@ def expansion_revenue(
         F.count_distinct("account_id").alias("accounts_expanded"),
         F.sum("mrr_delta").cast(MONEY_SUM).alias("expansion_mrr_total"),
     )
-    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5})
+    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS)
     return attach(
         by_type.select("*", ratio("expansion_mrr_total", "accounts_expanded").alias("expansion_mrr_per_account")), med, ["expansion_type"]
     ).orderBy(F.col("expansion_mrr_total").desc_nulls_first())

@@ -54,8 +54,8 @@ SELECT signup_week,
        count(*) AS cohort_size,
        CAST(sum(activated) AS BIGINT) AS activated_7d,
        {ratio('sum(activated)', 'count(*)')} AS activation_rate_7d,
-       percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes) AS median_minutes_to_activation,
-       percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes) AS p90_minutes_to_activation
+       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes), 9) AS median_minutes_to_activation,
+       round(percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes), 9) AS p90_minutes_to_activation
 FROM flagged
 GROUP BY signup_week
 """
@@ -84,8 +84,8 @@ SELECT signup_week,
        count(*) AS cohort_size,
        CAST(sum(activated) AS BIGINT) AS activated_7d,
        {ratio('sum(activated)', 'count(*)')} AS activation_rate_7d,
-       percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes) AS median_minutes_to_activation,
-       percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes) AS p90_minutes_to_activation
+       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes), 9) AS median_minutes_to_activation,
+       round(percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes), 9) AS p90_minutes_to_activation
 FROM flagged
 GROUP BY signup_week
 """
@@ -192,7 +192,7 @@ WITH viewed AS (
          {ratio('coalesce(k.add_to_cart_sessions, 0)', 'w.views')} AS atc_rate
   FROM viewed w LEFT JOIN carted k ON w.product_id = k.product_id
 ), medians AS (
-  SELECT category, percentile_cont(0.5) WITHIN GROUP (ORDER BY atc_rate) AS median_rate
+  SELECT category, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY atc_rate), 9) AS median_rate
   FROM rates GROUP BY category
 )
 SELECT r.product_id, r.product_name, r.category, r.views, r.add_to_cart_sessions, r.atc_rate,
@@ -300,7 +300,7 @@ SELECT trial_week,
        count(*) AS trials_started,
        {", ".join(f"count(*) FILTER (WHERE days_to_convert <= {n}) AS converted_by_{n}d" for n in (14, 30, 60))},
        {", ".join(ratio(f"count(*) FILTER (WHERE days_to_convert <= {n})", "count(*)") + f" AS conv_rate_{n}d" for n in (14, 30, 60))},
-       percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert) AS median_days_trial_to_paid
+       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert), 9) AS median_days_trial_to_paid
 FROM calc GROUP BY trial_week
 """
 
@@ -435,7 +435,7 @@ SELECT expansion_type,
        count(DISTINCT account_id) AS accounts_expanded,
        {money("sum(mrr_delta)", "expansion_mrr_total")},
        {ratio("sum(mrr_delta)", "count(DISTINCT account_id)")} AS expansion_mrr_per_account,
-       percentile_cont(0.5) WITHIN GROUP (ORDER BY days_from_signup) AS median_days_from_signup_to_expansion
+       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_from_signup), 9) AS median_days_from_signup_to_expansion
 FROM with_signup GROUP BY expansion_type
 """
 
@@ -511,7 +511,7 @@ SELECT trial_week,
        count(*) AS trials_started,
        {", ".join(f"count(*) FILTER (WHERE days_to_convert <= {n}) AS converted_by_{n}d" for n in (14, 30, 60))},
        {", ".join(ratio(f"count(*) FILTER (WHERE days_to_convert <= {n})", "count(*)") + f" AS conv_rate_{n}d" for n in (14, 30, 60))},
-       percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert) AS median_days_trial_to_paid
+       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert), 9) AS median_days_trial_to_paid
 FROM calc GROUP BY trial_week
 """
 
