@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_ACCURACY = 100_000
 # Operators report percentiles to 9 decimals: below that, engines disagree in
 # the last bit of the interpolation.
@@ -38,6 +40,7 @@ def percentile_cont(
     percentiles: dict[str, float],
     accuracy: int = DEFAULT_ACCURACY,
     digits: int | None = None,
+    materialized: bool = False,
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per ``keys`` group.
 
@@ -46,10 +49,14 @@ def percentile_cont(
     (callers left-join it to their group frame). Output columns are doubles,
     rounded to ``digits`` decimals when given (engines differ in the last bit
     of the interpolation).
+
+    The values are read twice, so unless the caller says ``df`` is already
+    ``materialized`` (checkpointed) they are checkpointed first; the small
+    per-group bracket table is checkpointed too. Both are eager jobs.
     """
     keys = list(keys)
     if not keys:  # one global group
-        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits)
+        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits, materialized)
         return out.drop("_g")
     names = list(percentiles)
     ps = [float(percentiles[n]) for n in names]
@@ -59,6 +66,8 @@ def percentile_cont(
     exact_below = 2 * accuracy  # groups this small keep every value in the slice
 
     vals = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if not materialized:
+        vals = materialize(vals)
 
     probes = []
     for p in ps:
@@ -92,6 +101,7 @@ def percentile_cont(
         F.col("_t.lo").alias("_lo"),
         F.col("_t.hi").alias("_hi"),
     ).withColumn("_klo", F.floor("_h")).withColumn("_khi", F.ceil("_h"))
+    targets = materialize(targets)  # one row per group and percentile; read twice below
 
     # Pass 2: below-bracket values collapse into one counted row per target
     # (marker _below = 0 sorts first); in-bracket values are counted per value.

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
+from ..session import materialize
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
 ACTIVATION_TYPES = ("add_to_cart", "begin_checkout", "purchase")
@@ -103,10 +104,12 @@ def activation_curve(
         )
     fa = F.col("first_action_at")
     activated = fa.isNotNull() & (fa >= F.col("signup_at")) & (fa <= F.col("signup_at") + days(window_days))
-    calc = signups.join(first, "customer_id", "left").select(
-        "signup_week",
-        F.when(activated, F.lit(1)).otherwise(F.lit(0)).alias("activated"),
-        F.when(activated, elapsed(fa, "signup_at", "minute")).alias("minutes_to_activation"),
+    calc = materialize(
+        signups.join(first, "customer_id", "left").select(
+            "signup_week",
+            F.when(activated, F.lit(1)).otherwise(F.lit(0)).alias("activated"),
+            F.when(activated, elapsed(fa, "signup_at", "minute")).alias("minutes_to_activation"),
+        )
     )
     cohorts = calc.groupBy("signup_week").agg(
         F.count(F.lit(1)).alias("cohort_size"), F.sum("activated").cast("bigint").alias("activated_7d")
@@ -117,6 +120,7 @@ def activation_curve(
         "minutes_to_activation",
         {"median_minutes_to_activation": 0.5, "p90_minutes_to_activation": 0.9},
         digits=PERCENTILE_DIGITS,
+        materialized=True,
     )
     return attach(cohorts.select("*", ratio("activated_7d", "cohort_size").alias("activation_rate_7d")), pct, ["signup_week"]).orderBy(
         "signup_week"
@@ -233,7 +237,7 @@ def product_engagement(
         .agg(F.sum("views").alias("views"), F.count_distinct("cart_session").alias("add_to_cart_sessions"))
         .where(F.col("views") > 0)
     )
-    rates = (
+    rates = materialize(
         per_product.join(products.select("product_id", "product_name", "category_id"), "product_id", "inner")
         .join(categories.select("category_id", F.col("category_name").alias("category")), "category_id", "inner")
         .select(
@@ -245,7 +249,7 @@ def product_engagement(
             ratio("add_to_cart_sessions", "views").alias("atc_rate"),
         )
     )
-    medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS)
+    medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
     joined = attach(rates.where(F.col("category").isNotNull()), medians, ["category"], "inner")
     by_views = Window.orderBy(F.col("views").desc())
     by_rate = Window.orderBy(F.col("atc_rate").asc())

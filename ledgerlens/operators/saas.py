@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
+from ..session import materialize
 
 # Fixed values that must equal the reference's (event vocabulary and defaults).
 START_TYPES = ("subscription_started", "trial_converted")
@@ -158,12 +159,12 @@ def trial_conversion(
         F.col("first_conversion_at").isNotNull() & (F.col("first_conversion_at") >= F.col("started_at")),
         elapsed("first_conversion_at", "started_at", "day"),
     )
-    calc = joined.select(week_start("started_at").alias("trial_week"), days_to_convert.alias("days_to_convert"))
+    calc = materialize(joined.select(week_start("started_at").alias("trial_week"), days_to_convert.alias("days_to_convert")))
     aggs = [F.count(F.lit(1)).alias("trials_started")]
     aggs += [F.count_if(F.col("days_to_convert") <= n).alias(f"converted_by_{n}d") for n in conversion_days]
     cohorts = calc.groupBy("trial_week").agg(*aggs)
     rates = [ratio(f"converted_by_{n}d", "trials_started").alias(f"conv_rate_{n}d") for n in conversion_days]
-    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS)
+    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
     return attach(cohorts.select("*", *rates), med, ["trial_week"]).orderBy("trial_week")
 
 
@@ -405,15 +406,17 @@ def expansion_revenue(
         .when((etype == PLAN_CHANGED) & (delta > 0), F.lit("plan_upgrade"))
         .alias("expansion_type"),
     )
-    j = ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
-        "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
+    j = materialize(
+        ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
+            "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
+        )
     )
     by_type = j.groupBy("expansion_type").agg(
         F.count(F.lit(1)).alias("expansion_events"),
         F.count_distinct("account_id").alias("accounts_expanded"),
         F.sum("mrr_delta").cast(MONEY_SUM).alias("expansion_mrr_total"),
     )
-    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS)
+    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
     return attach(
         by_type.select("*", ratio("expansion_mrr_total", "accounts_expanded").alias("expansion_mrr_per_account")), med, ["expansion_type"]
     ).orderBy(F.col("expansion_mrr_total").desc_nulls_first())

@@ -71,3 +71,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialize(df):
+    """Cut the lineage of a reduced frame that is read more than once.
+
+    A reliable ``checkpoint`` writes it to the shared checkpoint folder, so
+    later passes read the written files instead of re-running the upstream
+    joins and aggregates, and a lost executor does not force a recompute of
+    that upstream either.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
