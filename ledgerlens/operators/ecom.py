@@ -14,11 +14,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
+from ..functions.ranking import global_rank
 from ..session import materialize
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
@@ -224,8 +225,9 @@ def product_engagement(
 
     Plan: one pass over the events pre-aggregates to (variant, cart session)
     before the variant join, so the join sees one row per variant and cart
-    session instead of one per event. Ranks are global windows over the
-    product-grain result.
+    session instead of one per event. The two catalogue-wide ranks use
+    ``global_rank`` (range partitions plus offsets), not a single-partition
+    window.
     """
     ev = events.where(F.col("event_type").isin(VIEW, ADD_TO_CART) & F.col("variant_id").isNotNull())
     pre = ev.groupBy("variant_id", F.when(F.col("event_type") == ADD_TO_CART, F.col("session_id")).alias("cart_session")).agg(
@@ -251,9 +253,8 @@ def product_engagement(
     )
     medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
     joined = attach(rates.where(F.col("category").isNotNull()), medians, ["category"], "inner")
-    by_views = Window.orderBy(F.col("views").desc())
-    by_rate = Window.orderBy(F.col("atc_rate").asc())
-    return joined.select(
+    ranked = global_rank(global_rank(joined, "views", "views_rank", ascending=False), "atc_rate", "atc_rate_rank", ascending=True)
+    return ranked.select(
         "product_id",
         "product_name",
         "category",
@@ -261,8 +262,8 @@ def product_engagement(
         "add_to_cart_sessions",
         "atc_rate",
         (F.col("atc_rate") - F.col("category_median_atc_rate")).alias("atc_rate_vs_category_median"),
-        F.rank().over(by_views).cast("bigint").alias("views_rank"),
-        F.rank().over(by_rate).cast("bigint").alias("atc_rate_rank"),
+        "views_rank",
+        "atc_rate_rank",
     ).orderBy(F.col("views").desc())
 
 
