@@ -152,9 +152,14 @@ def checkout_funnel(
         code = F.when(cond, F.lit(i)) if code is None else code.when(cond, F.lit(i))
     step_types = [etype for etype, _ in steps]
     reached = events.where(F.col("event_type").isin(*step_types)).groupBy("session_id").agg(F.max(code).alias("max_step"))
+    # Join first, then collapse duplicate (session, channel) tags: the join is
+    # hash-partitioned on session_id, which already satisfies the grouping on
+    # (session_id, channel), so de-duplicating costs no extra shuffle.
     tagged = (
         reached.join(sessions.select("session_id"), "session_id", "left_semi")
-        .join(session_channels.select("session_id", "channel").distinct(), "session_id", "inner")
+        .join(session_channels.select("session_id", "channel"), "session_id", "inner")
+        .groupBy("session_id", "channel")
+        .agg(F.max("max_step").alias("max_step"))
     )
     counts = tagged.groupBy("channel").agg(
         *[F.count_if(F.col("max_step") >= i).alias(name) for i, name in enumerate(names, start=1)]

@@ -39,7 +39,7 @@ FROM priced GROUP BY account_type
 """
 
 SQL["status_counts"] = """
-SELECT status, count(*) AS subscriptions, sum(count(*)) OVER () AS total_subscriptions
+SELECT status, count(*) AS subscriptions, CAST(sum(count(*)) OVER () AS BIGINT) AS total_subscriptions
 FROM subscriptions GROUP BY status
 """
 

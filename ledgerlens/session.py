@@ -2,8 +2,10 @@
 
 The operators only use the DataFrame API, so they run on any session. These
 settings are what they are tuned for on a cluster: adaptive execution (runtime
-broadcast of small sides, skew-join splitting, partition coalescing), UTC as
-session zone, and a checkpoint folder taken from the cluster when it names one.
+broadcast of small sides, skew-join splitting, partition coalescing) and a
+checkpoint folder taken from the cluster when it names one. Timestamps are
+handled as ``timestamp_ntz`` wall clock, so no operator depends on the session
+time zone.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ SCALE_DEFAULTS = {
     # key: the aggregate then gets its own exchange with a map-side partial
     # aggregation, instead of one task holding a third of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -65,6 +66,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
+        # remove checkpoint files once the checkpointed frame is garbage collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SCALE_DEFAULTS.items():
         builder = builder.config(key, value)

@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analytics reproduced here are batch queries over event logs and
+snapshots; none of them keeps state across micro-batches, uses watermarks or
+session windows, so this package defines no streaming operator. Every
+operator takes plain DataFrames, so a caller can run one per micro-batch from
+``writeStream.foreachBatch`` over a stream of subscription or session events
+without any change.
+"""
