@@ -6,7 +6,7 @@ Runs each operator over the role views of ``$BENCH_SF_DIR`` (default
 
 Each query is fully executed into Spark's ``noop`` sink (all stages run, no
 rows are brought to the driver). Every query runs ``$BENCH_REPEAT`` times
-(default 2) after one warm-up of the session; the best time is reported.
+(default 3) after one warm-up of the session; the best time is reported.
 ``BENCH_KEYS=all`` times every registry key instead of the headline set.
 """
 
@@ -43,7 +43,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     keys = list(QUERIES) if os.environ.get("BENCH_KEYS") == "all" else HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="ledgerlens-bench")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
+from ..functions.joins import salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..functions.ranking import global_rank
 from ..session import materialize
@@ -57,10 +58,10 @@ def _signups(customers: DataFrame, since: dt.date) -> DataFrame:
 
 def _customer_events(events: DataFrame, sessions: DataFrame, types: Sequence[str]) -> DataFrame:
     """Events of ``types`` with their customer (sessions without one dropped)."""
-    return (
-        events.where(F.col("event_type").isin(*types))
-        .select("session_id", "occurred_at")
-        .join(sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()), "session_id", "inner")
+    return salted_join(
+        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"),
+        sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
+        "session_id",
     )
 
 
@@ -97,8 +98,7 @@ def activation_curve(
         )
     else:
         first = (
-            _customer_events(events, sessions, types)
-            .join(signups.select("customer_id", "signup_at"), "customer_id", "inner")
+            salted_join(_customer_events(events, sessions, types), signups.select("customer_id", "signup_at"), "customer_id")
             .where(F.col("occurred_at") >= F.col("signup_at"))
             .groupBy("customer_id")
             .agg(F.min("occurred_at").alias("first_action_at"))
@@ -191,7 +191,7 @@ def cohort_retention(
     plain sums per cohort.
     """
     signups = _signups(customers, since).withColumnRenamed("signup_week", "cohort_week")
-    act = _customer_events(events, sessions, types).join(signups.select("customer_id", "signup_at"), "customer_id", "inner")
+    act = salted_join(_customer_events(events, sessions, types), signups.select("customer_id", "signup_at"), "customer_id")
     week_index = F.greatest(F.floor(elapsed("occurred_at", "signup_at", "second") / 604800.0), F.lit(0))
     if strict:
         week_index = F.floor(elapsed("occurred_at", "signup_at", "second") / 604800.0)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY, MONEY_SUM, normalize_plan, ratio
+from ..functions.joins import salted_join
 from .saas import REFERENCE_AS_OF, _ts
 
 NO_REASON = "no reason given"
@@ -22,9 +23,12 @@ UNATTRIBUTED = "unattributed"
 
 
 def _with_marker(child: DataFrame, parent_keys: DataFrame, child_key: str, parent_key: str, marker: str) -> DataFrame:
-    """``child`` plus a boolean ``marker``: its key exists among ``parent_keys``."""
-    keys = parent_keys.select(F.col(parent_key).alias("_pk")).where(F.col("_pk").isNotNull()).distinct().withColumn(marker, F.lit(True))
-    return child.join(keys, child[child_key] == keys["_pk"], "left").drop("_pk").withColumn(marker, F.coalesce(F.col(marker), F.lit(False)))
+    """``child`` plus a boolean ``marker``: its key exists among ``parent_keys``
+    (a left join to the parent's distinct keys, salted for hot keys)."""
+    keys = (
+        parent_keys.select(F.col(parent_key).alias(child_key)).where(F.col(child_key).isNotNull()).distinct().withColumn(marker, F.lit(True))
+    )
+    return salted_join(child, keys, child_key, "left").withColumn(marker, F.coalesce(F.col(marker), F.lit(False)))
 
 
 # D1
@@ -160,10 +164,14 @@ def soft_fk_check(pairs: Sequence[tuple[str, DataFrame, str, str, DataFrame, str
     """
     parts = []
     for parent_name, parent, pkey, child_name, child, ckey in pairs:
-        c = child.select(F.col(ckey).alias("_ck")).where(F.col("_ck").isNotNull())
+        # one row per child key with its row count, so a hot key costs nothing
+        c = child.select(F.col(ckey).alias("_ck")).where(F.col("_ck").isNotNull()).groupBy("_ck").agg(F.count(F.lit(1)).alias("_rows"))
         m = _with_marker(c, parent, "_ck", pkey, "_found")
         parts.append(
-            m.agg(F.count(F.lit(1)).alias("child_rows"), F.count_if(~F.col("_found")).alias("orphan_rows")).select(
+            m.agg(
+                F.sum("_rows").cast("bigint").alias("child_rows"),
+                F.coalesce(F.sum(F.when(~F.col("_found"), F.col("_rows"))), F.lit(0)).cast("bigint").alias("orphan_rows"),
+            ).select(
                 F.lit(parent_name).alias("parent"),
                 F.lit(child_name).alias("child"),
                 F.lit(ckey).alias("key_column"),

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
+from ..functions.joins import salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..session import materialize
 
@@ -82,8 +83,7 @@ def mrr_movements(
     scoped = ev.where((etype != TRIAL_STARTED) & (t <= _ts(as_of)))
 
     starts = (
-        scoped.where(etype.isin(*START_TYPES))
-        .join(first_cancel, "account_id", "left")
+        salted_join(scoped.where(etype.isin(*START_TYPES)), first_cancel, "account_id", "left")
         .select(
             month_start(t).alias("month"),
             delta,
@@ -149,7 +149,7 @@ def trial_conversion(
         joined = tr.join(first_conv, "account_id", "left")
     else:
         per_trial = (
-            tr.join(conv_events, "account_id", "inner")
+            salted_join(conv_events, tr, "account_id")
             .where(F.col("event_time") >= F.col("started_at"))
             .groupBy("trial_id", "account_id", "started_at")
             .agg(F.min("event_time").alias("first_conversion_at"))
@@ -217,8 +217,7 @@ def revenue_retention(
 
     etype, delta, t = F.col("event_type"), F.col("mrr_delta"), F.col("event_time")
     in_window = (
-        ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES))
-        .join(starts.select("account_id", "start_time"), "account_id", "inner")
+        salted_join(ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES)), starts.select("account_id", "start_time"), "account_id")
         .where((t > F.col("start_time")) & (t <= F.col("start_time") + horizon))
         .groupBy("account_id")
         .agg(
@@ -326,9 +325,11 @@ def feature_adoption(
     if strict:
         window_ok = window_ok & (F.col("occurred_at") >= F.col("signup_date"))
     adopters = (
-        usage.where(F.col("feature_id").isNotNull())
-        .select("account_id", "feature_id", "occurred_at")
-        .join(retention.select("account_id", "signup_date", "retained"), "account_id", "inner")
+        salted_join(
+            usage.where(F.col("feature_id").isNotNull()).select("account_id", "feature_id", "occurred_at"),
+            retention.select("account_id", "signup_date", "retained"),
+            "account_id",
+        )
         .where(window_ok)
         .groupBy("account_id", "feature_id")
         .agg(F.count(F.lit(1)).alias("usage_count"), F.max("retained").alias("retained"))
