@@ -48,3 +48,24 @@ def test_null_group_key(spark):
     sdf = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 2.0)], "g string, v double")
     got = {r["g"]: r["m"] for r in percentile_cont(sdf, ["g"], "v", {"m": 0.5}).collect()}
     assert got == {None: 2.0, "x": 2.0}
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-50, 50).map(float))), min_size=1, max_size=300),
+    p=st.sampled_from([0.0, 0.1, 0.5, 0.9, 0.99, 1.0]),
+)
+def test_property_matches_duckdb(spark, rows, p):
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    sdf = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r["x"] for r in percentile_cont(sdf, ["g"], "v", {"x": p}, accuracy=8).collect()}
+    want = dict(
+        duckdb.sql(f"SELECT g, percentile_cont({p}) WITHIN GROUP (ORDER BY v) FROM pdf WHERE v IS NOT NULL GROUP BY g").fetchall()
+    )
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-12)
