@@ -51,8 +51,8 @@ def percentile_cont(
     of the interpolation).
 
     The values are read twice, so unless the caller says ``df`` is already
-    ``materialized`` (checkpointed) they are checkpointed first; the small
-    per-group bracket table is checkpointed too. Both are eager jobs.
+    ``materialized`` (checkpointed) they are checkpointed first (an eager
+    job).
     """
     keys = list(keys)
     if not keys:  # one global group
@@ -101,7 +101,9 @@ def percentile_cont(
         F.col("_t.lo").alias("_lo"),
         F.col("_t.hi").alias("_hi"),
     ).withColumn("_klo", F.floor("_h")).withColumn("_khi", F.ceil("_h"))
-    targets = materialize(targets)  # one row per group and percentile; read twice below
+    # targets is read twice. Only the first read (the slice) uses the approximate
+    # brackets; the second uses the exact count and the wanted ranks, which
+    # are deterministic, so a recomputation of the aggregate cannot disagree.
 
     # Pass 2: below-bracket values collapse into one counted row per target
     # (marker _below = 0 sorts first); in-bracket values are counted per value.
