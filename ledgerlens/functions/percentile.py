@@ -9,8 +9,10 @@ finds the exact order statistics in two distributed passes:
    (``percentile_approx``, rank error at most ``n / accuracy``) just below and
    just above each wanted percentile. These bracket the exact values.
 2. Each value is mapped to either "below the bracket" or its own value when it
-   lies inside the bracket (values above are dropped); a ``groupBy`` counts
-   them (map-side partial aggregation), so only the bracket slice - at most
+   lies inside the bracket (values above are dropped) - the values meet their
+   group's brackets through a salted join, so a hot group is spread over many
+   tasks; a ``groupBy`` counts them (map-side partial aggregation), so only
+   the bracket slice - at most
    about ``8 n / accuracy`` distinct values, or all values of a group with
    ``n <= 2 * accuracy`` - reaches the window that turns counts into ranks.
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import salted_join
 
 DEFAULT_ACCURACY = 100_000
 # Operators report percentiles to 9 decimals: below that, engines disagree in
@@ -66,19 +69,21 @@ def percentile_cont(
     exact_below = 2 * accuracy  # groups this small keep every value in the slice
 
     vals = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    vals = vals.withColumn("_gid", F.xxhash64(*[F.col(k) for k in keys]))  # non-NULL join id of the group
     if not materialized:
         vals = materialize(vals)
 
     probes = []
     for p in ps:
         probes += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = vals.groupBy(*keys).agg(
+    stats = vals.groupBy("_gid", *keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", probes, accuracy).alias("_q"),
     )
     # One row per (group, wanted percentile) with its exact target ranks and
     # the value bracket [lo, hi] that is guaranteed to contain them.
     targets = stats.select(
+        "_gid",
         *keys,
         "_n",
         F.explode(
@@ -95,6 +100,7 @@ def percentile_cont(
             )
         ).alias("_t"),
     ).select(
+        "_gid",
         *keys,
         F.col("_t.j").alias("_j"),
         ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"),
@@ -109,8 +115,17 @@ def percentile_cont(
     # (marker _below = 0 sorts first); in-bracket values are counted per value.
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+    # Every value meets the brackets of its group. The join runs on the group's
+    # hash id and is salted, so a group holding most of the values is spread
+    # over many tasks; the keys themselves are then compared NULL-safely.
+    brackets = targets.select("_gid", *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_j", "_lo", "_hi")
+    same_group = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_b{i}"))
+        same_group = c if same_group is None else same_group & c
     slice_counts = (
-        _join_null_safe(vals, targets.select(*keys, "_j", "_lo", "_hi"), keys)
+        salted_join(vals, brackets, "_gid")
+        .where(same_group)
         .where(below | inside)
         .select(
             *keys,

@@ -257,7 +257,9 @@ def product_engagement(
         )
     )
     medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
-    joined = attach(rates.where(F.col("category").isNotNull()), medians, ["category"], "inner")
+    # inner join on category (NULL categories drop out, as in the SQL), salted
+    # for a category holding most products
+    joined = salted_join(rates.where(F.col("category").isNotNull()), medians, "category")
     # rates is checkpointed, so counting it is a cheap read; it bounds the frame
     n_products = rates.count()
     ranked = rank_column(
