@@ -346,7 +346,7 @@ def feature_adoption(
         F.count(F.lit(1)).alias("nf"), F.max("retained").alias("retained")
     )
     adopted = (
-        per_account.join(per_group_rows.select(group_col, "k"), group_col, "inner")
+        salted_join(per_account, per_group_rows.select(group_col, "k"), group_col)
         .groupBy(group_col)
         .agg(
             F.sum("nf").alias("pairs"),
