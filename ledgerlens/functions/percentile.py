@@ -54,8 +54,10 @@ def percentile_cont(
     of the interpolation).
 
     The values are read twice, so unless the caller says ``df`` is already
-    ``materialized`` (checkpointed) they are checkpointed first (an eager
-    job).
+    ``materialized`` (checkpointed) they are checkpointed first; the small
+    per-group bracket table is checkpointed too, so every task - also one
+    retried after an executor loss - uses the same brackets. Both are eager
+    jobs.
     """
     keys = list(keys)
     if not keys:  # one global group
@@ -107,9 +109,10 @@ def percentile_cont(
         F.col("_t.lo").alias("_lo"),
         F.col("_t.hi").alias("_hi"),
     ).withColumn("_klo", F.floor("_h")).withColumn("_khi", F.ceil("_h"))
-    # targets is read twice. Only the first read (the slice) uses the approximate
-    # brackets; the second uses the exact count and the wanted ranks, which
-    # are deterministic, so a recomputation of the aggregate cannot disagree.
+    # The approximate brackets depend on the order partial summaries are merged
+    # in, so a stage retried after an executor loss could see other brackets
+    # than the tasks that already ran; writing the (small) table once pins them.
+    targets = materialize(targets)
 
     # Pass 2: below-bracket values collapse into one counted row per target
     # (marker _below = 0 sorts first); in-bracket values are counted per value.

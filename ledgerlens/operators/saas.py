@@ -339,7 +339,7 @@ def feature_adoption(
     group_col = "feature_id" if strict else "feature_name"
     feats = features.select("feature_id", "feature_name")
     per_group_rows = feats.groupBy(group_col).agg(
-        F.count(F.lit(1)).alias("k"), *([F.first("feature_name").alias("feature_name")] if strict else [])
+        F.count(F.lit(1)).alias("k"), *([F.min("feature_name").alias("feature_name")] if strict else [])
     )
     pairs = adopters.join(feats, "feature_id", "inner")
     per_account = pairs.groupBy(group_col, "account_id").agg(
