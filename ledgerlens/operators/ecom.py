@@ -56,12 +56,20 @@ def _signups(customers: DataFrame, since: dt.date) -> DataFrame:
     )
 
 
-def _customer_events(events: DataFrame, sessions: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Events of ``types`` with their customer (sessions without one dropped)."""
-    return salted_join(
-        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"),
+def _signup_activity(events: DataFrame, sessions: DataFrame, signups: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Events of ``types`` with their customer and signup time.
+
+    Sessions meet signups first (session grain), then events meet that on
+    ``session_id``: event rows are shuffled once, and only for sessions of
+    customers in the window. Both joins are salted for hot keys.
+    """
+    per_session = salted_join(
         sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
-        "session_id",
+        signups.select("customer_id", "signup_at"),
+        "customer_id",
+    )
+    return salted_join(
+        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"), per_session, "session_id"
     )
 
 
@@ -98,7 +106,7 @@ def activation_curve(
         )
     else:
         first = (
-            salted_join(_customer_events(events, sessions, types), signups.select("customer_id", "signup_at"), "customer_id")
+            _signup_activity(events, sessions, signups, types)
             .where(F.col("occurred_at") >= F.col("signup_at"))
             .groupBy("customer_id")
             .agg(F.min("occurred_at").alias("first_action_at"))
@@ -191,7 +199,7 @@ def cohort_retention(
     plain sums per cohort.
     """
     signups = _signups(customers, since).withColumnRenamed("signup_week", "cohort_week")
-    act = salted_join(_customer_events(events, sessions, types), signups.select("customer_id", "signup_at"), "customer_id")
+    act = _signup_activity(events, sessions, signups, types)
     week_index = F.greatest(F.floor(elapsed("occurred_at", "signup_at", "second") / 604800.0), F.lit(0))
     if strict:
         week_index = F.floor(elapsed("occurred_at", "signup_at", "second") / 604800.0)
