@@ -321,20 +321,29 @@ def feature_adoption(
         .alias("retained"),
     )
 
-    window_ok = F.col("occurred_at") <= F.col("signup_date") + days(adopt_days)
-    if strict:
-        window_ok = window_ok & (F.col("occurred_at") >= F.col("signup_date"))
-    adopters = (
-        salted_join(
-            usage.where(F.col("feature_id").isNotNull()).select("account_id", "feature_id", "occurred_at"),
-            retention.select("account_id", "signup_date", "retained"),
-            "account_id",
+    used = usage.where(F.col("feature_id").isNotNull()).select("account_id", "feature_id", "occurred_at")
+    per_account = retention.select("account_id", "signup_date", "retained")
+    if min_uses <= 1 and not strict:
+        # One use inside the window <=> the first use is inside it: reduce the
+        # usage to one row per (account, feature) before it meets the accounts.
+        first_use = used.groupBy("account_id", "feature_id").agg(F.min("occurred_at").alias("occurred_at"))
+        adopters = (
+            salted_join(first_use, per_account, "account_id")
+            .where(F.col("occurred_at") <= F.col("signup_date") + days(adopt_days))
+            .select("account_id", "feature_id", "retained")
+        )
+    else:
+        window_ok = F.col("occurred_at") <= F.col("signup_date") + days(adopt_days)
+        if strict:
+            window_ok = window_ok & (F.col("occurred_at") >= F.col("signup_date"))
+        adopters = (
+            salted_join(used, per_account, "account_id")
+            .where(window_ok)
+            .groupBy("account_id", "feature_id")
+            .agg(F.count(F.lit(1)).alias("usage_count"), F.max("retained").alias("retained"))
+            .where(F.col("usage_count") >= min_uses)
+            .select("account_id", "feature_id", "retained")
         )
-        .where(window_ok)
-        .groupBy("account_id", "feature_id")
-        .agg(F.count(F.lit(1)).alias("usage_count"), F.max("retained").alias("retained"))
-        .where(F.col("usage_count") >= min_uses)
-    )
 
     group_col = "feature_id" if strict else "feature_name"
     feats = features.select("feature_id", "feature_name")

@@ -312,3 +312,12 @@ def test_quality_edges(books):
     assert {r["n_subscriptions"]: r["accounts"] for r in rows} == {0: 3, 1: 2, 2: 3}
     books.check("flag_domain", quality.flag_domain(d["users"]))
     books.check("feature_id_coverage", quality.feature_id_coverage(d["telemetry"], d["features"]))
+
+
+def test_feature_adoption_min_uses(books):
+    a, s, u, f = (books.df[k] for k in ("accounts", "subscriptions", "feature_events", "features"))
+    got = saas.feature_adoption(a, s, u, f, as_of=SAAS_AS_OF, min_uses=2)
+    sc, sr = rows_of_spark(got)
+    rel = books.con.sql(SQL["feature_adoption"].replace("usage_count >= 1", "usage_count >= 2"))
+    res = compare(sc, sr, rel.columns, rel.fetchall())
+    assert res["match"], res
