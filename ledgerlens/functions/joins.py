@@ -80,3 +80,17 @@ def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner")
         .drop("_hot")
     )
     return f.join(k, [key, "_salt"], how).drop("_salt")
+
+
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_or_salted(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a per-group side that is usually small: broadcast it when a count
+    shows at most ``ledgerlens.broadcast.maxRows`` rows (default 200,000; the
+    bound is checked, not assumed), else use ``salted_join``. Pass an already
+    checkpointed ``keyed`` so the count is a cheap read."""
+    limit = int(fact.sparkSession.conf.get("ledgerlens.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
+    if keyed.count() <= limit:
+        return fact.join(F.broadcast(keyed), key, how)
+    return salted_join(fact, keyed, key, how)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import salted_join
+from .joins import broadcast_or_salted
 
 DEFAULT_ACCURACY = 100_000
 # Operators report percentiles to 9 decimals: below that, engines disagree in
@@ -118,16 +118,17 @@ def percentile_cont(
     # (marker _below = 0 sorts first); in-bracket values are counted per value.
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    # Every value meets the brackets of its group. The join runs on the group's
-    # hash id and is salted, so a group holding most of the values is spread
-    # over many tasks; the keys themselves are then compared NULL-safely.
+    # Every value meets the brackets of its group: a broadcast while the
+    # (checkpointed) bracket table is small, else a join on the group's hash id
+    # salted so a group holding most of the values is spread over many tasks.
+    # The keys themselves are then compared NULL-safely.
     brackets = targets.select("_gid", *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_j", "_lo", "_hi")
     same_group = None
     for i, k in enumerate(keys):
         c = F.col(k).eqNullSafe(F.col(f"_b{i}"))
         same_group = c if same_group is None else same_group & c
     slice_counts = (
-        salted_join(vals, brackets, "_gid")
+        broadcast_or_salted(vals, brackets, "_gid")
         .where(same_group)
         .where(below | inside)
         .select(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
-from ..functions.joins import salted_join
+from ..functions.joins import broadcast_or_salted, salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..functions.ranking import rank_column
 from ..session import materialize
@@ -264,10 +264,12 @@ def product_engagement(
             ratio("add_to_cart_sessions", "views").alias("atc_rate"),
         )
     )
-    medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
-    # inner join on category (NULL categories drop out, as in the SQL), salted
-    # for a category holding most products
-    joined = salted_join(rates.where(F.col("category").isNotNull()), medians, "category")
+    medians = materialize(
+        percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
+    )
+    # inner join on category (NULL categories drop out, as in the SQL):
+    # broadcast under a checked category count, salted beyond it
+    joined = broadcast_or_salted(rates.where(F.col("category").isNotNull()), medians, "category")
     # rates is checkpointed, so counting it is a cheap read; it bounds the frame
     n_products = rates.count()
     ranked = rank_column(

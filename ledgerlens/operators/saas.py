@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
-from ..functions.joins import salted_join
+from ..functions.joins import broadcast_or_salted, salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..session import materialize
 
@@ -326,9 +326,11 @@ def feature_adoption(
     if min_uses <= 1 and not strict:
         # One use inside the window <=> the first use is inside it: reduce the
         # usage to one row per (account, feature) before it meets the accounts.
+        # An account then has at most one row per feature, so this join has no
+        # hot key and needs no salt.
         first_use = used.groupBy("account_id", "feature_id").agg(F.min("occurred_at").alias("occurred_at"))
         adopters = (
-            salted_join(first_use, per_account, "account_id")
+            first_use.join(per_account, "account_id", "inner")
             .where(F.col("occurred_at") <= F.col("signup_date") + days(adopt_days))
             .select("account_id", "feature_id", "retained")
         )
@@ -347,15 +349,15 @@ def feature_adoption(
 
     group_col = "feature_id" if strict else "feature_name"
     feats = features.select("feature_id", "feature_name")
-    per_group_rows = feats.groupBy(group_col).agg(
+    per_group_rows = materialize(feats.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("k"), *([F.min("feature_name").alias("feature_name")] if strict else [])
-    )
+    ))
     pairs = adopters.join(feats, "feature_id", "inner")
     per_account = pairs.groupBy(group_col, "account_id").agg(
         F.count(F.lit(1)).alias("nf"), F.max("retained").alias("retained")
     )
     adopted = (
-        salted_join(per_account, per_group_rows.select(group_col, "k"), group_col)
+        broadcast_or_salted(per_account, per_group_rows.select(group_col, "k"), group_col)
         .groupBy(group_col)
         .agg(
             F.sum("nf").alias("pairs"),

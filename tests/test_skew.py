@@ -26,6 +26,7 @@ SKEW_CONF = {
     "ledgerlens.skew.hotRows": "100",
     "ledgerlens.skew.sampleEvery": "1",
     "ledgerlens.skew.salts": "8",
+    "ledgerlens.broadcast.maxRows": "0",  # per-group sides take the salted path too
 }
 
 
@@ -42,6 +43,11 @@ def skewed(spark):
         "customers": r.customers,
         "sessions": r.sessions.withColumn("customer_id", hot("customer_id", "session_id")),
         "session_events": r.session_events,
+        "subscriptions": r.subscriptions,
+        "features": r.features,
+        "feature_events": r.feature_events.withColumn(
+            "account_id", F.when(F.xxhash64("account_id", "feature_id", "occurred_at") % 3 == 0, F.lit(7)).otherwise(F.col("account_id"))
+        ),
     }
     con = duckdb.connect()
     for name, df in frames.items():
@@ -91,3 +97,10 @@ def test_salted_join_equals_plain_join(spark, skewed):
         plain = sorted(ev.join(per, "account_id", how).collect())
         salted = sorted(salted_join(ev, per, "account_id", how).select(*plain[0].__fields__).collect())
         assert plain == salted
+
+
+def test_hot_account_feature_adoption(skewed):
+    f, con = skewed
+    args = (f["accounts"], f["subscriptions"], f["feature_events"], f["features"])
+    _check(con, "feature_adoption", saas.feature_adoption(*args, as_of=SAAS_AS_OF))
+    _check(con, "feature_adoption_strict", saas.feature_adoption(*args, as_of=SAAS_AS_OF, strict=True))
