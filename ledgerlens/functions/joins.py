@@ -15,12 +15,14 @@ split there and every row of a hot key would meet in one task.
 2. fact rows of a hot key get a salt from the hash of their content (stable
    under recomputation), all other rows salt 0;
 3. per-key rows of a hot key are repeated once per salt, others once;
-4. the join runs on (key, salt): a hot key is spread over ``salts`` tasks.
+4. the join runs on (key, salt): a hot key is spread over as many salts as
+   it has about ``hotRows`` rows (at least 2, at most ``salts``), so each
+   salt task gets a bounded share of it.
 
 The result equals the plain join for inner and left joins with the fact on
 the left: each fact row meets each per-key row of its key exactly once.
 Knobs (session conf): ``ledgerlens.skew.hotRows`` (default 2,000,000),
-``ledgerlens.skew.salts`` (64), ``ledgerlens.skew.sampleEvery`` (1000),
+``ledgerlens.skew.salts`` (most salts per key, 4096), ``ledgerlens.skew.sampleEvery`` (1000),
 ``ledgerlens.skew.maxHotKeys`` (1000).
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-DEFAULTS = {"hotRows": 2_000_000, "salts": 64, "sampleEvery": 1000, "maxHotKeys": 1000}
+DEFAULTS = {"hotRows": 2_000_000, "salts": 4096, "sampleEvery": 1000, "maxHotKeys": 1000}
 
 
 def _conf(df: DataFrame, name: str) -> int:
@@ -47,15 +49,18 @@ def hot_keys(fact: DataFrame, key: str) -> DataFrame:
     every = _conf(fact, "sampleEvery")
     hot_rows = _conf(fact, "hotRows")
     limit = _conf(fact, "maxHotKeys")
+    max_salts = _conf(fact, "salts")
     keys = fact.select(key).where(F.col(key).isNotNull())
     sampled = keys if every <= 1 else keys.sample(fraction=1.0 / every, seed=17)
+    estimate = F.col("_n") * every
     hot = (
         sampled.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") * every >= hot_rows)
+        .where(estimate >= hot_rows)
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(limit)  # bounds the broadcast list; other keys take the plain path
-        .select(key, F.lit(True).alias("_hot"))
+        # salts per key: about hotRows rows per salt, at least 2, at most max_salts
+        .select(key, F.least(F.greatest(F.ceil(estimate / hot_rows), F.lit(2)), F.lit(max_salts)).cast("int").alias("_ns"))
     )
     return materialize(hot)
 
@@ -64,20 +69,22 @@ def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner")
     """``fact.join(keyed, key, how)`` with hot keys spread over salts."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins (fact on the left)")
-    salts = _conf(fact, "salts")
-    if salts <= 1:
+    if _conf(fact, "salts") <= 1:
         return fact.join(keyed, key, how)
-    hot = hot_keys(fact, key)
-    salt = F.pmod(F.xxhash64(F.lit("salt"), *[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
+    hot = hot_keys(fact, key)  # key, _ns (salts for that key); at most maxHotKeys rows
+    salt = F.pmod(F.xxhash64(F.lit("salt"), *[F.col(c) for c in fact.columns]), F.col("_ns")).cast("int")
     f = (
         fact.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.when(F.col("_ns").isNotNull(), salt).otherwise(F.lit(0)))
+        .drop("_ns")
     )
     k = (
         keyed.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn(
+            "_salt",
+            F.explode(F.when(F.col("_ns").isNotNull(), F.sequence(F.lit(0), F.col("_ns") - 1)).otherwise(F.array(F.lit(0)))),
+        )
+        .drop("_ns")
     )
     return f.join(k, [key, "_salt"], how).drop("_salt")
 
