@@ -10,11 +10,13 @@ Scale notes that apply throughout:
   aggregates (``groupBy`` with map-side partial aggregation, ``min``/``max`` of
   a struct for arg-min/arg-max), never windows partitioned by account: one
   account may hold a third of all rows.
-* Fact rows meet per-account facts through equi-joins on ``account_id``; AQE
-  broadcasts the per-account side when its measured size is under the
-  threshold at run time and otherwise sort-merge joins and splits a hot key.
-  No operator hints a broadcast: one-row totals are attached as scalar
-  subqueries, not joined.
+* Fact rows meet per-account facts through equi-joins on ``account_id``.
+  AQE cannot split a hot key there (the per-account side is already
+  partitioned by its aggregate), so these joins are salted for hot keys
+  (``functions.joins.salted_join``). Explicit broadcasts are only of frames
+  whose size is checked or bounded: hot-key lists (at most ``maxHotKeys``)
+  and small per-group sides behind a row count (``broadcast_or_salted``).
+  One-row totals are attached as scalar subqueries, not joined.
 * Month- or cohort-grain outputs use windows without partition only after the
   data has been reduced to that grain.
 """
