@@ -1,7 +1,8 @@
 """Subscription-revenue operators (the ``saas`` queries and sample queries).
 
-Every operator is a pure function from DataFrames and parameters to a lazy
-DataFrame. Defaults follow the reference queries; ``strict=True`` switches on
+Every operator is a pure function from DataFrames and parameters to a
+DataFrame (operators with percentiles or salted joins run small eager
+checkpoint jobs while being built). Defaults follow the reference queries; ``strict=True`` switches on
 the corrected reading of a rule that looks unintended (see README).
 
 Scale notes that apply throughout:
