@@ -44,6 +44,7 @@ def percentile_cont(
     accuracy: int = DEFAULT_ACCURACY,
     digits: int | None = None,
     materialized: bool = False,
+    approx: bool = False,
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per ``keys`` group.
 
@@ -58,15 +59,25 @@ def percentile_cont(
     per-group bracket table is checkpointed too, so every task - also one
     retried after an executor loss - uses the same brackets. Both are eager
     jobs.
+
+    ``approx=True`` returns ``percentile_approx`` (nearest sample value, rank
+    error at most n / accuracy) from a single aggregate instead: one pass,
+    bounded memory per group, not the interpolated exact value.
     """
     keys = list(keys)
     if not keys:  # one global group
-        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits, materialized)
+        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits, materialized, approx)
         return out.drop("_g")
     names = list(percentiles)
     ps = [float(percentiles[n]) for n in names]
     if not names:
         raise ValueError("no percentile requested")
+    if approx:
+        v = F.col(value).cast("double")
+        cols = [F.percentile_approx(v, p, accuracy) for p in ps]
+        if digits is not None:
+            cols = [F.round(c, digits) for c in cols]
+        return df.where(v.isNotNull()).groupBy(*keys).agg(*[c.alias(n) for c, n in zip(cols, names)])
     margin = 4.0 / accuracy
     exact_below = 2 * accuracy  # groups this small keep every value in the slice
 

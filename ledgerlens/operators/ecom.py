@@ -82,6 +82,7 @@ def activation_curve(
     types: Sequence[str] = ACTIVATION_TYPES,
     window_days: int = 7,
     strict: bool = False,
+    approx_percentiles: bool = False,
 ) -> DataFrame:
     """Share of each weekly signup cohort whose first meaningful action came
     within ``window_days`` of signup, with median and p90 minutes to it.
@@ -130,6 +131,7 @@ def activation_curve(
         {"median_minutes_to_activation": 0.5, "p90_minutes_to_activation": 0.9},
         digits=PERCENTILE_DIGITS,
         materialized=True,
+        approx=approx_percentiles,
     )
     return attach(cohorts.select("*", ratio("activated_7d", "cohort_size").alias("activation_rate_7d")), pct, ["signup_week"]).orderBy(
         "signup_week"
@@ -228,6 +230,7 @@ def product_engagement(
     variants: DataFrame,
     products: DataFrame,
     categories: DataFrame,
+    approx_percentiles: bool = False,
 ) -> DataFrame:
     """Views, add-to-cart sessions and cart rate per product, against the
     median cart rate of its category, with global ranks by views (descending)
@@ -265,7 +268,7 @@ def product_engagement(
         )
     )
     medians = materialize(
-        percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
+        percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
     )
     # inner join on category (NULL categories drop out, as in the SQL):
     # broadcast under a checked category count, salted beyond it

@@ -135,6 +135,7 @@ def trial_conversion(
     sub_events: DataFrame,
     conversion_days: Sequence[int] = CONVERSION_DAYS,
     strict: bool = False,
+    approx_percentiles: bool = False,
 ) -> DataFrame:
     """Trial-to-paid conversion by weekly trial cohort.
 
@@ -167,7 +168,7 @@ def trial_conversion(
     aggs += [F.count_if(F.col("days_to_convert") <= n).alias(f"converted_by_{n}d") for n in conversion_days]
     cohorts = calc.groupBy("trial_week").agg(*aggs)
     rates = [ratio(f"converted_by_{n}d", "trials_started").alias(f"conv_rate_{n}d") for n in conversion_days]
-    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
+    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
     return attach(cohorts.select("*", *rates), med, ["trial_week"]).orderBy("trial_week")
 
 
@@ -406,6 +407,7 @@ def expansion_revenue(
     accounts: DataFrame,
     as_of: dt.date = REFERENCE_AS_OF,
     lookback_months: int = 6,
+    approx_percentiles: bool = False,
 ) -> DataFrame:
     """Expansion by vector (seats added, add-on, plan upgrade) in the closed
     window ``[as_of - lookback, as_of]``, with per-account value and the median
@@ -431,7 +433,7 @@ def expansion_revenue(
         F.count_distinct("account_id").alias("accounts_expanded"),
         F.sum("mrr_delta").cast(MONEY_SUM).alias("expansion_mrr_total"),
     )
-    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS, materialized=True)
+    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
     return attach(
         by_type.select("*", ratio("expansion_mrr_total", "accounts_expanded").alias("expansion_mrr_per_account")), med, ["expansion_type"]
     ).orderBy(F.col("expansion_mrr_total").desc_nulls_first())

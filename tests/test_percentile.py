@@ -69,3 +69,12 @@ def test_property_matches_duckdb(spark, rows, p):
     assert got.keys() == want.keys()
     for g in want:
         assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-12)
+
+
+def test_approx_option_close(spark):
+    sdf = spark.range(1, 20001).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    exact = {r["g"]: r["m"] for r in percentile_cont(sdf, ["g"], "v", {"m": 0.5}).collect()}
+    approx = {r["g"]: r["m"] for r in percentile_cont(sdf, ["g"], "v", {"m": 0.5}, accuracy=1000, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for g in exact:
+        assert abs(exact[g] - approx[g]) <= 20000 / 1000 * 3 + 3  # within the rank error, in value units
