@@ -12,8 +12,8 @@ split there and every row of a hot key would meet in one task.
    whose estimated row count reaches ``hotRows``; at most ``maxHotKeys`` of
    them (ordered by count, then key), so the list that is broadcast has a
    fixed bound; the list is checkpointed once;
-2. fact rows of a hot key get a salt from the hash of their content (stable
-   under recomputation), all other rows salt 0;
+2. fact rows of a hot key get a salt from a hash of their content and input
+   partition (stable when a task is retried), all other rows salt 0;
 3. per-key rows of a hot key are repeated once per salt, others once;
 4. the join runs on (key, salt): a hot key is spread over as many salts as
    it has about ``hotRows`` rows (at least 2, at most ``salts``), so each
@@ -72,7 +72,9 @@ def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner")
     if _conf(fact, "salts") <= 1:
         return fact.join(keyed, key, how)
     hot = hot_keys(fact, key)  # key, _ns (salts for that key); at most maxHotKeys rows
-    salt = F.pmod(F.xxhash64(F.lit("salt"), *[F.col(c) for c in fact.columns]), F.col("_ns")).cast("int")
+    # Row content plus the input partition: identical rows of a hot key from
+    # different partitions still spread; a retried task keeps its salts.
+    salt = F.pmod(F.xxhash64(F.lit("salt"), F.spark_partition_id(), *[F.col(c) for c in fact.columns]), F.col("_ns")).cast("int")
     f = (
         fact.join(F.broadcast(hot), key, "left")
         .withColumn("_salt", F.when(F.col("_ns").isNotNull(), salt).otherwise(F.lit(0)))
