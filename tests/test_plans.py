@@ -20,3 +20,23 @@ def test_scans_are_pruned(spark, sf_dir):
     # the cart operator reads 5 of the 6 events columns, never props
     schemas = scan_schemas(entry.queries()["cart_abandonment"](spark, sf_dir))
     assert schemas and all("props" not in s for s in schemas)
+
+
+def test_filters_reach_stored_parquet(spark, sf_dir, tmp_path):
+    """On stored tables (not role views) the operators' filters are pushed
+    into the parquet scan."""
+    from ledgerlens.operators import ecom, saas
+    from ledgerlens.plans.inspect import explain
+    from ledgerlens.registry import roles
+    from ledgerlens.sources.roles import SAAS_AS_OF
+
+    r = roles(spark, sf_dir)
+    r.session_events.write.parquet(str(tmp_path / "session_events"))
+    r.subscription_events.write.parquet(str(tmp_path / "subscription_events"))
+    se = spark.read.parquet(str(tmp_path / "session_events"))
+    sub = spark.read.parquet(str(tmp_path / "subscription_events"))
+
+    cart = explain(ecom.cart_abandonment(se))
+    assert "PushedFilters: [In(event_type" in cart or "PushedFilters: [IsNotNull(event_type), In(event_type" in cart
+    mrr = explain(saas.mrr_movements(sub, as_of=SAAS_AS_OF))
+    assert "LessThanOrEqual(event_time" in mrr and "Not(EqualTo(event_type,trial_started))" in mrr
