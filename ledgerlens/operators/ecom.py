@@ -59,16 +59,20 @@ def _signups(customers: DataFrame, since: dt.date) -> DataFrame:
 def _signup_activity(events: DataFrame, sessions: DataFrame, signups: DataFrame, types: Sequence[str]) -> DataFrame:
     """Events of ``types`` with their customer and signup time.
 
-    Sessions meet signups first (session grain), then events meet that on
-    ``session_id``: event rows are shuffled once, and only for sessions of
-    customers in the window. Both joins are salted for hot keys.
+    Sessions meet signups first (session grain, salted for a hot customer);
+    that frame is written once and counted. Events then meet it on
+    ``session_id``: by broadcast while it is small (a narrow signup window),
+    so the event table is never shuffled, else by a join salted for hot
+    sessions.
     """
-    per_session = salted_join(
-        sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
-        signups.select("customer_id", "signup_at"),
-        "customer_id",
+    per_session = materialize(
+        salted_join(
+            sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
+            signups.select("customer_id", "signup_at"),
+            "customer_id",
+        )
     )
-    return salted_join(
+    return broadcast_or_salted(
         events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"), per_session, "session_id"
     )
 
