@@ -110,8 +110,9 @@ def activation_curve(
             .agg(F.min("first_at").alias("first_action_at"))
         )
     else:
+        # activity at or after a signup in the window is at or after `since`
         first = (
-            _signup_activity(events, sessions, signups, types)
+            _signup_activity(events.where(F.col("occurred_at") >= _since(since)), sessions, signups, types)
             .where(F.col("occurred_at") >= F.col("signup_at"))
             .groupBy("customer_id")
             .agg(F.min("occurred_at").alias("first_action_at"))

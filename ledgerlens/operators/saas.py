@@ -82,7 +82,10 @@ def mrr_movements(
     ev = sub_events.select("account_id", "event_type", "mrr_delta", "event_time")
     etype, delta, t = F.col("event_type"), F.col("mrr_delta"), F.col("event_time")
 
-    first_cancel = ev.where(etype == CANCELLED).groupBy("account_id").agg(F.min("event_time").alias("first_cancel_at"))
+    # a cancel after as_of can never precede a kept start: filter it at the scan
+    first_cancel = (
+        ev.where((etype == CANCELLED) & (t <= _ts(as_of))).groupBy("account_id").agg(F.min("event_time").alias("first_cancel_at"))
+    )
     scoped = ev.where((etype != TRIAL_STARTED) & (t <= _ts(as_of)))
 
     starts = (
@@ -202,8 +205,14 @@ def revenue_retention(
     )
     horizon = months(horizon_months)
 
+    # Only cohorts with start + horizon <= as_of are reported. A first start of
+    # such an account lies before as_of - horizon (+3 days covers month-end
+    # clamping), so later start events can neither be its minimum nor tie it:
+    # filtering them at the scan keeps every reported value (the exact test
+    # follows below).
+    latest_start = _ts(as_of) - horizon + days(3)
     per_instant = (
-        ev.where(F.col("event_type").isin(*START_TYPES))
+        ev.where(F.col("event_type").isin(*START_TYPES) & (F.col("event_time") <= latest_start))
         .groupBy("account_id", "event_time")
         .agg(F.sum("mrr_delta").alias("start_mrr"), F.count(F.lit(1)).alias("n_starts"))
     )
@@ -221,7 +230,11 @@ def revenue_retention(
 
     etype, delta, t = F.col("event_type"), F.col("mrr_delta"), F.col("event_time")
     in_window = (
-        salted_join(ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES)), starts.select("account_id", "start_time"), "account_id")
+        salted_join(
+            ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES) & (t <= _ts(as_of))),  # window ends by as_of
+            starts.select("account_id", "start_time"),
+            "account_id",
+        )
         .where((t > F.col("start_time")) & (t <= F.col("start_time") + horizon))
         .groupBy("account_id")
         .agg(

@@ -321,3 +321,24 @@ def test_feature_adoption_min_uses(books):
     rel = books.con.sql(SQL["feature_adoption"].replace("usage_count >= 1", "usage_count >= 2"))
     res = compare(sc, sr, rel.columns, rel.fetchall())
     assert res["match"], res
+
+
+def test_revenue_retention_horizon_boundary(spark):
+    ev = spark.createDataFrame(
+        [
+            (1, 1, 1, "subscription_started", D("10.00"), None, None, "pro", T(2024, 2, 29)),
+            (2, 2, 2, "subscription_started", D("20.00"), None, None, "pro", T(2024, 1, 31, 12)),
+            (3, 1, 1, "seat_add", D("1.00"), 1, "pro", "pro", T(2025, 2, 28)),
+        ],
+        SCHEMAS["subscription_events"],
+    )
+    # 2024-02-29 + 12 months = 2025-02-28: included on that day, not the day before
+    rows = saas.revenue_retention(ev, as_of=dt.date(2025, 2, 28)).collect()
+    assert [(r["cohort_month"], r["cohort_starting_mrr"], r["expansion_mrr_12m"]) for r in rows] == [
+        (dt.date(2024, 1, 1), D("20.00"), D("0.00")),
+        (dt.date(2024, 2, 1), D("10.00"), D("1.00")),
+    ]
+    assert [r["cohort_month"] for r in saas.revenue_retention(ev, as_of=dt.date(2025, 2, 27)).collect()] == [dt.date(2024, 1, 1)]
+    # one-month horizon: 2024-01-31 12:00 + 1 month = 2024-02-29 12:00, after midnight of 02-29
+    assert saas.revenue_retention(ev, as_of=dt.date(2024, 2, 29), horizon_months=1).collect() == []
+    assert len(saas.revenue_retention(ev, as_of=dt.date(2024, 3, 1), horizon_months=1).collect()) == 1
