@@ -338,7 +338,12 @@ def feature_adoption(
         .alias("retained"),
     )
 
-    used = usage.where(F.col("feature_id").isNotNull()).select("account_id", "feature_id", "occurred_at")
+    # Eligible accounts signed up by the cutoff, so no use after cutoff +
+    # adopt_days can count: that bound is applied at the usage scan.
+    last_use = _ts(cutoff + dt.timedelta(days=adopt_days))
+    used = usage.where(F.col("feature_id").isNotNull() & (F.col("occurred_at") <= last_use)).select(
+        "account_id", "feature_id", "occurred_at"
+    )
     per_account = retention.select("account_id", "signup_date", "retained")
     if min_uses <= 1 and not strict:
         # One use inside the window <=> the first use is inside it: reduce the
