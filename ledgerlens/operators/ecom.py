@@ -56,24 +56,29 @@ def _signups(customers: DataFrame, since: dt.date) -> DataFrame:
     )
 
 
-def _signup_activity(events: DataFrame, sessions: DataFrame, signups: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Events of ``types`` with their customer and signup time.
-
-    Sessions meet signups first (session grain, salted for a hot customer);
-    that frame is written once and counted. Events then meet it on
-    ``session_id``: by broadcast while it is small (a narrow signup window),
-    so the event table is never shuffled, else by a join salted for hot
-    sessions.
-    """
-    per_session = materialize(
+def _window_sessions(sessions: DataFrame, signups: DataFrame) -> DataFrame:
+    """Sessions of customers who signed up in the window, with the signup
+    time (session grain, salted for a hot customer), written once."""
+    return materialize(
         salted_join(
             sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
             signups.select("customer_id", "signup_at"),
             "customer_id",
         )
     )
+
+
+def _signup_activity(events: DataFrame, sessions: DataFrame, signups: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Events of ``types`` with their customer and signup time.
+
+    Events meet the window's sessions on ``session_id``: by broadcast while
+    that frame is small (a narrow signup window), so the event table is never
+    shuffled, else by a join salted for hot sessions.
+    """
     return broadcast_or_salted(
-        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"), per_session, "session_id"
+        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"),
+        _window_sessions(sessions, signups),
+        "session_id",
     )
 
 
@@ -96,16 +101,18 @@ def activation_curve(
     the window. ``strict=True`` takes the first action at or after signup.
 
     Plan: the type filter is applied to the event scan (pushed down), events
-    are reduced to one minimum per session, then per customer, before the
-    customer join; the percentile helper never gathers a cohort in one task.
+    are reduced to one minimum per session; only sessions of customers in the
+    signup window go on to the per-customer minimum; the percentile helper
+    never gathers a cohort in one task.
     """
     signups = _signups(customers, since)
     if not strict:
         first_per_session = (
             events.where(F.col("event_type").isin(*types)).groupBy("session_id").agg(F.min("occurred_at").alias("first_at"))
         )
+        # only sessions of customers in the window reach the per-customer step
         first = (
-            first_per_session.join(sessions.select("session_id", "customer_id"), "session_id", "inner")
+            broadcast_or_salted(first_per_session, _window_sessions(sessions, signups).select("session_id", "customer_id"), "session_id")
             .groupBy("customer_id")
             .agg(F.min("first_at").alias("first_action_at"))
         )
