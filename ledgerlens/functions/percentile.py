@@ -126,7 +126,7 @@ def percentile_cont(
     targets = materialize(targets)
 
     # Pass 2: below-bracket values collapse into one counted row per target
-    # (marker _below = 0 sorts first); in-bracket values are counted per value.
+    # (marker _in = 0 sorts first); in-bracket values are counted per value.
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     # Every value meets the brackets of its group: a broadcast while the
