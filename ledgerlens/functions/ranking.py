@@ -57,15 +57,3 @@ def global_rank(df: DataFrame, value: str, out: str, ascending: bool = True, buc
     )
     return attach(df, ranks, [value], "left")
 
-
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def rank_column(df: DataFrame, value: str, out: str, ascending: bool, rows: int) -> DataFrame:
-    """``rank()`` over the whole frame, choosing the plan by a checked size:
-    up to ``SINGLE_TASK_MAX_ROWS`` rows a plain window (one task sorts a
-    bounded frame), above it ``global_rank``."""
-    if rows <= SINGLE_TASK_MAX_ROWS:
-        order = F.col(value).asc() if ascending else F.col(value).desc()
-        return df.withColumn(out, F.rank().over(Window.orderBy(order)).cast("bigint"))
-    return global_rank(df, value, out, ascending)

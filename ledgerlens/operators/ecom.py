@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
 from ..functions.joins import broadcast_or_salted, salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
-from ..functions.ranking import rank_column
+from ..functions.ranking import global_rank
 from ..session import materialize
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
@@ -253,9 +253,8 @@ def product_engagement(
 
     Plan: one pass over the events pre-aggregates to (variant, cart session)
     before the variant join, so the join sees one row per variant and cart
-    session instead of one per event. The two catalogue-wide ranks are a
-    plain window only while the product count is under a checked bound, and
-    ``global_rank`` (bucketed offsets, no single task) beyond it.
+    session instead of one per event. The two catalogue-wide ranks use
+    ``global_rank`` (bucketed offsets), so no task holds the whole catalogue.
     """
     ev = events.where(F.col("event_type").isin(VIEW, ADD_TO_CART) & F.col("variant_id").isNotNull())
     pre = ev.groupBy("variant_id", F.when(F.col("event_type") == ADD_TO_CART, F.col("session_id")).alias("cart_session")).agg(
@@ -285,11 +284,7 @@ def product_engagement(
     # inner join on category (NULL categories drop out, as in the SQL):
     # broadcast under a checked category count, salted beyond it
     joined = broadcast_or_salted(rates.where(F.col("category").isNotNull()), medians, "category")
-    # rates is checkpointed, so counting it is a cheap read; it bounds the frame
-    n_products = rates.count()
-    ranked = rank_column(
-        rank_column(joined, "views", "views_rank", False, n_products), "atc_rate", "atc_rate_rank", True, n_products
-    )
+    ranked = global_rank(global_rank(joined, "views", "views_rank", ascending=False), "atc_rate", "atc_rate_rank", ascending=True)
     return ranked.select(
         "product_id",
         "product_name",

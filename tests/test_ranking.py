@@ -27,12 +27,3 @@ def test_few_buckets_many_ties(spark, ascending):
     got = {r["id"]: r["r"] for r in global_rank(df, "v", "r", ascending, buckets=4).collect()}
     assert got == want
 
-
-def test_rank_column_paths_agree(spark, monkeypatch):
-    from ledgerlens.functions import ranking
-
-    df = spark.range(0, 2000).select("id", ((F.col("id") * 13) % 101).cast("double").alias("v"))
-    small = {r["id"]: r["r"] for r in ranking.rank_column(df, "v", "r", False, 2000).collect()}
-    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_ROWS", 10)
-    large = {r["id"]: r["r"] for r in ranking.rank_column(df, "v", "r", False, 2000).collect()}
-    assert small == large
