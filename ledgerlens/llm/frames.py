@@ -7,11 +7,14 @@ the columns it needs by name first, so nothing can clash with its own.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .kernels import Block, blocks
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,3 +34,20 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_texts(df: DataFrame, keep: list[str], compute, schema: str) -> DataFrame:
+    """Rows of ``df`` with the columns ``keep`` as they are and those that
+    ``compute(Block) -> {name: array}`` makes of its ``text`` column (null:
+    empty). ``schema``: all columns, in that order. Arrow batches in, Arrow
+    batches out; no row leaves its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b, raws in blocks(texts):
+                made = compute(Block(raws))
+                columns = [batch.column(c).slice(a, b - a) for c in keep] + [pa.array(x) for x in made.values()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+
+    return df.select(*keep, "text").mapInArrow(run, schema)

@@ -7,17 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rank, quality_rules
 from .frames import read
 from .token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(docs, model)
+
+
+def op5_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_rank.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_rank.quality_scores(docs, model)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_rank": op5_quality_rank,
     "op10_token_counts": op10_token_counts,
 }
 

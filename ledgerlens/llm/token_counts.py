@@ -37,7 +37,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHUNK = 256  # symbols of a chunk whose state map is composed
@@ -404,11 +404,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     ``tokenizers`` library, readable on every executor.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             n = count_tokens(texts, tokenizer)
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
+            columns = [batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
