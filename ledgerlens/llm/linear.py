@@ -40,13 +40,14 @@ class Sample:
     value: np.ndarray
     dense: np.ndarray
     label: np.ndarray
+    width: int = WIDTH
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(w[self.bucket] * self.value)))
         return np.diff(sums[self.first])
 
     def gradient(self, by_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.bucket, self.value * np.repeat(by_row, np.diff(self.first)), WIDTH)
+        return np.bincount(self.bucket, self.value * np.repeat(by_row, np.diff(self.first)), self.width)
 
 
 def sample_of(found: DataFrame, at_least: int = 15) -> Sample:
