@@ -51,3 +51,11 @@ def map_texts(df: DataFrame, keep: list[str], compute, schema: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
     return df.select(*keep, "text").mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

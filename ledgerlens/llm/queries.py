@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rank, quality_rules, toxicity
 from .frames import read
+from .line_dedup import line_dedup
+from .language_model import language_model_scores
 from .pack import pack
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -21,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
@@ -37,6 +43,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
@@ -48,9 +58,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_rank": op5_quality_rank,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import written
+from .frames import free_name, written
 
 WIDTH, MAX_BITS, SEED = 4, 4, 42
 CROWD = 1000  # fingerprints in a cell from which its pairs are replaced by stars
@@ -173,12 +173,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, seed
     first = marked.join(names.select("fp", "root"), "fp").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
     )
-    stay = first.select(F.col("w.none").alias("_none"), F.coalesce("w.doc_id", F.lit(0)).alias("_id"), F.col("w.fp").alias("_fp"))
+    keys = [free_name(docs, k) for k in ("none", "id", "fp")]
+    stay = first.select(F.col("w.none").alias(keys[0]), F.coalesce("w.doc_id", F.lit(0)).alias(keys[1]), F.col("w.fp").alias(keys[2]))
 
     @F.pandas_udf("long")
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(_signed(np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, len(texts))))
 
-    keys = ["_none", "_id", "_fp"]
-    keyed = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_fp": print_of("text")})
+    keyed = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), print_of("text")))))
     return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
