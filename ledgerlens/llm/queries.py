@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_rank, quality_rules, toxicity
+from .chat import perspectives
+from .decontaminate import contaminated
 from .frames import read
 from .line_dedup import line_dedup
 from .language_model import language_model_scores
@@ -27,6 +30,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspectives(read(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    trained = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"])
+    return out.select("conv_id", "perspective", "part", "n_turns", "text", F.array_join(spans, ",").alias("spans"), trained.alias("n_trained"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
@@ -43,6 +53,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read(spark, sf_dir, "documents"))
 
@@ -59,12 +74,76 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_chat_perspectives": op3_chat_perspectives,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_rank": op5_quality_rank,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_perspectives": """
+with t as (
+    select distinct conv_id, turn, coalesce(nullif(role, ''), 'unknown') as role, coalesce(text, '') as body,
+           coalesce(cast(floor(turn / 256) as bigint), 0) as part
+    from conversations
+),
+who as (select distinct conv_id, role as perspective from t where role <> 'system'),
+x as (
+    select t.*, perspective,
+           '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
+                                  else 'user name=' || role end || chr(10) as head
+    from t join who on t.conv_id is not distinct from who.conv_id
+),
+y as (
+    select *, sum(length(head) + length(body) + 11)
+                  over (partition by conv_id, part, perspective order by turn nulls first, role, body) as ends
+    from x
+)
+select conv_id, perspective, part, count(*) as n_turns,
+       string_agg(head || body || '<|im_end|>' || chr(10), '' order by turn nulls first, role, body) as text,
+       coalesce(string_agg(case when role = perspective
+                                then cast(ends - 11 - length(body) as varchar) || '-' || cast(ends - 1 as varchar) end,
+                           ',' order by turn nulls first, role, body), '') as spans,
+       cast(sum(case when role = perspective then length(body) + 10 else 0 end) as bigint) as n_trained
+from y group by conv_id, perspective, part
+""",
+    # every window that begins with a shingle of the item, compared outright
+    "op7_decontamination": r"""
+with d as (
+    select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
+),
+ds as (
+    select doc_id, len(w) as n, unnest(range(0, len(w) - 4)) as pos,
+           unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) as s
+    from d where len(w) >= 5
+),
+i as (
+    select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark
+),
+shingle as (
+    select item_id, len(w) as m, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) as s
+    from i where len(w) >= 5
+),
+counted as (select item_id, m, s, count(*) as c from shingle group by item_id, m, s),
+starts as (
+    select distinct doc_id, item_id, m, least(pos, n - m) as start from ds join counted using (s) where n >= m
+),
+shared as (
+    select a.doc_id, a.item_id, a.m, a.start, ds.s, count(*) as c
+    from starts a join ds on ds.doc_id = a.doc_id and ds.pos between a.start and a.start + a.m - 5
+    group by all
+),
+alike as (
+    select x.doc_id, x.item_id, x.m, x.start, sum(least(x.c, counted.c)) as n_both
+    from shared x join counted on counted.item_id = x.item_id and counted.s = x.s group by all
+),
+scored as (select *, cast(n_both as double) / cast(2 * (m - 4) - n_both as double) as similarity from alike)
+select doc_id, item_id, cast(start as integer) as start_word, cast(m as integer) as n_words, similarity
+from scored where similarity >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+""",
+}
