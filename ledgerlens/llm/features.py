@@ -104,14 +104,20 @@ def _chars(buf: np.ndarray, n: int) -> np.ndarray:
 
 def hashed(block: Block):
     """Per family: bucket of each n-gram, and first and last-plus-one index of each text's n-grams."""
+    for buckets, lo, hi in _ngrams(block):
+        lo = np.minimum(lo, len(buckets))  # texts at the end that are too short for one
+        yield buckets, lo, np.maximum(lo, hi)
+
+
+def _ngrams(block: Block):
     lo, end = block.off[:-1], block.off[1:] - 1
-    yield _chars(block.buf, 3), lo, np.maximum(lo, end - 2)
+    yield _chars(block.buf, 3), lo, end - 2
     starts, ends = block.words()
     hashes, bounds = block.hashes(starts, ends), block.per_row(starts)
     top = np.uint64(64 - BITS)
     yield (hashes >> top).astype(np.int64) + (1 << BITS), bounds[:-1], bounds[1:]
     pairs = (windows(hashes, 2) >> top).astype(np.int64) + (2 << BITS)
-    yield pairs, bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - 1)
+    yield pairs, bounds[:-1], bounds[1:] - 1
 
 
 SCALE = 10.0  # a family's frequencies of one text add up to this
