@@ -82,6 +82,11 @@ def sample_of(found: DataFrame, at_least: int = 15) -> Sample:
     return Sample(first, bucket[keep], value[keep].astype(np.float64), wide, np.fromiter((r.label for r in got), np.int64, len(got)))
 
 
+def held_rows(n: int) -> np.ndarray:
+    """A fixed random quarter of ``n`` rows, for calibration."""
+    return np.random.default_rng(0).permutation(n) % 4 == 3
+
+
 def descend(grad: Callable[[np.ndarray], np.ndarray], size: int, steps: int, rate: float = 0.1) -> np.ndarray:
     """Minimise by full-batch gradient steps with momentum and per-weight scaling, the rate falling to zero."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .features import WIDTH, linear_scores, text_stats
 from .frames import map_texts
 from .kernels import Block, blocks
-from .linear import Sample, descend, labelled_rows, platt, sample_of, sigmoid
+from .linear import Sample, descend, held_rows, labelled_rows, platt, sample_of, sigmoid
 
 SAMPLE = 4000  # labelled rows that the model is fitted on, at most
 KEEP = 0.5  # probability of good quality from which a text is kept
@@ -52,7 +52,7 @@ def fit_sample(s: Sample, steps: int = 60, ridge: float = 1e-5) -> QualityModel:
     n = len(s.label)
     if not n or s.label.min() == s.label.max():
         return QualityModel(np.zeros(WIDTH), 0.0, 30.0)
-    held = np.arange(n) % 4 == 3
+    held = held_rows(n)
     weight = np.where(s.label == 1, 0.5 / max(s.label.sum(), 1), 0.5 / max((1 - s.label).sum(), 1)) * ~held
 
     def grad(w: np.ndarray) -> np.ndarray:
