@@ -19,8 +19,11 @@ def test_ids_match_the_library():
     rng = random.Random(2)
     letters = "abE 'sre\n\t.!?12É三² <|endoftext|>\x1c\x85éİß"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["", None, "don't  Stop", "ΑΣ ΟΔΟΣ"]
-    for t in texts:
-        assert np.frombuffer(pk.token_ids(t, PATH, 1), "<u4").tolist() == lib_ids(t), repr(t)
+    texts += ["<|ENDOFTEXT|> A", "x<|endoftext|>. Y!", "a'!? b\u0338 <\u0338", "and$$$. thhe### |", "don't. they'll, É. é!", "".join(chr(c) for c in range(32, 700))]
+    raws = [(t or "").encode() for t in texts]
+    for got in (pk.token_ids(raws, PATH, 1), [pk.token_ids([r], PATH, 1)[0] for r in raws]):
+        for t, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u4").tolist() == lib_ids(t), repr(t)
 
 
 def check(rows, placed, capacity):
