@@ -53,46 +53,15 @@ def months(n: int) -> Column:
     return F.make_ym_interval(F.lit(0), F.lit(n))
 
 
-def as_money(c: str | Column) -> Column:
-    return col(c).cast(MONEY)
-
-
-def as_money_sum(c: str | Column) -> Column:
-    return col(c).cast(MONEY_SUM)
-
-
-def round6(c: str | Column) -> Column:
-    return F.round(col(c), 6)
-
-
 def normalize_plan(plan: str | Column) -> Column:
     """Fold case and collapse name drift of a plan tier.
 
     Fixed values that must equal the reference's rule: ``pro`` and
-    ``professional`` become ``pro``; ``enterprise`` stays ``enterprise``;
-    anything else is lower-cased; NULL stays NULL.
+    ``professional`` become ``pro``; anything else is lower-cased; NULL stays
+    NULL.
     """
     p = F.lower(col(plan))
-    return F.when(p.isin("pro", "professional"), F.lit("pro")).when(p == "enterprise", F.lit("enterprise")).otherwise(p)
-
-
-def closed_buckets(value: str | Column, edges: Sequence[tuple[str, float | None, float | None]], default: str) -> Column:
-    """Label ``value`` by the first closed range ``[lo, hi]`` that holds it.
-
-    ``edges`` is ``[(label, lo, hi), ...]``; a ``None`` bound is open. Values
-    in no range (gaps between closed integer ranges, NULL) get ``default``,
-    which is how a searched ``CASE ... ELSE`` behaves.
-    """
-    v = col(value)
-    expr = None
-    for label, lo, hi in edges:
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (v >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (v <= F.lit(hi)) if lo is not None else (v < F.lit(hi))
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(default))
+    return F.when(p == "professional", F.lit("pro")).otherwise(p)
 
 
 def bucket_ordinal(label: str | Column, labels: Sequence[str]) -> Column:

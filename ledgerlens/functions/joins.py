@@ -1,105 +1,25 @@
 """Joins of fact rows to per-key rows that survive a hot key.
 
-AQE splits a skewed sort-merge join only when both inputs are plain shuffle
-stages. The operators mostly join raw fact rows (events) to a per-key frame
-that an aggregate has already hash-partitioned on the key (first cancel per
-account, first start per account, session -> customer, ...), so AQE cannot
-split there and every row of a hot key would meet in one task.
-
-``salted_join`` handles it explicitly:
-
-1. hot keys are estimated from a sample of the fact rows' key column - keys
-   whose estimated row count reaches ``hotRows``; at most ``maxHotKeys`` of
-   them (ordered by count, then key), so the list that is broadcast has a
-   fixed bound; the list is checkpointed once;
-2. fact rows of a hot key get a salt from a hash of their content and input
-   partition (stable when a task is retried), all other rows salt 0;
-3. per-key rows of a hot key are repeated once per salt, others once;
-4. the join runs on (key, salt): a hot key is spread over as many salts as
-   it has about ``hotRows`` rows (at least 2, at most ``salts``), so each
-   salt task gets a bounded share of it.
-
-The result equals the plain join for inner and left joins with the fact on
-the left: each fact row meets each per-key row of its key exactly once.
-Knobs (session conf): ``ledgerlens.skew.hotRows`` (default 2,000,000),
-``ledgerlens.skew.salts`` (most salts per key, 4096), ``ledgerlens.skew.sampleEvery`` (1000),
-``ledgerlens.skew.maxHotKeys`` (1000).
+Adaptive execution splits the partition of a hot key (and broadcasts a side
+that turns out small) only where both inputs of a join are plain shuffles. A
+per-key frame fresh from ``groupBy(key)`` is not: it is already partitioned by
+its aggregate, so all fact rows of a hot key would meet in one task.
+``keyed_join`` writes that frame first. Then both sides are scans or plain
+shuffles whatever the data look like: no key is listed, sampled or capped, and
+no row count picks another plan. ``spark.sql.adaptive.forceOptimizeSkewedJoin``
+(``session.SCALE_DEFAULTS``) lets the split happen below an aggregate as well.
+Rows with a NULL key never match and are split like those of a hot key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import materialize
 
-DEFAULTS = {"hotRows": 2_000_000, "salts": 4096, "sampleEvery": 1000, "maxHotKeys": 1000}
-
-
-def _conf(df: DataFrame, name: str) -> int:
-    return int(df.sparkSession.conf.get(f"ledgerlens.skew.{name}", str(DEFAULTS[name])))
-
-
-def hot_keys(fact: DataFrame, key: str) -> DataFrame:
-    """Keys estimated to hold at least ``hotRows`` fact rows (bounded list).
 
-    Only the key column is sampled (the scan is pruned to it); the list is
-    checkpointed, so both sides of the salted join see the same keys.
-    """
-    every = _conf(fact, "sampleEvery")
-    hot_rows = _conf(fact, "hotRows")
-    limit = _conf(fact, "maxHotKeys")
-    max_salts = _conf(fact, "salts")
-    keys = fact.select(key).where(F.col(key).isNotNull())
-    sampled = keys if every <= 1 else keys.sample(fraction=1.0 / every, seed=17)
-    estimate = F.col("_n") * every
-    hot = (
-        sampled.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(estimate >= hot_rows)
-        .orderBy(F.col("_n").desc(), F.col(key))
-        .limit(limit)  # bounds the broadcast list; other keys take the plain path
-        # salts per key: about hotRows rows per salt, at least 2, at most max_salts
-        .select(key, F.least(F.greatest(F.ceil(estimate / hot_rows), F.lit(2)), F.lit(max_salts)).cast("int").alias("_ns"))
-    )
-    return materialize(hot)
-
-
-def salted_join(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``fact.join(keyed, key, how)`` with hot keys spread over salts."""
+def keyed_join(fact: DataFrame, keyed: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """``fact.join(keyed, key, how)``; ``keyed`` has one row per key and comes from an aggregate."""
     if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins (fact on the left)")
-    if _conf(fact, "salts") <= 1:
-        return fact.join(keyed, key, how)
-    hot = hot_keys(fact, key)  # key, _ns (salts for that key); at most maxHotKeys rows
-    # Row content plus the input partition: identical rows of a hot key from
-    # different partitions still spread; a retried task keeps its salts.
-    salt = F.pmod(F.xxhash64(F.lit("salt"), F.spark_partition_id(), *[F.col(c) for c in fact.columns]), F.col("_ns")).cast("int")
-    f = (
-        fact.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_ns").isNotNull(), salt).otherwise(F.lit(0)))
-        .drop("_ns")
-    )
-    k = (
-        keyed.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_ns").isNotNull(), F.sequence(F.lit(0), F.col("_ns") - 1)).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_ns")
-    )
-    return f.join(k, [key, "_salt"], how).drop("_salt")
-
-
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_or_salted(fact: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join a per-group side that is usually small: broadcast it when a count
-    shows at most ``ledgerlens.broadcast.maxRows`` rows (default 200,000; the
-    bound is checked, not assumed), else use ``salted_join``. Pass an already
-    checkpointed ``keyed`` so the count is a cheap read."""
-    limit = int(fact.sparkSession.conf.get("ledgerlens.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
-    if keyed.count() <= limit:
-        return fact.join(F.broadcast(keyed), key, how)
-    return salted_join(fact, keyed, key, how)
+        raise ValueError("keyed_join supports inner and left joins (fact on the left)")
+    return fact.join(materialize(keyed), key, how)

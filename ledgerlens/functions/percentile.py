@@ -2,22 +2,19 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
 one task's memory, and a window ordered within a group puts the whole group in
-one task. Both break when one group holds a third of all rows. This helper
-finds the exact order statistics in two distributed passes:
-
-1. One aggregate per group: the count ``n`` and approximate quantiles
-   (``percentile_approx``, rank error at most ``n / accuracy``) just below and
-   just above each wanted percentile. These bracket the exact values.
-2. Each value is mapped to either "below the bracket" or its own value when it
-   lies inside the bracket (values above are dropped) - the values meet their
-   group's brackets through a salted join, so a hot group is spread over many
-   tasks; a ``groupBy`` counts them (map-side partial aggregation), so only
-   the bracket slice - at most
-   about ``8 n / accuracy`` distinct values, or all values of a group with
-   ``n <= 2 * accuracy`` - reaches the window that turns counts into ranks.
-
-The result is the interpolated value of PostgreSQL/DuckDB ``percentile_cont``:
-with ``h = (n - 1) p``, ``x[floor h] + (h - floor h) (x[ceil h] - x[floor h])``.
+one task. Both break when one group holds a third of all rows. Here:
+
+1. values are counted per (group, value) with map-side partial aggregation,
+   dealt out by range of (group, value) and written with their partition's
+   number, so a group is spread over as many tasks as its values need;
+2. one row per group and partition (its number of values) gives the group's
+   size, the ranks each partition covers and the one or two partitions that
+   hold a wanted rank;
+3. a running count inside those partitions finds the values at these ranks.
+
+Every step is exact and the same at every size. The result is the interpolated
+value of PostgreSQL/DuckDB ``percentile_cont``: with ``h = (n - 1) p``,
+``x[floor h] + (h - floor h) (x[ceil h] - x[floor h])``.
 """
 
 from __future__ import annotations
@@ -28,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import broadcast_or_salted
 
 DEFAULT_ACCURACY = 100_000
 # Operators report percentiles to 9 decimals: below that, engines disagree in
@@ -43,7 +39,6 @@ def percentile_cont(
     percentiles: dict[str, float],
     accuracy: int = DEFAULT_ACCURACY,
     digits: int | None = None,
-    materialized: bool = False,
     approx: bool = False,
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per ``keys`` group.
@@ -52,125 +47,47 @@ def percentile_cont(
     are ignored; groups without a non-NULL value are absent from the result
     (callers left-join it to their group frame). Output columns are doubles,
     rounded to ``digits`` decimals when given (engines differ in the last bit
-    of the interpolation).
-
-    The values are read twice, so unless the caller says ``df`` is already
-    ``materialized`` (checkpointed) they are checkpointed first; the small
-    per-group bracket table is checkpointed too, so every task - also one
-    retried after an executor loss - uses the same brackets. Both are eager
-    jobs.
+    of the interpolation). ``df`` is read once.
 
     ``approx=True`` returns ``percentile_approx`` (nearest sample value, rank
-    error at most n / accuracy) from a single aggregate instead: one pass,
-    bounded memory per group, not the interpolated exact value.
+    error at most n / accuracy) from a single aggregate instead.
     """
     keys = list(keys)
     if not keys:  # one global group
-        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits, materialized, approx)
+        out = percentile_cont(df.withColumn("_g", F.lit(0)), ["_g"], value, percentiles, accuracy, digits, approx)
         return out.drop("_g")
-    names = list(percentiles)
-    ps = [float(percentiles[n]) for n in names]
-    if not names:
+    if not percentiles:
         raise ValueError("no percentile requested")
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if approx:
-        v = F.col(value).cast("double")
-        cols = [F.percentile_approx(v, p, accuracy) for p in ps]
-        if digits is not None:
-            cols = [F.round(c, digits) for c in cols]
-        return df.where(v.isNotNull()).groupBy(*keys).agg(*[c.alias(n) for c, n in zip(cols, names)])
-    margin = 4.0 / accuracy
-    exact_below = 2 * accuracy  # groups this small keep every value in the slice
-
-    vals = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    vals = vals.withColumn("_gid", F.xxhash64(*[F.col(k) for k in keys]))  # non-NULL join id of the group
-    if not materialized:
-        vals = materialize(vals)
-
-    probes = []
-    for p in ps:
-        probes += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = vals.groupBy("_gid", *keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", probes, accuracy).alias("_q"),
-    )
-    # One row per (group, wanted percentile) with its exact target ranks and
-    # the value bracket [lo, hi] that is guaranteed to contain them.
-    targets = stats.select(
-        "_gid",
-        *keys,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(j).alias("j"),
-                        F.lit(p).alias("p"),
-                        F.when(F.col("_n") > exact_below, F.col("_q")[2 * j]).alias("lo"),
-                        F.when(F.col("_n") > exact_below, F.col("_q")[2 * j + 1]).alias("hi"),
-                    )
-                    for j, p in enumerate(ps)
-                ]
-            )
-        ).alias("_t"),
-    ).select(
-        "_gid",
-        *keys,
-        F.col("_t.j").alias("_j"),
-        ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"),
-        F.col("_t.lo").alias("_lo"),
-        F.col("_t.hi").alias("_hi"),
-    ).withColumn("_klo", F.floor("_h")).withColumn("_khi", F.ceil("_h"))
-    # The approximate brackets depend on the order partial summaries are merged
-    # in, so a stage retried after an executor loss could see other brackets
-    # than the tasks that already ran; writing the (small) table once pins them.
-    targets = materialize(targets)
-
-    # Pass 2: below-bracket values collapse into one counted row per target
-    # (marker _in = 0 sorts first); in-bracket values are counted per value.
-    below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
-    inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    # Every value meets the brackets of its group: a broadcast while the
-    # (checkpointed) bracket table is small, else a join on the group's hash id
-    # salted so a group holding most of the values is spread over many tasks.
-    # The keys themselves are then compared NULL-safely.
-    brackets = targets.select("_gid", *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_j", "_lo", "_hi")
-    same_group = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_b{i}"))
-        same_group = c if same_group is None else same_group & c
-    slice_counts = (
-        broadcast_or_salted(vals, brackets, "_gid")
-        .where(same_group)
-        .where(below | inside)
-        .select(
-            *keys,
-            "_j",
-            F.when(below, F.lit(0)).otherwise(F.lit(1)).alias("_in"),
-            F.when(below, F.lit(None).cast("double")).otherwise(F.col("_v")).alias("_x"),
-        )
-        .groupBy(*keys, "_j", "_in", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        cols = [F.percentile_approx("_v", float(p), accuracy) for p in percentiles.values()]
+        cols = cols if digits is None else [F.round(c, digits) for c in cols]
+        return vals.groupBy(*keys).agg(*[c.alias(n) for c, n in zip(cols, percentiles)])
+
+    counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    dealt = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "_p").agg(F.sum("_c").alias("_pc")).select(
+        *keys, "_p", "_pc", F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_before"), F.sum("_pc").over(group).alias("_n")
     )
-    w = Window.partitionBy(*keys, "_j").orderBy("_in", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = slice_counts.withColumn("_cum", F.sum("_c").over(w)).where(F.col("_in") == 1)
-    # Value x covers ranks [cum - c, cum - 1] (0-based).
-    located = _join_null_safe(ranked, targets.select(*keys, "_j", "_h", "_klo", "_khi"), [*keys, "_j"])
-    covers = lambda k: (F.col("_cum") - F.col("_c") <= F.col(k)) & (F.col(k) < F.col("_cum"))
-    picked = (
-        located.where(covers("_klo") | covers("_khi"))
-        .groupBy(*keys, "_j", "_h", "_klo")
-        .agg(
-            F.max(F.when(covers("_klo"), F.col("_x"))).alias("_xlo"),
-            F.max(F.when(covers("_khi"), F.col("_x"))).alias("_xhi"),
-        )
-        .select(
-            *keys,
-            "_j",
-            (F.col("_xlo") + (F.col("_h") - F.col("_klo")) * (F.col("_xhi") - F.col("_xlo"))).alias("_pv"),
-        )
+    # one row per group, wanted percentile and partition that holds one of its two ranks
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(percentiles.values())]))
+    targets = parts.withColumn("_t", each).select(*keys, "_p", "_before", "_pc", F.col("_t.j").alias("_j"), ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"))
+    targets = targets.withColumn("_klo", F.floor("_h")).withColumn("_khi", F.ceil("_h"))
+    targets = materialize(targets.where((F.col("_khi") >= F.col("_before")) & (F.col("_klo") < F.col("_before") + F.col("_pc"))).drop("_pc"))
+    within = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = _join_null_safe(dealt, targets.select(*keys, "_p").distinct(), [*keys, "_p"]).withColumn("_cum", F.sum("_c").over(within))
+    located = _join_null_safe(needed, targets, [*keys, "_p"])
+    # a value covers ranks [before + cum - c, before + cum - 1]
+    last = F.col("_before") + F.col("_cum")
+    covers = lambda k: (last - F.col("_c") <= F.col(k)) & (F.col(k) < last)
+    ends = located.groupBy(*keys, "_j", "_h", "_klo").agg(
+        F.max(F.when(covers("_klo"), F.col("_v"))).alias("_xlo"), F.max(F.when(covers("_khi"), F.col("_v"))).alias("_xhi")
     )
-    out = F.col("_pv") if digits is None else F.round("_pv", digits)
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, out)).alias(name) for j, name in enumerate(names)])
+    exact = F.col("_xlo") + (F.col("_h") - F.col("_klo")) * (F.col("_xhi") - F.col("_xlo"))
+    exact = exact if digits is None else F.round(exact, digits)
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, exact)).alias(name) for j, name in enumerate(percentiles)])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,21 +2,16 @@
 
 ``rank() over (order by v)`` with no partition makes Spark move the whole
 frame into a single partition. Here the rank of a value is one plus the
-number of rows ordered before it, computed in buckets of the value order:
+number of rows ordered before it:
 
 1. distinct values with their row counts (``groupBy`` with partial
-   aggregation - ties collapse to one row);
-2. bucket boundaries = approximate quantiles of the distinct values (one
-   aggregate, attached as a scalar subquery); a value's bucket is the number
-   of boundaries below it, so equal values always share a bucket; the
-   bucketed distinct values are checkpointed, so both reads below see the
-   same bounds;
-3. rows per bucket and their running total over the buckets (a window over
-   at most ``buckets + 1`` rows);
-4. inside each bucket a running count over its own values (a window
-   partitioned by bucket; buckets hold similar numbers of distinct values);
-5. rank = rows in earlier buckets + rows earlier in the bucket + 1, joined
-   back to the frame by value.
+   aggregation - ties collapse to one row), dealt out by range of the value
+   and written with their partition's number;
+2. rows per partition and their running total (a window over one row per
+   partition);
+3. inside each partition a running count over its own values;
+4. rank = rows in earlier partitions + rows earlier in the partition + 1,
+   joined back to the frame by value.
 """
 
 from __future__ import annotations
@@ -27,33 +22,24 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .percentile import attach
 
-DEFAULT_BUCKETS = 256
 
-
-def global_rank(df: DataFrame, value: str, out: str, ascending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``df`` plus column ``out`` = ``rank() over (order by value [desc])``.
+def value_ranks(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
+    """``value, out`` for each distinct value: its ``rank() over (order by value [desc])`` in ``df``.
 
     Null placement follows Spark's default for the direction (first when
     ascending, last when descending), as ``F.rank().over(...)`` would.
     """
-    v = F.col(value)
+    order = F.col(value).asc() if ascending else F.col(value).desc()
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    probes = [i / buckets for i in range(1, buckets)]
-    bounds = counts.agg(F.percentile_approx(value, probes, 10 * buckets).alias("_b")).scalar()
-    bucket = F.when(v.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.col("_b"), lambda b: b < v)))
-    # written once: the approximate bounds must be the same for both reads below
-    keyed = materialize(counts.select("*", bounds.alias("_b")).withColumn("_k", bucket).drop("_b"))
-    key_order = F.col("_k").asc() if ascending else F.col("_k").desc()
-    val_order = v.asc() if ascending else v.desc()
-    before_bucket = keyed.groupBy("_k").agg(F.sum("_c").alias("_kc")).select(
-        "_k",
-        F.coalesce(F.sum("_kc").over(Window.orderBy(key_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
-    in_bucket = Window.partitionBy("_k").orderBy(val_order).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
-        keyed.withColumn("_before", F.coalesce(F.sum("_c").over(in_bucket), F.lit(0)))
-        .join(before_bucket, "_k", "inner")
-        .select(value, (F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out))
-    )
-    return attach(df, ranks, [value], "left")
-
+    dealt = materialize(counts.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_p").agg(F.sum("_c").alias("_pc")).select("_p", F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_c").over(within), F.lit(0))
+    ranks = dealt.withColumn("_before", before).join(offsets, "_p")
+    return materialize(ranks.select(value, (F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out)))
+
+
+def global_rank(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
+    """``df`` plus column ``out`` = ``rank() over (order by value [desc])``."""
+    return attach(df, value_ranks(df, value, out, ascending), [value], "left")

@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
-from ..functions.joins import broadcast_or_salted, salted_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
-from ..functions.ranking import global_rank
+from ..functions.ranking import value_ranks
 from ..session import materialize
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
@@ -58,28 +57,20 @@ def _signups(customers: DataFrame, since: dt.date) -> DataFrame:
 
 def _window_sessions(sessions: DataFrame, signups: DataFrame) -> DataFrame:
     """Sessions of customers who signed up in the window, with the signup
-    time (session grain, salted for a hot customer), written once."""
-    return materialize(
-        salted_join(
-            sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull()),
-            signups.select("customer_id", "signup_at"),
-            "customer_id",
-        )
-    )
+    time (session grain), written once."""
+    known = sessions.select("session_id", "customer_id").where(F.col("customer_id").isNotNull())
+    return materialize(known.join(signups.select("customer_id", "signup_at"), "customer_id"))
 
 
 def _signup_activity(events: DataFrame, sessions: DataFrame, signups: DataFrame, types: Sequence[str]) -> DataFrame:
     """Events of ``types`` with their customer and signup time.
 
-    Events meet the window's sessions on ``session_id``: by broadcast while
-    that frame is small (a narrow signup window), so the event table is never
-    shuffled, else by a join salted for hot sessions.
+    Events meet the window's sessions on ``session_id``. Both are scans here, so
+    Spark broadcasts the sessions if their size allows, else shuffles both and
+    splits a hot session.
     """
-    return broadcast_or_salted(
-        events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at"),
-        _window_sessions(sessions, signups),
-        "session_id",
-    )
+    acts = events.where(F.col("event_type").isin(*types)).select("session_id", "occurred_at")
+    return acts.join(_window_sessions(sessions, signups), "session_id")
 
 
 # --------------------------------------------------------------------- E1
@@ -100,30 +91,19 @@ def activation_curve(
     first action precedes signup is not activated even if they act again in
     the window. ``strict=True`` takes the first action at or after signup.
 
-    Plan: the type filter is applied to the event scan (pushed down), events
-    are reduced to one minimum per session; only sessions of customers in the
-    signup window go on to the per-customer minimum; the percentile helper
-    never gathers a cohort in one task.
+    Plan: the type filter is applied to the event scan (pushed down); events
+    meet the sessions of customers in the signup window and are reduced to one
+    minimum per customer; the percentile helper never gathers a cohort in one
+    task.
     """
     signups = _signups(customers, since)
-    if not strict:
-        first_per_session = (
-            events.where(F.col("event_type").isin(*types)).groupBy("session_id").agg(F.min("occurred_at").alias("first_at"))
-        )
-        # only sessions of customers in the window reach the per-customer step
-        first = (
-            broadcast_or_salted(first_per_session, _window_sessions(sessions, signups).select("session_id", "customer_id"), "session_id")
-            .groupBy("customer_id")
-            .agg(F.min("first_at").alias("first_action_at"))
-        )
-    else:
+    if strict:
         # activity at or after a signup in the window is at or after `since`
-        first = (
-            _signup_activity(events.where(F.col("occurred_at") >= _since(since)), sessions, signups, types)
-            .where(F.col("occurred_at") >= F.col("signup_at"))
-            .groupBy("customer_id")
-            .agg(F.min("occurred_at").alias("first_action_at"))
-        )
+        acts = _signup_activity(events.where(F.col("occurred_at") >= _since(since)), sessions, signups, types)
+        acts = acts.where(F.col("occurred_at") >= F.col("signup_at"))
+    else:
+        acts = _signup_activity(events, sessions, signups, types)
+    first = acts.groupBy("customer_id").agg(F.min("occurred_at").alias("first_action_at"))
     fa = F.col("first_action_at")
     activated = fa.isNotNull() & (fa >= F.col("signup_at")) & (fa <= F.col("signup_at") + days(window_days))
     calc = materialize(
@@ -142,7 +122,6 @@ def activation_curve(
         "minutes_to_activation",
         {"median_minutes_to_activation": 0.5, "p90_minutes_to_activation": 0.9},
         digits=PERCENTILE_DIGITS,
-        materialized=True,
         approx=approx_percentiles,
     )
     return attach(cohorts.select("*", ratio("activated_7d", "cohort_size").alias("activation_rate_7d")), pct, ["signup_week"]).orderBy(
@@ -253,8 +232,9 @@ def product_engagement(
 
     Plan: one pass over the events pre-aggregates to (variant, cart session)
     before the variant join, so the join sees one row per variant and cart
-    session instead of one per event. The two catalogue-wide ranks use
-    ``global_rank`` (bucketed offsets), so no task holds the whole catalogue.
+    session instead of one per event. The two catalogue-wide ranks come from
+    distinct values with their counts (``value_ranks``), so no task holds the
+    whole catalogue.
     """
     ev = events.where(F.col("event_type").isin(VIEW, ADD_TO_CART) & F.col("variant_id").isNotNull())
     pre = ev.groupBy("variant_id", F.when(F.col("event_type") == ADD_TO_CART, F.col("session_id")).alias("cart_session")).agg(
@@ -278,13 +258,12 @@ def product_engagement(
             ratio("add_to_cart_sessions", "views").alias("atc_rate"),
         )
     )
-    medians = materialize(
-        percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
-    )
-    # inner join on category (NULL categories drop out, as in the SQL):
-    # broadcast under a checked category count, salted beyond it
-    joined = broadcast_or_salted(rates.where(F.col("category").isNotNull()), medians, "category")
-    ranked = global_rank(global_rank(joined, "views", "views_rank", ascending=False), "atc_rate", "atc_rate_rank", ascending=True)
+    medians = materialize(percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, approx=approx_percentiles))
+    # inner join on category: NULL categories drop out, as in the SQL
+    named = rates.where(F.col("category").isNotNull())
+    by_views = value_ranks(named, "views", "views_rank", ascending=False)
+    by_rate = value_ranks(named, "atc_rate", "atc_rate_rank")
+    ranked = attach(attach(named.join(medians, "category"), by_views, ["views"]), by_rate, ["atc_rate"])
     return ranked.select(
         "product_id",
         "product_name",
@@ -292,7 +271,7 @@ def product_engagement(
         "views",
         "add_to_cart_sessions",
         "atc_rate",
-        (F.col("atc_rate") - F.col("category_median_atc_rate")).alias("atc_rate_vs_category_median"),
+        F.round(F.col("atc_rate") - F.col("category_median_atc_rate"), PERCENTILE_DIGITS).alias("atc_rate_vs_category_median"),
         "views_rank",
         "atc_rate_rank",
     ).orderBy(F.col("views").desc())

@@ -1,8 +1,8 @@
 """Subscription-revenue operators (the ``saas`` queries and sample queries).
 
 Every operator is a pure function from DataFrames and parameters to a
-DataFrame (operators with percentiles or salted joins run small eager
-checkpoint jobs while being built). Defaults follow the reference queries; ``strict=True`` switches on
+DataFrame (operators with percentiles, ranks or per-account joins write a few
+reduced tables while being built). Defaults follow the reference queries; ``strict=True`` switches on
 the corrected reading of a rule that looks unintended (see README).
 
 Scale notes that apply throughout:
@@ -11,13 +11,10 @@ Scale notes that apply throughout:
   aggregates (``groupBy`` with map-side partial aggregation, ``min``/``max`` of
   a struct for arg-min/arg-max), never windows partitioned by account: one
   account may hold a third of all rows.
-* Fact rows meet per-account facts through equi-joins on ``account_id``.
-  AQE cannot split a hot key there (the per-account side is already
-  partitioned by its aggregate), so these joins are salted for hot keys
-  (``functions.joins.salted_join``). Explicit broadcasts are only of frames
-  whose size is checked or bounded: hot-key lists (at most ``maxHotKeys``)
-  and small per-group sides behind a row count (``broadcast_or_salted``).
-  One-row totals are attached as scalar subqueries, not joined.
+* Fact rows meet per-account facts through equi-joins on ``account_id``, with
+  the per-account side written first (``functions.joins.keyed_join``), so that
+  adaptive execution can split a hot account or broadcast a small side. There
+  is no broadcast hint; one-row totals are attached as scalar subqueries.
 * Month- or cohort-grain outputs use windows without partition only after the
   data has been reduced to that grain.
 """
@@ -31,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
-from ..functions.joins import broadcast_or_salted, salted_join
+from ..functions.asof import next_event
+from ..functions.joins import keyed_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..session import materialize
 
@@ -89,7 +87,7 @@ def mrr_movements(
     scoped = ev.where((etype != TRIAL_STARTED) & (t <= _ts(as_of)))
 
     starts = (
-        salted_join(scoped.where(etype.isin(*START_TYPES)), first_cancel, "account_id", "left")
+        keyed_join(scoped.where(etype.isin(*START_TYPES)), first_cancel, "account_id", "left")
         .select(
             month_start(t).alias("month"),
             delta,
@@ -145,7 +143,8 @@ def trial_conversion(
     A trial converts at the account's first ``trial_converted`` /
     ``subscription_started`` event ever, counted only when it is not before the
     trial start (the reference rule). ``strict=True`` instead takes the first
-    conversion at or after each trial's start.
+    conversion at or after each trial's start (an as-of join: no trial meets
+    more than one conversion, however many an account has).
     """
     conv_events = sub_events.where(F.col("event_type").isin(*START_TYPES) & F.col("event_time").isNotNull()).select(
         "account_id", "event_time"
@@ -153,15 +152,9 @@ def trial_conversion(
     tr = trials.select("trial_id", "account_id", "started_at")
     if not strict:
         first_conv = conv_events.groupBy("account_id").agg(F.min("event_time").alias("first_conversion_at"))
-        joined = tr.join(first_conv, "account_id", "left")
+        joined = keyed_join(tr, first_conv, "account_id", "left")
     else:
-        per_trial = (
-            salted_join(conv_events, tr, "account_id")
-            .where(F.col("event_time") >= F.col("started_at"))
-            .groupBy("trial_id", "account_id", "started_at")
-            .agg(F.min("event_time").alias("first_conversion_at"))
-        )
-        joined = tr.join(per_trial, ["trial_id", "account_id", "started_at"], "left")
+        joined = next_event(tr, conv_events, "account_id", "started_at", "event_time", "first_conversion_at")
     days_to_convert = F.when(
         F.col("first_conversion_at").isNotNull() & (F.col("first_conversion_at") >= F.col("started_at")),
         elapsed("first_conversion_at", "started_at", "day"),
@@ -171,7 +164,7 @@ def trial_conversion(
     aggs += [F.count_if(F.col("days_to_convert") <= n).alias(f"converted_by_{n}d") for n in conversion_days]
     cohorts = calc.groupBy("trial_week").agg(*aggs)
     rates = [ratio(f"converted_by_{n}d", "trials_started").alias(f"conv_rate_{n}d") for n in conversion_days]
-    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
+    med = percentile_cont(calc, ["trial_week"], "days_to_convert", {"median_days_trial_to_paid": 0.5}, digits=PERCENTILE_DIGITS, approx=approx_percentiles)
     return attach(cohorts.select("*", *rates), med, ["trial_week"]).orderBy("trial_week")
 
 
@@ -230,7 +223,7 @@ def revenue_retention(
 
     etype, delta, t = F.col("event_type"), F.col("mrr_delta"), F.col("event_time")
     in_window = (
-        salted_join(
+        keyed_join(
             ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES) & (t <= _ts(as_of))),  # window ends by as_of
             starts.select("account_id", "start_time"),
             "account_id",
@@ -328,14 +321,10 @@ def feature_adoption(
     eligible = accounts.where(F.col("signup_date") <= _ts(cutoff)).select("account_id", "signup_date")
     latest = latest_subscription(subscriptions)
     how = "inner" if strict else "left"
-    retention = eligible.join(latest, "account_id", how).select(
-        "account_id",
-        "signup_date",
-        F.when(
-            F.col("cancelled_at").isNull() | (F.col("cancelled_at") > F.col("signup_date") + days(retain_days)), F.lit(1)
-        )
-        .otherwise(F.lit(0))
-        .alias("retained"),
+    kept = F.col("cancelled_at").isNull() | (F.col("cancelled_at") > F.col("signup_date") + days(retain_days))
+    # reduced and written once: read for the adopters and for the totals
+    retention = materialize(
+        eligible.join(latest, "account_id", how).select("account_id", "signup_date", F.when(kept, 1).otherwise(0).alias("retained"))
     )
 
     # Eligible accounts signed up by the cutoff, so no use after cutoff +
@@ -344,7 +333,6 @@ def feature_adoption(
     used = usage.where(F.col("feature_id").isNotNull() & (F.col("occurred_at") <= last_use)).select(
         "account_id", "feature_id", "occurred_at"
     )
-    per_account = retention.select("account_id", "signup_date", "retained")
     if min_uses <= 1 and not strict:
         # One use inside the window <=> the first use is inside it: reduce the
         # usage to one row per (account, feature) before it meets the accounts.
@@ -352,7 +340,7 @@ def feature_adoption(
         # hot key and needs no salt.
         first_use = used.groupBy("account_id", "feature_id").agg(F.min("occurred_at").alias("occurred_at"))
         adopters = (
-            first_use.join(per_account, "account_id", "inner")
+            first_use.join(retention, "account_id", "inner")
             .where(F.col("occurred_at") <= F.col("signup_date") + days(adopt_days))
             .select("account_id", "feature_id", "retained")
         )
@@ -361,7 +349,7 @@ def feature_adoption(
         if strict:
             window_ok = window_ok & (F.col("occurred_at") >= F.col("signup_date"))
         adopters = (
-            salted_join(used, per_account, "account_id")
+            keyed_join(used, retention, "account_id")
             .where(window_ok)
             .groupBy("account_id", "feature_id")
             .agg(F.count(F.lit(1)).alias("usage_count"), F.max("retained").alias("retained"))
@@ -378,8 +366,9 @@ def feature_adoption(
     per_account = pairs.groupBy(group_col, "account_id").agg(
         F.count(F.lit(1)).alias("nf"), F.max("retained").alias("retained")
     )
+    # null-safe: features without a name are a group of their own
     adopted = (
-        broadcast_or_salted(per_account, per_group_rows.select(group_col, "k"), group_col)
+        attach(per_account, per_group_rows.select(group_col, "k"), [group_col], "inner")
         .groupBy(group_col)
         .agg(
             F.sum("nf").alias("pairs"),
@@ -393,7 +382,7 @@ def feature_adoption(
     totals = retention.agg(F.count(F.lit(1)).alias("n_accounts"), F.sum("retained").alias("n_retained")).where(
         F.col("n_accounts") > 0
     )
-    base = per_group_rows.join(adopted, group_col, "left").select(
+    base = attach(per_group_rows, adopted, [group_col]).select(
         *per_group_rows.columns,
         F.coalesce("pairs", F.lit(0)).alias("pairs"),
         F.coalesce("pairs_retained", F.lit(0)).alias("pairs_retained"),
@@ -441,17 +430,15 @@ def expansion_revenue(
         .when((etype == PLAN_CHANGED) & (delta > 0), F.lit("plan_upgrade"))
         .alias("expansion_type"),
     )
-    j = materialize(
-        ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
-            "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
-        )
+    j = ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
+        "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
     )
     by_type = j.groupBy("expansion_type").agg(
         F.count(F.lit(1)).alias("expansion_events"),
         F.count_distinct("account_id").alias("accounts_expanded"),
         F.sum("mrr_delta").cast(MONEY_SUM).alias("expansion_mrr_total"),
     )
-    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS, materialized=True, approx=approx_percentiles)
+    med = percentile_cont(j, ["expansion_type"], "days_from_signup", {"median_days_from_signup_to_expansion": 0.5}, digits=PERCENTILE_DIGITS, approx=approx_percentiles)
     return attach(
         by_type.select("*", ratio("expansion_mrr_total", "accounts_expanded").alias("expansion_mrr_per_account")), med, ["expansion_type"]
     ).orderBy(F.col("expansion_mrr_total").desc_nulls_first())

@@ -21,23 +21,43 @@ FROM subscriptions s LEFT JOIN accounts a ON s.account_id = a.account_id
 GROUP BY 1
 """
 
+# the plan of a subscription: by id, or by text where there is no id (monthly first, then the smallest id)
+_PLAN_OF = f"""
+  SELECT s.*, coalesce(s.plan_id, p.plan_id) AS pid, coalesce(own.monthly_price, p.monthly_price) AS price
+  FROM subscriptions s
+  LEFT JOIN plans own ON own.plan_id = s.plan_id
+  LEFT JOIN (SELECT DISTINCT ON (tier) replace(lower(plan_name), 'professional', 'pro') AS tier, plan_id, monthly_price
+             FROM plans ORDER BY tier, billing_interval <> 'monthly', plan_id) p
+    ON s.plan_id IS NULL AND p.tier = {PLAN_OF_SUB.replace("(plan)", "(s.plan)")}"""
+
 SQL["mrr_price_check"] = f"""
 WITH priced AS (
-  SELECT coalesce(a.account_type, 'unknown') AS account_type, s.mrr,
-         CAST(p.monthly_price * s.seat_count AS DECIMAL(18,2)) AS list_mrr
-  FROM subscriptions s
-  LEFT JOIN accounts a ON s.account_id = a.account_id
-  LEFT JOIN plans p ON p.plan_name = ({PLAN_OF_SUB.replace("plan)", "s.plan)")})
+  SELECT coalesce(a.account_type, 'unknown') AS account_type, s.mrr, CAST(s.price * s.seat_count AS DECIMAL(18,2)) AS list_mrr
+  FROM ({_PLAN_OF}) s LEFT JOIN accounts a ON s.account_id = a.account_id
 )
 SELECT account_type,
        count(*) AS subscriptions,
-       count(*) FILTER (WHERE list_mrr IS NOT NULL) AS priced,
-       count(*) FILTER (WHERE mrr = list_mrr) AS price_match,
-       count(*) FILTER (WHERE mrr <> list_mrr) AS price_mismatch,
-       CAST(sum(mrr - list_mrr) FILTER (WHERE mrr <> list_mrr) AS DECIMAL(38,2)) AS mismatch_mrr_gap
+       count(list_mrr) AS priced,
+       count(*) FILTER (mrr = list_mrr) AS price_match,
+       count(*) FILTER (mrr <> list_mrr) AS price_mismatch,
+       CAST(sum(mrr - list_mrr) FILTER (mrr <> list_mrr) AS DECIMAL(38,2)) AS mismatch_mrr_gap
 FROM priced GROUP BY account_type
 """
 
+SQL["signup_lag"] = """
+WITH utc AS (
+  SELECT account_type, signup_date - INTERVAL 2 HOUR AS signed,
+         (SELECT min(event_time) FROM subscription_events e WHERE e.account_id = a.account_id) - INTERVAL 330 MINUTE AS first_at
+  FROM accounts a
+)
+SELECT account_type, count(*) AS accounts,
+       count(*) FILTER (CAST(signed AS DATE) = CAST(first_at AS DATE)) AS same_utc_day,
+       count(*) FILTER (first_at < signed) AS event_before_signup,
+       round(min(date_diff('microsecond', signed, first_at) / 3.6e9), 6) AS min_hours,
+       round(max(date_diff('microsecond', signed, first_at) / 3.6e9), 6) AS max_hours
+FROM utc WHERE first_at IS NOT NULL GROUP BY account_type
+"""
+
 SQL["status_counts"] = """
 SELECT status, count(*) AS subscriptions, CAST(sum(count(*)) OVER () AS BIGINT) AS total_subscriptions
 FROM subscriptions GROUP BY status
@@ -56,10 +76,8 @@ FROM trials t
 """
 
 SQL["plan_id_backfill"] = f"""
-SELECT s.subscription_id, s.plan, s.plan_id,
-       coalesce(s.plan_id, p.plan_id) AS resolved_plan_id,
-       CAST(s.plan_id IS NULL AND p.plan_id IS NOT NULL AS INTEGER) AS backfilled
-FROM subscriptions s LEFT JOIN plans p ON p.plan_name = ({PLAN_OF_SUB.replace("plan)", "s.plan)")})
+SELECT subscription_id, plan, plan_id, pid AS resolved_plan_id, CAST(plan_id IS NULL AND pid IS NOT NULL AS INTEGER) AS backfilled
+FROM ({_PLAN_OF})
 """
 
 SQL["future_dated_events"] = f"""

@@ -1,10 +1,11 @@
 """DuckDB oracle SQL per registry key.
 
-Each query states the reference semantics directly over the role views
-(correlated EXISTS, cross joins, filtered distinct counts), never the
-algebraic rewrites the Spark operators use, so the comparison tests the
-rewrites. Money is cast to DECIMAL(38,2), ratios are computed as DOUBLE
-division, counts are BIGINT, buckets of time are DATEs, on both sides.
+Each query states an operator's rules over the role views in a form of its own:
+facts are gathered per customer, session, account or trial as lists or single
+rows, and the rules are read off these. Neither the steps of the Spark plans nor
+any other SQL is followed, so agreement of the two results says something about
+both. Money is cast to DECIMAL(38,2), ratios are DOUBLE divisions, counts are
+BIGINT, weeks and months are DATEs.
 """
 
 from __future__ import annotations
@@ -14,505 +15,307 @@ from .roles import ECOM_SINCE, SAAS_AS_OF, with_roles
 S = f"TIMESTAMP '{ECOM_SINCE} 00:00:00'"
 A = f"DATE '{SAAS_AS_OF}'"
 STARTS = "('subscription_started', 'trial_converted')"
+PLAN_NORMALIZED = "replace(lower(plan), 'professional', 'pro')"
+
+_DAY = 86_400_000_000  # microseconds
 
 
 def ratio(n: str, d: str) -> str:
     return f"CAST({n} AS DOUBLE) / NULLIF(CAST({d} AS DOUBLE), 0)"
 
 
-def micros_as(unit_micros: int, end: str, start: str) -> str:
-    return f"CAST(date_diff('microsecond', {start}, {end}) AS DOUBLE) / CAST({unit_micros} AS DOUBLE)"
-
-
 def money(expr: str, name: str) -> str:
     return f"CAST({expr} AS DECIMAL(38,2)) AS {name}"
 
 
 SQL: dict[str, str] = {}
 
-# ---------------------------------------------------------------- E1
-SQL["activation_curve"] = f"""
-WITH per_customer AS (
-  SELECT c.customer_id,
-         CAST(date_trunc('week', c.created_at) AS DATE) AS signup_week,
-         c.created_at AS signup_at,
-         min(se.occurred_at) FILTER (WHERE se.event_type IN ('add_to_cart', 'begin_checkout', 'purchase')) AS first_at
-  FROM customers c
-  LEFT JOIN sessions s ON c.customer_id = s.customer_id
-  LEFT JOIN session_events se ON s.session_id = se.session_id
-  WHERE c.created_at >= {S}
-  GROUP BY c.customer_id, 2, c.created_at
-), flagged AS (
-  SELECT signup_week,
-         CASE WHEN first_at IS NOT NULL AND first_at >= signup_at AND first_at <= signup_at + INTERVAL 7 DAY
-              THEN 1 ELSE 0 END AS activated,
-         CASE WHEN first_at IS NOT NULL AND first_at >= signup_at AND first_at <= signup_at + INTERVAL 7 DAY
-              THEN {micros_as(60_000_000, 'first_at', 'signup_at')} END AS minutes
-  FROM per_customer
-)
-SELECT signup_week,
-       count(*) AS cohort_size,
-       CAST(sum(activated) AS BIGINT) AS activated_7d,
-       {ratio('sum(activated)', 'count(*)')} AS activation_rate_7d,
-       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes), 9) AS median_minutes_to_activation,
-       round(percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes), 9) AS p90_minutes_to_activation
-FROM flagged
-GROUP BY signup_week
-"""
 
-SQL["activation_curve_strict"] = f"""
-WITH per_customer AS (
-  SELECT c.customer_id,
-         CAST(date_trunc('week', c.created_at) AS DATE) AS signup_week,
-         c.created_at AS signup_at,
-         min(se.occurred_at) FILTER (WHERE se.event_type IN ('add_to_cart', 'begin_checkout', 'purchase')
-                                       AND se.occurred_at >= c.created_at) AS first_at
-  FROM customers c
-  LEFT JOIN sessions s ON c.customer_id = s.customer_id
-  LEFT JOIN session_events se ON s.session_id = se.session_id
-  WHERE c.created_at >= {S}
-  GROUP BY c.customer_id, 2, c.created_at
-), flagged AS (
-  SELECT signup_week,
-         CASE WHEN first_at IS NOT NULL AND first_at >= signup_at AND first_at <= signup_at + INTERVAL 7 DAY
-              THEN 1 ELSE 0 END AS activated,
-         CASE WHEN first_at IS NOT NULL AND first_at >= signup_at AND first_at <= signup_at + INTERVAL 7 DAY
-              THEN {micros_as(60_000_000, 'first_at', 'signup_at')} END AS minutes
-  FROM per_customer
+# ------------------------------------------------------------ E1 activation
+def _activation(first_action: str) -> str:
+    """``first_action``: the action that counts, of the customer's sorted action times ``times``."""
+    in_time = f"us BETWEEN 0 AND {7 * _DAY}"
+    return f"""
+WITH lag AS (
+  SELECT CAST(date_trunc('week', created_at) AS DATE) AS signup_week,
+         date_diff('microsecond', created_at, {first_action}) AS us
+  FROM customers
+  LEFT JOIN (SELECT customer_id, list_sort(list(occurred_at)) AS times
+             FROM session_events NATURAL JOIN sessions
+             WHERE event_type IN ('purchase', 'begin_checkout', 'add_to_cart')
+             GROUP BY ALL) USING (customer_id)
+  WHERE created_at >= {S}
 )
 SELECT signup_week,
        count(*) AS cohort_size,
-       CAST(sum(activated) AS BIGINT) AS activated_7d,
-       {ratio('sum(activated)', 'count(*)')} AS activation_rate_7d,
-       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY minutes), 9) AS median_minutes_to_activation,
-       round(percentile_cont(0.9) WITHIN GROUP (ORDER BY minutes), 9) AS p90_minutes_to_activation
-FROM flagged
-GROUP BY signup_week
+       count(*) FILTER ({in_time}) AS activated_7d,
+       {ratio(f"count(*) FILTER ({in_time})", "count(*)")} AS activation_rate_7d,
+       round(quantile_cont(us / 6e7, 0.5) FILTER ({in_time}), 9) AS median_minutes_to_activation,
+       round(quantile_cont(us / 6e7, 0.9) FILTER ({in_time}), 9) AS p90_minutes_to_activation
+FROM lag GROUP BY ALL
 """
 
-# ---------------------------------------------------------------- E2
+
+SQL["activation_curve"] = _activation("times[1]")
+SQL["activation_curve_strict"] = _activation("list_filter(times, lambda x: x >= created_at)[1]")
+
+# ---------------------------------------------------------------- E2 funnel
+_STEPS = ["begin_checkout", "address", "shipping", "payment", "purchased"]
+_DROPS = ["drop_address_pct", "drop_shipping_pct", "drop_payment_pct", "drop_final_pct"]
 SQL["checkout_funnel"] = f"""
-WITH reached AS (
-  SELECT s.session_id, sc.channel,
-         max(CASE se.event_type WHEN 'purchase' THEN 5 WHEN 'add_payment' THEN 4 WHEN 'select_shipping' THEN 3
-                                WHEN 'add_address' THEN 2 WHEN 'begin_checkout' THEN 1 ELSE 0 END) AS max_step
-  FROM sessions s
-  JOIN session_channels sc USING (session_id)
-  JOIN session_events se USING (session_id)
-  GROUP BY s.session_id, sc.channel
-), counts AS (
-  SELECT channel,
-         count(*) FILTER (WHERE max_step >= 1) AS begin_checkout,
-         count(*) FILTER (WHERE max_step >= 2) AS address,
-         count(*) FILTER (WHERE max_step >= 3) AS shipping,
-         count(*) FILTER (WHERE max_step >= 4) AS payment,
-         count(*) FILTER (WHERE max_step >= 5) AS purchased
-  FROM reached WHERE max_step >= 1
-  GROUP BY channel
+WITH furthest AS (
+  SELECT session_id,
+         max(list_position(['begin_checkout', 'add_address', 'select_shipping', 'add_payment', 'purchase'], event_type)) AS step
+  FROM session_events SEMI JOIN sessions USING (session_id) GROUP BY session_id
+), per AS (
+  SELECT channel, list(step) AS steps
+  FROM (SELECT DISTINCT session_id, channel FROM session_channels) JOIN furthest USING (session_id)
+  WHERE step > 0 GROUP BY channel
+), reached AS (
+  SELECT channel, list_transform(range(1, 6), lambda k: len(list_filter(steps, lambda s: s >= k))) AS n FROM per
 )
-SELECT channel, begin_checkout, address, shipping, payment, purchased,
-       {ratio('begin_checkout - address', 'begin_checkout')} AS drop_address_pct,
-       {ratio('address - shipping', 'address')} AS drop_shipping_pct,
-       {ratio('shipping - payment', 'shipping')} AS drop_payment_pct,
-       {ratio('payment - purchased', 'payment')} AS drop_final_pct
-FROM counts
+SELECT channel,
+       {", ".join(f"n[{k + 1}] AS {name}" for k, name in enumerate(_STEPS))},
+       {", ".join(f"{ratio(f'n[{k + 1}] - n[{k + 2}]', f'n[{k + 1}]')} AS {name}" for k, name in enumerate(_DROPS))}
+FROM reached
 """
 
-# ---------------------------------------------------------------- E3
-_E3_WEEKS = ",\n       ".join(
-    [f"count(DISTINCT a.customer_id) FILTER (WHERE a.week_index = 0) AS w0_active"]
-    + [f"count(DISTINCT a.customer_id) FILTER (WHERE a.week_index = {w}) AS w{w}_retained" for w in range(1, 5)]
-    + [
-        f"{ratio(f'count(DISTINCT a.customer_id) FILTER (WHERE a.week_index = {w})', 'count(DISTINCT c.customer_id)')} AS w{w}_retention_rate"
-        for w in range(1, 5)
-    ]
-)
-SQL["cohort_retention"] = f"""
-WITH signed AS (
-  SELECT customer_id, created_at AS signup_at, CAST(date_trunc('week', created_at) AS DATE) AS cohort_week
-  FROM customers WHERE created_at >= {S}
-), active AS (
-  SELECT DISTINCT s.customer_id, s.session_id, se.occurred_at
-  FROM sessions s JOIN session_events se ON s.session_id = se.session_id
-  WHERE se.event_type IN ('product_view', 'add_to_cart', 'purchase')
-), weeks AS (
-  SELECT g.customer_id, g.cohort_week,
-         greatest(floor(CAST(date_diff('microsecond', g.signup_at, a.occurred_at) AS DOUBLE) / CAST(1000000 AS DOUBLE)
-                        / CAST(604800 AS DOUBLE)), 0) AS week_index
-  FROM signed g LEFT JOIN active a ON g.customer_id = a.customer_id
-)
-SELECT c.cohort_week,
-       count(DISTINCT c.customer_id) AS cohort_size,
-       {_E3_WEEKS}
-FROM signed c LEFT JOIN weeks a ON c.customer_id = a.customer_id
-GROUP BY c.cohort_week
-"""
 
-SQL["cohort_retention_strict"] = f"""
-WITH signed AS (
-  SELECT customer_id, created_at AS signup_at, CAST(date_trunc('week', created_at) AS DATE) AS cohort_week
-  FROM customers WHERE created_at >= {S}
+# ------------------------------------------------------------- E3 retention
+def _retention(without_activity: str) -> str:
+    """``without_activity``: the weeks in which a customer without any activity counts as active."""
+    back = [f"count(*) FILTER (list_contains(weeks, {w}))" for w in range(5)]
+    return f"""
+WITH seen AS (
+  SELECT customer_id, created_at, list(occurred_at) FILTER (occurred_at IS NOT NULL) AS times
+  FROM customers
+  LEFT JOIN (SELECT customer_id, occurred_at FROM session_events NATURAL JOIN sessions
+             WHERE event_type IN ('purchase', 'add_to_cart', 'product_view')) USING (customer_id)
+  WHERE created_at >= {S} GROUP BY ALL
 ), active AS (
-  SELECT DISTINCT s.customer_id, s.session_id, se.occurred_at
-  FROM sessions s JOIN session_events se ON s.session_id = se.session_id
-  WHERE se.event_type IN ('product_view', 'add_to_cart', 'purchase')
-), weeks AS (
-  SELECT g.customer_id, g.cohort_week,
-         CASE WHEN a.occurred_at IS NOT NULL THEN greatest(floor(CAST(date_diff('microsecond', g.signup_at, a.occurred_at) AS DOUBLE) / CAST(1000000 AS DOUBLE)
-                        / CAST(604800 AS DOUBLE)), 0) END AS week_index
-  FROM signed g LEFT JOIN active a ON g.customer_id = a.customer_id
+  SELECT CAST(date_trunc('week', created_at) AS DATE) AS cohort_week,
+         coalesce(list_transform(times, lambda x: CAST(greatest(date_diff('microsecond', created_at, x), 0) // {7 * _DAY} AS BIGINT)),
+                  {without_activity}) AS weeks
+  FROM seen
 )
-SELECT c.cohort_week,
-       count(DISTINCT c.customer_id) AS cohort_size,
-       {_E3_WEEKS}
-FROM signed c LEFT JOIN weeks a ON c.customer_id = a.customer_id
-GROUP BY c.cohort_week
+SELECT cohort_week, count(*) AS cohort_size, {back[0]} AS w0_active,
+       {", ".join(f"{back[w]} AS w{w}_retained" for w in range(1, 5))},
+       {", ".join(f"{ratio(back[w], 'count(*)')} AS w{w}_retention_rate" for w in range(1, 5))}
+FROM active GROUP BY cohort_week
 """
 
-# ---------------------------------------------------------------- E4
+
+SQL["cohort_retention"] = _retention("[CAST(0 AS BIGINT)]")
+SQL["cohort_retention_strict"] = _retention("CAST([] AS BIGINT[])")
+
+# ------------------------------------------------------------ E4 engagement
 SQL["product_engagement"] = f"""
-WITH viewed AS (
-  SELECT p.product_id, p.product_name, c.category_name AS category, count(*) AS views
-  FROM session_events se
-  JOIN product_variants v ON se.variant_id = v.variant_id
-  JOIN products p ON v.product_id = p.product_id
-  JOIN categories c ON c.category_id = p.category_id
-  WHERE se.event_type = 'product_view'
-  GROUP BY p.product_id, p.product_name, c.category_name
-), carted AS (
-  SELECT p.product_id, count(DISTINCT se.session_id) AS add_to_cart_sessions
-  FROM session_events se
-  JOIN product_variants v ON se.variant_id = v.variant_id
-  JOIN products p ON v.product_id = p.product_id
-  WHERE se.event_type = 'add_to_cart'
-  GROUP BY p.product_id
-), rates AS (
-  SELECT w.product_id, w.product_name, w.category, w.views,
-         coalesce(k.add_to_cart_sessions, 0) AS add_to_cart_sessions,
-         {ratio('coalesce(k.add_to_cart_sessions, 0)', 'w.views')} AS atc_rate
-  FROM viewed w LEFT JOIN carted k ON w.product_id = k.product_id
-), medians AS (
-  SELECT category, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY atc_rate), 9) AS median_rate
-  FROM rates GROUP BY category
+WITH per AS (
+  SELECT product_id, product_name, category_name AS category,
+         count(*) FILTER (event_type = 'product_view') AS views,
+         count(DISTINCT session_id) FILTER (event_type = 'add_to_cart') AS add_to_cart_sessions
+  FROM session_events JOIN product_variants USING (variant_id) JOIN products USING (product_id) JOIN categories USING (category_id)
+  GROUP BY ALL HAVING views > 0
+), rated AS (
+  SELECT *, {ratio("add_to_cart_sessions", "views")} AS atc_rate FROM per WHERE category IS NOT NULL
 )
-SELECT r.product_id, r.product_name, r.category, r.views, r.add_to_cart_sessions, r.atc_rate,
-       r.atc_rate - m.median_rate AS atc_rate_vs_category_median,
-       rank() OVER (ORDER BY r.views DESC) AS views_rank,
-       rank() OVER (ORDER BY r.atc_rate ASC) AS atc_rate_rank
-FROM rates r JOIN medians m ON r.category = m.category
+SELECT product_id, product_name, category, views, add_to_cart_sessions, atc_rate,
+       round(atc_rate - median(atc_rate) OVER (PARTITION BY category), 9) AS atc_rate_vs_category_median,
+       (SELECT 1 + count(*) FROM rated o WHERE o.views > r.views) AS views_rank,
+       (SELECT 1 + count(*) FROM rated o WHERE o.atc_rate < r.atc_rate) AS atc_rate_rank
+FROM rated r
 """
 
-# ---------------------------------------------------------------- E5
-SQL["cart_abandonment"] = f"""
-WITH carts AS (
-  SELECT session_id, sum(quantity * unit_price) AS cart_value
-  FROM session_events WHERE event_type = 'add_to_cart' GROUP BY session_id
-), bought AS (
-  SELECT DISTINCT session_id, 1 AS purchased FROM session_events WHERE event_type = 'purchase'
-), labelled AS (
-  SELECT c.session_id, c.cart_value,
-         CASE WHEN c.cart_value < 500 THEN '<500'
-              WHEN c.cart_value BETWEEN 500 AND 1999 THEN '500-1999'
-              WHEN c.cart_value BETWEEN 2000 AND 4999 THEN '2000-4999'
-              WHEN c.cart_value BETWEEN 5000 AND 14999 THEN '5000-14999'
-              ELSE '15000+' END AS cart_bucket,
-         coalesce(b.purchased, 0) AS purchased
-  FROM carts c LEFT JOIN bought b ON c.session_id = b.session_id
-)
-SELECT cart_bucket,
-       count(*) AS atc_sessions,
-       CAST(sum(purchased) AS BIGINT) AS purchased_sessions,
-       CAST(count(*) - sum(purchased) AS BIGINT) AS abandoned_sessions,
-       {ratio('count(*) - sum(purchased)', 'count(*)')} AS abandonment_rate,
-       {money('sum(cart_value) FILTER (WHERE purchased = 0)', 'gmv_left_on_table')}
-FROM labelled GROUP BY cart_bucket
-"""
 
-SQL["cart_abandonment_strict"] = f"""
-WITH carts AS (
-  SELECT session_id, sum(quantity * unit_price) AS cart_value
-  FROM session_events WHERE event_type = 'add_to_cart' GROUP BY session_id
-), bought AS (
-  SELECT DISTINCT session_id, 1 AS purchased FROM session_events WHERE event_type = 'purchase'
-), labelled AS (
-  SELECT c.session_id, c.cart_value,
-         CASE WHEN c.cart_value IS NULL THEN 'unknown'
-              WHEN c.cart_value < 500 THEN '<500'
-              WHEN c.cart_value >= 500 AND c.cart_value < 2000 THEN '500-1999'
-              WHEN c.cart_value >= 2000 AND c.cart_value < 5000 THEN '2000-4999'
-              WHEN c.cart_value >= 5000 AND c.cart_value < 15000 THEN '5000-14999'
-              ELSE '15000+' END AS cart_bucket,
-         coalesce(b.purchased, 0) AS purchased
-  FROM carts c LEFT JOIN bought b ON c.session_id = b.session_id
+# ----------------------------------------------------------- E5 abandonment
+def _abandonment(upper: str, top: str) -> str:
+    """``upper``: whether value ``v`` is below the bucket's end; ``top``: label of a value in no bucket."""
+    return f"""
+WITH cart AS (
+  SELECT session_id, sum(quantity * unit_price) FILTER (event_type = 'add_to_cart') AS v,
+         bool_or(event_type = 'purchase') AND session_id IS NOT NULL AS bought
+  FROM session_events GROUP BY session_id HAVING bool_or(event_type = 'add_to_cart')
+), range_of (label, lo, hi, next_lo) AS (
+  VALUES ('<500', -1000000000, 499.99, 500), ('500-1999', 500, 1999, 2000), ('2000-4999', 2000, 4999, 5000), ('5000-14999', 5000, 14999, 15000)
 )
-SELECT cart_bucket,
+SELECT coalesce(label, {top}) AS cart_bucket,
        count(*) AS atc_sessions,
-       CAST(sum(purchased) AS BIGINT) AS purchased_sessions,
-       CAST(count(*) - sum(purchased) AS BIGINT) AS abandoned_sessions,
-       {ratio('count(*) - sum(purchased)', 'count(*)')} AS abandonment_rate,
-       {money('sum(cart_value) FILTER (WHERE purchased = 0)', 'gmv_left_on_table')}
-FROM labelled GROUP BY cart_bucket
+       count(*) FILTER (bought) AS purchased_sessions,
+       count(*) FILTER (NOT bought) AS abandoned_sessions,
+       {ratio("count(*) FILTER (NOT bought)", "count(*)")} AS abandonment_rate,
+       {money("sum(v) FILTER (NOT bought)", "gmv_left_on_table")}
+FROM cart LEFT JOIN range_of ON v >= lo AND {upper}
+GROUP BY 1
 """
 
-# ---------------------------------------------------------------- S1
-_S1_BUCKETS = ("new", "expansion", "contraction", "churn", "reactivation")
-SQL["mrr_movements"] = f"""
-WITH classified AS (
-  SELECT CAST(date_trunc('month', se.event_time) AS DATE) AS month, se.mrr_delta,
-         CASE WHEN se.event_type IN {STARTS} AND EXISTS (
-                   SELECT 1 FROM subscription_events p
-                   WHERE p.account_id = se.account_id AND p.event_type = 'cancelled' AND p.event_time < se.event_time)
-                   THEN 'reactivation'
-              WHEN se.event_type IN {STARTS} THEN 'new'
-              WHEN se.event_type = 'plan_changed' AND se.mrr_delta > 0 THEN 'expansion'
-              WHEN se.event_type IN ('seat_add', 'addon_attach') THEN 'expansion'
-              WHEN se.event_type = 'plan_changed' AND se.mrr_delta < 0 THEN 'contraction'
-              WHEN se.event_type = 'cancelled' THEN 'churn' END AS bucket
-  FROM subscription_events se
-  WHERE se.event_type <> 'trial_started' AND se.event_time <= {A}
-), monthly AS (
-  SELECT month,
-         {", ".join(f"sum(mrr_delta) FILTER (WHERE bucket = '{b}') AS {b}_mrr" for b in _S1_BUCKETS)},
-         sum(mrr_delta) AS net_new_mrr
-  FROM classified GROUP BY month
-)
-SELECT month,
-       {", ".join(money(f"{b}_mrr", f"{b}_mrr") for b in _S1_BUCKETS)},
-       {money("net_new_mrr", "net_new_mrr")},
-       {money("sum(net_new_mrr) OVER (ORDER BY month)", "ending_mrr")}
-FROM monthly
-"""
 
-# ---------------------------------------------------------------- S2
-SQL["trial_conversion"] = f"""
-WITH cohorts AS (
-  SELECT account_id, trial_id, started_at, CAST(date_trunc('week', started_at) AS DATE) AS trial_week FROM trials
-), conversions AS (
-  SELECT account_id, min(event_time) AS first_conversion_at
-  FROM subscription_events WHERE event_type IN {STARTS} GROUP BY account_id
-), calc AS (
-  SELECT c.trial_week,
-         CASE WHEN v.first_conversion_at IS NOT NULL AND v.first_conversion_at >= c.started_at
-              THEN {micros_as(86_400_000_000, 'v.first_conversion_at', 'c.started_at')} END AS days_to_convert
-  FROM cohorts c LEFT JOIN conversions v ON c.account_id = v.account_id
-)
-SELECT trial_week,
-       count(*) AS trials_started,
-       {", ".join(f"count(*) FILTER (WHERE days_to_convert <= {n}) AS converted_by_{n}d" for n in (14, 30, 60))},
-       {", ".join(ratio(f"count(*) FILTER (WHERE days_to_convert <= {n})", "count(*)") + f" AS conv_rate_{n}d" for n in (14, 30, 60))},
-       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert), 9) AS median_days_trial_to_paid
-FROM calc GROUP BY trial_week
+SQL["cart_abandonment"] = _abandonment("v <= hi", "'15000+'")
+SQL["cart_abandonment_strict"] = _abandonment("v < next_lo", "CASE WHEN v IS NULL THEN 'unknown' ELSE '15000+' END")
+
+# -------------------------------------------------------------- S1 movements
+_S1 = {
+    "new": f"kind IN {STARTS} AND NOT came_back",
+    "expansion": "kind IN ('addon_attach', 'seat_add') OR (kind = 'plan_changed' AND d > 0)",
+    "contraction": "kind = 'plan_changed' AND d < 0",
+    "churn": "kind = 'cancelled'",
+    "reactivation": f"kind IN {STARTS} AND came_back",
+}
+_S1_MONTHS = f"""
+WITH moved AS (
+  SELECT CAST(date_trunc('month', event_time) AS DATE) AS month, event_type AS kind, mrr_delta AS d,
+         coalesce(account_id IS NOT NULL AND event_time > min(event_time) FILTER (event_type = 'cancelled') OVER (PARTITION BY account_id), false)
+           AS came_back
+  FROM subscription_events WHERE event_time <= {A}
+), by_month AS (
+  SELECT month, {", ".join(f"sum(d) FILTER ({rule}) AS {name}_mrr" for name, rule in _S1.items())},
+         sum(d) AS net, sum(d) FILTER (({" OR ".join(f"({rule})" for rule in _S1.values())}) IS NOT TRUE) AS rest
+  FROM moved WHERE kind <> 'trial_started' GROUP BY month
+)"""
+_S1_COLUMNS = ", ".join(money(f"{name}_mrr", f"{name}_mrr") for name in _S1)
+SQL["mrr_movements"] = f"""{_S1_MONTHS}
+SELECT month, {_S1_COLUMNS}, {money("net", "net_new_mrr")}, {money("sum(net) OVER (ORDER BY month)", "ending_mrr")}
+FROM by_month
 """
+SQL["mrr_movements_strict"] = f"""{_S1_MONTHS}
+SELECT CAST(m AS DATE) AS month, {_S1_COLUMNS}, {money("coalesce(net, 0)", "net_new_mrr")}, {money("rest", "unclassified_mrr")},
+       {money("sum(coalesce(net, 0)) OVER (ORDER BY m)", "ending_mrr")}
+FROM (SELECT unnest(range(CAST(min(month) AS TIMESTAMP), max(month) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS m FROM by_month)
+LEFT JOIN by_month ON month = CAST(m AS DATE)
+"""
+
 
-# ---------------------------------------------------------------- S3
-_S3_TAIL = """
-), churn_check AS (
-  SELECT s.*, EXISTS (
-           SELECT 1 FROM subscription_events c
-           WHERE c.account_id = s.account_id AND c.event_type = 'cancelled'
-             AND c.event_time > s.start_time AND c.event_time <= s.start_time + INTERVAL 12 MONTH) AS churned
-  FROM starts s
-), moves AS (
-  SELECT k.account_id,
-         sum(se.mrr_delta) FILTER (WHERE se.event_type IN ('seat_add', 'addon_attach')
-                                      OR (se.event_type = 'plan_changed' AND se.mrr_delta > 0)) AS expansion_mrr,
-         sum(se.mrr_delta) FILTER (WHERE se.event_type = 'plan_changed' AND se.mrr_delta < 0) AS contraction_mrr
-  FROM {moves_from} k
-  JOIN subscription_events se
-    ON se.account_id = k.account_id AND se.event_time > k.start_time
-   AND se.event_time <= k.start_time + INTERVAL 12 MONTH AND se.event_type <> 'trial_started'
-  WHERE NOT k.churned
-  GROUP BY k.account_id
+# ------------------------------------------------------------------ S2 trials
+def _trials(conversion: str) -> str:
+    """``conversion``: the one that counts, of the account's sorted conversion times ``times``."""
+    by = {n: f"count(*) FILTER (us BETWEEN 0 AND {n * _DAY})" for n in (14, 30, 60)}
+    return f"""
+WITH lag AS (
+  SELECT CAST(date_trunc('week', started_at) AS DATE) AS trial_week,
+         date_diff('microsecond', started_at, {conversion}) AS us
+  FROM trials
+  LEFT JOIN (SELECT account_id, list_sort(list(event_time)) AS times FROM subscription_events
+             WHERE event_type IN {STARTS} AND event_time IS NOT NULL GROUP BY account_id) USING (account_id)
 )
+SELECT trial_week, count(*) AS trials_started,
+       {", ".join(f"{c} AS converted_by_{n}d" for n, c in by.items())},
+       {", ".join(f"{ratio(c, 'count(*)')} AS conv_rate_{n}d" for n, c in by.items())},
+       round(median(us / CAST({_DAY} AS DOUBLE)) FILTER (us >= 0), 9) AS median_days_trial_to_paid
+FROM lag GROUP BY trial_week
 """
 
 
-def _s3(strict: bool) -> str:
-    retained = "sum(CASE WHEN NOT k.churned THEN k.starting_mrr ELSE 0 END)"
-    expansion = "sum(coalesce(m.expansion_mrr, 0))"
-    contraction = "sum(coalesce(m.contraction_mrr, 0))"
-    if strict:
-        starts = f"""
-  SELECT f.account_id, CAST(date_trunc('month', f.start_time) AS DATE) AS cohort_month, f.start_time,
-         sum(se.mrr_delta) AS starting_mrr
-  FROM first_start f
-  JOIN subscription_events se
-    ON se.account_id = f.account_id AND se.event_time = f.start_time AND se.event_type IN {STARTS}
-  GROUP BY f.account_id, f.start_time"""
-    else:
-        starts = f"""
-  SELECT f.account_id, CAST(date_trunc('month', f.start_time) AS DATE) AS cohort_month, f.start_time,
-         se.mrr_delta AS starting_mrr
-  FROM first_start f
-  JOIN subscription_events se
-    ON se.account_id = f.account_id AND se.event_time = f.start_time AND se.event_type IN {STARTS}"""
-    extra = (
-        f",\n       {ratio(f'{retained} + {contraction}', 'sum(k.starting_mrr)')} AS grr_net_contraction" if strict else ""
-    )
+SQL["trial_conversion"] = _trials("times[1]")
+SQL["trial_conversion_strict"] = _trials("list_filter(times, lambda x: x >= started_at)[1]")
+
+
+# --------------------------------------------------------------- S3 retention
+def _revenue(times: str, extra: str = "") -> str:
+    """``times``: how often an account's movements count (``n`` start events at its first instant)."""
+    total = {c: f"sum({c})" for c in ("base", "kept", "up", "down", "lost")}
+    columns = ", ".join(
+        money(total[c], name)
+        for c, name in (
+            ("base", "cohort_starting_mrr"), ("kept", "retained_mrr_12m"), ("up", "expansion_mrr_12m"),
+            ("down", "contraction_mrr_12m"), ("lost", "churn_mrr_12m"),
+        )
+    )
     return f"""
-WITH first_start AS (
-  SELECT account_id, min(event_time) AS start_time
-  FROM subscription_events WHERE event_type IN {STARTS} GROUP BY account_id
-), starts AS ({starts}{_S3_TAIL.format(moves_from="churn_check")}
-SELECT k.cohort_month,
-       {money("sum(k.starting_mrr)", "cohort_starting_mrr")},
-       {money(retained, "retained_mrr_12m")},
-       {money(expansion, "expansion_mrr_12m")},
-       {money(contraction, "contraction_mrr_12m")},
-       {money("sum(CASE WHEN k.churned THEN -k.starting_mrr ELSE 0 END)", "churn_mrr_12m")},
-       {ratio(retained, "sum(k.starting_mrr)")} AS grr,
-       {ratio(f"{retained} + {expansion} + {contraction}", "sum(k.starting_mrr)")} AS nrr{extra}
-FROM churn_check k LEFT JOIN moves m ON k.account_id = m.account_id
-WHERE k.start_time + INTERVAL 12 MONTH <= {A}
-GROUP BY k.cohort_month
+WITH life AS (
+  SELECT account_id, list({{'t': event_time, 'k': event_type, 'd': CAST(mrr_delta AS DECIMAL(38,2))}}) AS e
+  FROM subscription_events WHERE account_id IS NOT NULL AND event_time IS NOT NULL GROUP BY account_id
+), begun AS (
+  SELECT e, list_min([x.t for x in e if x.k IN {STARTS}]) AS t0 FROM life
+), year AS (
+  SELECT CAST(date_trunc('month', t0) AS DATE) AS cohort_month,
+         [x.d for x in e if x.t = t0 AND x.k IN {STARTS}] AS first_deltas,
+         [x for x in e if x.t > t0 AND x.t <= t0 + INTERVAL 12 MONTH] AS later
+  FROM begun WHERE t0 + INTERVAL 12 MONTH <= {A}
+), summed AS (
+  SELECT cohort_month, coalesce(list_sum(first_deltas), 0) AS base, len(first_deltas) AS n,
+         len([x for x in later if x.k = 'cancelled']) > 0 AS gone,
+         coalesce(list_sum([x.d for x in later if x.k IN ('addon_attach', 'seat_add') OR (x.k = 'plan_changed' AND x.d > 0)]), 0) AS more,
+         coalesce(list_sum([x.d for x in later if x.k = 'plan_changed' AND x.d < 0]), 0) AS less
+  FROM year
+), accounts_of AS (
+  SELECT cohort_month, base, if(gone, 0, base) AS kept, if(gone, -base, 0) AS lost,
+         if(gone, 0, more * {times}) AS up, if(gone, 0, less * {times}) AS down
+  FROM summed
+)
+SELECT cohort_month, {columns},
+       {ratio("sum(kept)", "sum(base)")} AS grr,
+       {ratio("sum(kept) + sum(up) + sum(down)", "sum(base)")} AS nrr{extra}
+FROM accounts_of GROUP BY cohort_month
 """
 
 
-SQL["revenue_retention"] = _s3(False)
-SQL["revenue_retention_strict"] = _s3(True)
+SQL["revenue_retention"] = _revenue("n * n")
+SQL["revenue_retention_strict"] = _revenue("1", f", {ratio('sum(kept) + sum(down)', 'sum(base)')} AS grr_net_contraction")
 
 
-# ---------------------------------------------------------------- S4
-def _s4(strict: bool) -> str:
-    join_kind = "JOIN" if strict else "LEFT JOIN"
-    lower = " AND e.occurred_at >= ea.signup_date" if strict else ""
-    group = "f.feature_id, f.feature_name" if strict else "f.feature_name"
-    lead = "f.feature_id, f.feature_name" if strict else "f.feature_name"
-    adopted = "avg(r.retained_90d) FILTER (WHERE a.adopted = 1)"
-    not_adopted = "avg(r.retained_90d) FILTER (WHERE a.adopted IS NULL OR a.adopted = 0)"
+# ---------------------------------------------------------------- S4 adoption
+def _adoption(key: str, names: str, without_subscription: str, earliest: str) -> str:
+    """An account's adopted features as a list; ``key``: what a row of the result stands for."""
+    rate_in, rate_out = ratio("sum(has * kept)", "sum(has)"), ratio("sum((size - has) * kept)", "sum(size - has)")
     return f"""
-WITH eligible AS (
-  SELECT account_id, signup_date FROM accounts WHERE signup_date <= {A} - INTERVAL 90 DAY
-), ranked AS (
-  SELECT account_id, cancelled_at,
-         row_number() OVER (PARTITION BY account_id ORDER BY start_date DESC NULLS FIRST, subscription_id DESC) AS rn
-  FROM subscriptions
-), retention AS (
-  SELECT ea.account_id,
-         CASE WHEN s.cancelled_at IS NULL OR s.cancelled_at > ea.signup_date + INTERVAL 90 DAY THEN 1 ELSE 0 END AS retained_90d
-  FROM eligible ea {join_kind} ranked s ON ea.account_id = s.account_id AND s.rn = 1
-), used AS (
-  SELECT e.account_id, e.feature_id, count(*) AS usage_count
-  FROM feature_events e JOIN eligible ea ON e.account_id = ea.account_id
-  WHERE e.feature_id IS NOT NULL AND e.occurred_at <= ea.signup_date + INTERVAL 14 DAY{lower}
-  GROUP BY e.account_id, e.feature_id
-), adoption AS (
-  SELECT account_id, feature_id, CASE WHEN usage_count >= 1 THEN 1 ELSE 0 END AS adopted FROM used
+WITH latest AS (
+  SELECT account_id, list(cancelled_at ORDER BY start_date DESC NULLS FIRST, subscription_id DESC)[1] AS cancelled_at
+  FROM subscriptions GROUP BY account_id
+), member AS (
+  SELECT account_id, signup_date, if(cancelled_at <= signup_date + INTERVAL 90 DAY, 0, 1) AS kept
+  FROM accounts {without_subscription} JOIN latest USING (account_id) WHERE signup_date + INTERVAL 90 DAY <= {A}
+), adopted AS (
+  SELECT account_id, any_value(kept) AS kept,
+         list(DISTINCT feature_id) FILTER (occurred_at <= signup_date + INTERVAL 14 DAY AND occurred_at >= {earliest}) AS has_ids
+  FROM member LEFT JOIN feature_events USING (account_id) GROUP BY account_id
+), grouped AS (
+  SELECT {key}, {names} AS feature_name_, list(feature_id) AS ids FROM features GROUP BY {key}
+), pair AS (
+  SELECT {key}, feature_name_, len(ids) AS size, kept, coalesce(len(list_intersect(ids, has_ids)), 0) AS has FROM grouped, adopted
 )
-SELECT {lead},
-       count(DISTINCT a.account_id) FILTER (WHERE a.adopted = 1) AS accounts_adopted,
-       count(DISTINCT r.account_id) FILTER (WHERE a.adopted IS NULL OR a.adopted = 0) AS accounts_not_adopted,
-       {adopted} AS retention_rate_adopted,
-       {not_adopted} AS retention_rate_not_adopted,
-       {adopted} - {not_adopted} AS retention_lift_pp,
-       ({adopted} - {not_adopted}) / NULLIF({not_adopted}, 0) AS retention_lift_pct
-FROM features f
-CROSS JOIN retention r
-LEFT JOIN adoption a ON r.account_id = a.account_id AND f.feature_id = a.feature_id
-GROUP BY {group}
+SELECT {"feature_id, " if key == "feature_id" else ""}feature_name_ AS feature_name,
+       count(*) FILTER (has > 0) AS accounts_adopted,
+       count(*) FILTER (has < size) AS accounts_not_adopted,
+       {rate_in} AS retention_rate_adopted,
+       {rate_out} AS retention_rate_not_adopted,
+       {rate_in} - {rate_out} AS retention_lift_pp,
+       ({rate_in} - {rate_out}) / NULLIF({rate_out}, 0) AS retention_lift_pct
+FROM pair GROUP BY {key}, feature_name_
 """
 
 
-SQL["feature_adoption"] = _s4(False)
-SQL["feature_adoption_strict"] = _s4(True)
+SQL["feature_adoption"] = _adoption("feature_name", "feature_name", "LEFT", "TIMESTAMP '0001-01-01 00:00:00'")
+SQL["feature_adoption_strict"] = _adoption("feature_id", "min(feature_name)", "", "signup_date")
 
-# ---------------------------------------------------------------- S5
+# --------------------------------------------------------------- S5 expansion
 SQL["expansion_revenue"] = f"""
-WITH expansions AS (
-  SELECT account_id, event_time, mrr_delta,
-         CASE WHEN event_type = 'seat_add' THEN 'seats_added'
-              WHEN event_type = 'addon_attach' THEN 'addon'
-              WHEN event_type = 'plan_changed' AND mrr_delta > 0 THEN 'plan_upgrade' END AS expansion_type
-  FROM subscription_events
-  WHERE (event_type IN ('seat_add', 'addon_attach') OR (event_type = 'plan_changed' AND mrr_delta > 0))
-    AND event_time >= {A} - INTERVAL 6 MONTH AND event_time <= {A}
-), with_signup AS (
-  SELECT x.*, {micros_as(86_400_000_000, 'x.event_time', 'a.signup_date')} AS days_from_signup
-  FROM expansions x JOIN accounts a ON x.account_id = a.account_id
+WITH per_account AS (
+  SELECT CASE event_type WHEN 'addon_attach' THEN 'addon' WHEN 'seat_add' THEN 'seats_added' ELSE 'plan_upgrade' END AS expansion_type,
+         account_id, sum(mrr_delta) AS gained,
+         list(date_diff('microsecond', signup_date, event_time) / CAST({_DAY} AS DOUBLE)) AS lags
+  FROM subscription_events JOIN accounts USING (account_id)
+  WHERE event_time BETWEEN {A} - INTERVAL 6 MONTH AND {A}
+    AND (event_type IN ('addon_attach', 'seat_add') OR (event_type = 'plan_changed' AND mrr_delta > 0))
+  GROUP BY ALL
 )
-SELECT expansion_type,
-       count(*) AS expansion_events,
-       count(DISTINCT account_id) AS accounts_expanded,
-       {money("sum(mrr_delta)", "expansion_mrr_total")},
-       {ratio("sum(mrr_delta)", "count(DISTINCT account_id)")} AS expansion_mrr_per_account,
-       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_from_signup), 9) AS median_days_from_signup_to_expansion
-FROM with_signup GROUP BY expansion_type
+SELECT expansion_type, CAST(sum(len(lags)) AS BIGINT) AS expansion_events, count(*) AS accounts_expanded,
+       {money("sum(gained)", "expansion_mrr_total")}, {ratio("sum(gained)", "count(*)")} AS expansion_mrr_per_account,
+       round(list_median(flatten(list(lags))), 9) AS median_days_from_signup_to_expansion
+FROM per_account GROUP BY expansion_type
 """
 
-# ------------------------------------------------------- sample queries
+# ------------------------------------------------------------- sample queries
 SQL["active_paying_accounts"] = """
-SELECT count(DISTINCT account_id) AS active_paying_accounts FROM subscriptions WHERE lower(status) = 'active'
+SELECT count(*) AS active_paying_accounts
+FROM (SELECT account_id FROM subscriptions WHERE account_id IS NOT NULL GROUP BY account_id HAVING bool_or(lower(status) = 'active'))
 """
 
-PLAN_NORMALIZED = (
-    "CASE WHEN lower(plan) IN ('pro', 'professional') THEN 'pro' "
-    "WHEN lower(plan) = 'enterprise' THEN 'enterprise' ELSE lower(plan) END"
-)
 SQL["plan_breakdown"] = f"""
 SELECT {PLAN_NORMALIZED} AS plan_normalized, count(*) AS subscriptions FROM subscriptions GROUP BY 1
 """
 
 SQL["first_events"] = """
 SELECT event_id, account_id, event_type, from_plan, to_plan, mrr_delta, event_time
-FROM subscription_events ORDER BY event_time ASC NULLS LAST, event_id ASC LIMIT 10
-"""
-
-SQL["mrr_movements_strict"] = f"""
-WITH classified AS (
-  SELECT CAST(date_trunc('month', se.event_time) AS DATE) AS month, se.mrr_delta,
-         CASE WHEN se.event_type IN {STARTS} AND EXISTS (
-                   SELECT 1 FROM subscription_events p
-                   WHERE p.account_id = se.account_id AND p.event_type = 'cancelled' AND p.event_time < se.event_time)
-                   THEN 'reactivation'
-              WHEN se.event_type IN {STARTS} THEN 'new'
-              WHEN se.event_type = 'plan_changed' AND se.mrr_delta > 0 THEN 'expansion'
-              WHEN se.event_type IN ('seat_add', 'addon_attach') THEN 'expansion'
-              WHEN se.event_type = 'plan_changed' AND se.mrr_delta < 0 THEN 'contraction'
-              WHEN se.event_type = 'cancelled' THEN 'churn' END AS bucket
-  FROM subscription_events se
-  WHERE se.event_type <> 'trial_started' AND se.event_time <= {A}
-), monthly AS (
-  SELECT month,
-         {", ".join(f"sum(mrr_delta) FILTER (WHERE bucket = '{b}') AS {b}_mrr" for b in _S1_BUCKETS)},
-         sum(mrr_delta) AS net_new_mrr,
-         sum(mrr_delta) FILTER (WHERE bucket IS NULL) AS unclassified_mrr
-  FROM classified GROUP BY month
-), spine AS (
-  SELECT CAST(unnest(generate_series(CAST(min(month) AS TIMESTAMP), CAST(max(month) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month
-  FROM monthly
-), filled AS (
-  SELECT s.month, {", ".join(f"m.{b}_mrr" for b in _S1_BUCKETS)}, coalesce(m.net_new_mrr, 0) AS net_new_mrr, m.unclassified_mrr
-  FROM spine s LEFT JOIN monthly m ON s.month = m.month
-)
-SELECT month,
-       {", ".join(money(f"{b}_mrr", f"{b}_mrr") for b in _S1_BUCKETS)},
-       {money("net_new_mrr", "net_new_mrr")},
-       {money("unclassified_mrr", "unclassified_mrr")},
-       {money("sum(net_new_mrr) OVER (ORDER BY month)", "ending_mrr")}
-FROM filled
-"""
-
-SQL["trial_conversion_strict"] = f"""
-WITH cohorts AS (
-  SELECT account_id, trial_id, started_at, CAST(date_trunc('week', started_at) AS DATE) AS trial_week FROM trials
-), per_trial AS (
-  SELECT c.trial_id, c.account_id, c.started_at, c.trial_week,
-         min(se.event_time) FILTER (WHERE se.event_time >= c.started_at) AS first_conversion_at
-  FROM cohorts c
-  LEFT JOIN subscription_events se ON se.account_id = c.account_id AND se.event_type IN {STARTS}
-  GROUP BY c.trial_id, c.account_id, c.started_at, c.trial_week
-), calc AS (
-  SELECT trial_week,
-         CASE WHEN first_conversion_at IS NOT NULL AND first_conversion_at >= started_at
-              THEN {micros_as(86_400_000_000, 'first_conversion_at', 'started_at')} END AS days_to_convert
-  FROM per_trial
-)
-SELECT trial_week,
-       count(*) AS trials_started,
-       {", ".join(f"count(*) FILTER (WHERE days_to_convert <= {n}) AS converted_by_{n}d" for n in (14, 30, 60))},
-       {", ".join(ratio(f"count(*) FILTER (WHERE days_to_convert <= {n})", "count(*)") + f" AS conv_rate_{n}d" for n in (14, 30, 60))},
-       round(percentile_cont(0.5) WITHIN GROUP (ORDER BY days_to_convert), 9) AS median_days_trial_to_paid
-FROM calc GROUP BY trial_week
+FROM subscription_events QUALIFY row_number() OVER (ORDER BY event_time NULLS LAST, event_id) <= 10
 """
 
 

@@ -25,7 +25,7 @@ FROM customer""",
     (
         "sessions",
         """SELECT DISTINCT user_id * 100 + dayofmonth(ts) AS session_id,
-       CASE WHEN user_id % 50 <> 49 THEN user_id END AS customer_id
+       CASE WHEN user_id % 50 <> 49 AND dayofmonth(ts) >= user_id % 25 THEN user_id END AS customer_id
 FROM events""",
     ),
     (
@@ -33,9 +33,10 @@ FROM events""",
         """SELECT session_id,
        CASE session_id % 5 WHEN 0 THEN 'paid_social' WHEN 1 THEN 'organic' WHEN 2 THEN 'referral'
                            WHEN 3 THEN 'email' WHEN 4 THEN 'affiliate' END AS channel
-FROM sessions WHERE session_id % 13 <> 0
+FROM (SELECT DISTINCT user_id * 100 + dayofmonth(ts) AS session_id FROM events WHERE event_type = 'view')
 UNION ALL
-SELECT session_id, 'organic' AS channel FROM sessions WHERE session_id % 13 <> 0 AND session_id % 7 = 0""",
+SELECT DISTINCT user_id * 100 + dayofmonth(ts), 'organic' FROM events
+WHERE event_type = 'view' AND (user_id * 100 + dayofmonth(ts)) % 7 = 0""",
     ),
     (
         "session_events",
@@ -46,13 +47,13 @@ SELECT session_id, 'organic' AS channel FROM sessions WHERE session_id % 13 <> 0
                        WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'add_address'
                                                           WHEN 1 THEN 'select_shipping'
                                                           ELSE 'add_payment' END END AS event_type,
-       CASE WHEN event_id % 97 <> 0 THEN event_id % 200 END AS variant_id,
+       CASE WHEN event_id % 97 <> 0 THEN event_id % nullif((SELECT 2 * count(*) FROM part), 0) END AS variant_id,
        CAST(1 + event_id % 5 AS INTEGER) AS quantity,
        CASE WHEN event_id % 89 <> 0 THEN CAST(CAST(value AS DECIMAL(18,2)) * 25 AS DECIMAL(18,2)) END AS unit_price
 FROM events""",
     ),
-    ("product_variants", "SELECT p_partkey AS variant_id, p_partkey % 100 AS product_id FROM part"),
-    ("products", "SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_id FROM part WHERE p_partkey < 100"),
+    ("product_variants", "SELECT unnest([2 * p_partkey, 2 * p_partkey + 1]) AS variant_id, p_partkey AS product_id FROM part"),
+    ("products", "SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_id FROM part"),
     ("categories", "SELECT DISTINCT p_type AS category_id, lower(p_type) AS category_name FROM part"),
     (
         "accounts",
@@ -89,7 +90,9 @@ FROM orders""",
     (
         "plans",
         """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'pro', CAST(49.00 AS DECIMAL(18,2)), 10, 'monthly'),
-                           (CAST(2 AS BIGINT), 'enterprise', CAST(199.00 AS DECIMAL(18,2)), 500, 'monthly'))
+                           (CAST(2 AS BIGINT), 'enterprise', CAST(199.00 AS DECIMAL(18,2)), 500, 'monthly'),
+                           (CAST(3 AS BIGINT), 'Pro', CAST(39.00 AS DECIMAL(18,2)), 10, 'annual'),
+                           (CAST(4 AS BIGINT), 'Enterprise', CAST(159.00 AS DECIMAL(18,2)), 500, 'annual'))
        AS p(plan_id, plan_name, monthly_price, seat_limit, billing_interval)""",
     ),
     (
@@ -99,7 +102,8 @@ FROM orders""",
        o_custkey AS account_id,
        {PLAN_TEXT} AS plan,
        CASE WHEN o_orderkey % 11 <> 0 THEN
-            CAST(CASE WHEN lower({PLAN_TEXT}) IN ('pro', 'professional') THEN 1 ELSE 2 END AS BIGINT) END AS plan_id,
+            CAST(CASE WHEN lower({PLAN_TEXT}) IN ('pro', 'professional') THEN 1 ELSE 2 END
+                 + CASE WHEN o_orderkey % 17 = 0 THEN 2 ELSE 0 END AS BIGINT) END AS plan_id,
        CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN CAST(1 + o_orderkey % 20 AS INTEGER) ELSE 1 END AS seat_count,
        CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') AND o_orderkey % 7 <> 0 THEN
             CAST(CAST(CASE WHEN lower({PLAN_TEXT}) IN ('pro', 'professional') THEN 49.00 ELSE 199.00 END AS DECIMAL(18,2))
@@ -112,8 +116,7 @@ FROM orders""",
        CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 15 <> 0 THEN
             CASE o_orderkey % 4 WHEN 0 THEN 'too_expensive' WHEN 1 THEN 'missing_features'
                                 WHEN 2 THEN 'switched_competitor' ELSE 'not_using' END END AS cancellation_reason
-FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_orderkey % 8 < 2""",
+FROM orders JOIN customer ON o_custkey = c_custkey""",
     ),
     (
         "trial_first_conversion",
@@ -131,8 +134,7 @@ GROUP BY c.account_id, c.first_conv""",
        CASE WHEN a.account_id % 3 = 0 OR c.first_conv IS NULL THEN a.signup_date
             ELSE c.first_conv - to_days(CAST((a.account_id * 7) % 75 AS INTEGER)) END AS started_at,
        c.first_conv, c.conv_id
-FROM accounts a LEFT JOIN trial_first_conversion c ON a.account_id = c.account_id
-WHERE a.account_id % 2 = 0""",
+FROM accounts a LEFT JOIN trial_first_conversion c ON a.account_id = c.account_id""",
     ),
     (
         "trials",
@@ -146,7 +148,7 @@ FROM (SELECT * FROM trial_base
     ),
     (
         "features",
-        """SELECT DISTINCT p_type AS feature_id, lower(p_type) AS feature_name, 'core' AS category FROM part
+        """SELECT DISTINCT p_type AS feature_id, CASE WHEN p_type <> 'SMALL' THEN lower(p_type) END AS feature_name, 'core' AS category FROM part
 UNION
 SELECT DISTINCT event_type, event_type, 'telemetry' FROM events""",
     ),

@@ -27,15 +27,30 @@ def physical_plan(df: DataFrame) -> str:
     return text.split("== Physical Plan ==", 1)[-1]
 
 
-def forbidden_nodes(df: DataFrame) -> list[str]:
-    plan = physical_plan(df)
-    return [name for name in FORBIDDEN if name in plan]
+def forbidden_nodes(plan: DataFrame | str) -> list[str]:
+    text = plan if isinstance(plan, str) else physical_plan(plan)
+    return [name for name in FORBIDDEN if name in text]
 
 
-def exchange_count(df: DataFrame) -> int:
-    return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)", physical_plan(df)))
+@contextlib.contextmanager
+def written_plans(plans: list[str]):
+    """Collects the plans of the tables that operators write while they are being built."""
+    from .. import session
 
+    write = session._write
 
-def scan_schemas(df: DataFrame) -> list[str]:
+    def noted(df, path):
+        plans.append(explain(df, "formatted"))
+        write(df, path)
+
+    session._write = noted
+    try:
+        yield plans
+    finally:
+        session._write = write
+
+
+def scan_schemas(plan: DataFrame | str) -> list[str]:
     """ReadSchema of every parquet scan in the plan."""
-    return re.findall(r"ReadSchema: (struct<[^\n]*>)", explain(df, "formatted"))
+    text = plan if isinstance(plan, str) else explain(plan, "formatted")
+    return re.findall(r"ReadSchema: (struct<[^\n]*>)", text)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import checks, ecom, quality, saas
 from .session import tune
@@ -101,6 +102,13 @@ def _soft_fk_pairs(r: Roles):
     ]
 
 
+def _signup_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as zoned instants (written down at +02:00), events as naive wall clock of India."""
+    r = roles(spark, sf_dir)
+    zoned = F.to_timestamp(F.concat(F.col("signup_date").cast("string"), F.lit("+02:00")))
+    return quality.signup_lag(r.accounts.withColumn("signup_date", zoned), r.subscription_events, naive_zone="Asia/Kolkata")
+
+
 def _r(fn):
     return lambda s, d: fn(roles(s, d))
 
@@ -112,6 +120,7 @@ QUERIES.update(
         "status_counts": _r(lambda r: quality.status_counts(r.subscriptions)),
         "trial_state": _r(lambda r: quality.trial_state(r.trials, r.subscriptions)),
         "plan_id_backfill": _r(lambda r: quality.plan_id_backfill(r.subscriptions, r.plans)),
+        "signup_lag": _signup_lag,
         "future_dated_events": _r(lambda r: quality.future_dated_events(r.subscription_events, as_of=SAAS_AS_OF)),
         "cancellation_reasons": _r(lambda r: quality.cancellation_reasons(r.subscriptions)),
         "unattributed_events": _r(lambda r: quality.unattributed_events(r.telemetry, r.users)),

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,32 +30,21 @@ SCALE_DEFAULTS = {
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply SCALE_DEFAULTS to a running session, keeping any value the
-    user gave when building it."""
-    built = spark.sparkContext.getConf()
+    user gave when building it or set since."""
     for key, value in SCALE_DEFAULTS.items():
-        if not built.contains(key):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a local one only when unset.
+    """The shared folder for intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; a machine-local temporary folder is only created for local sessions
-    (tests), where there is no cluster to lose executors from.
+    ``spark.checkpoint.dir`` where the session or its context names one; where
+    neither does, a folder in the warehouse, which driver and executors share.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerlens"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
@@ -67,8 +57,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # remove checkpoint files once the checkpointed frame is garbage collected
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerlens-"))
     )
     for key, value in SCALE_DEFAULTS.items():
         builder = builder.config(key, value)
@@ -77,13 +66,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _write(df, path: str) -> None:
+    df.write.parquet(path)
+
+
 def materialize(df):
-    """Cut the lineage of a reduced frame that is read more than once.
+    """Cut the lineage of a reduced frame that is read more than once, or that
+    is to reach a join without its aggregate's partitioning.
 
-    A reliable ``checkpoint`` writes it to the shared checkpoint folder, so
-    later passes read the written files instead of re-running the upstream
-    joins and aggregates, and a lost executor does not force a recompute of
-    that upstream either.
+    The frame is written as Parquet to the shared checkpoint folder and read
+    back: later passes do not repeat the upstream work, a lost executor does
+    not either, and Spark knows its size when it plans the joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}"
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

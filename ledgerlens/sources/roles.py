@@ -18,7 +18,8 @@ header; everything else is our own choice):
   trial_converted, plan_changed (up), plan_changed (down), seat_add,
   addon_attach, cancelled, trial_started
 * plan text by order priority 1..5: pro, Pro, professional, enterprise,
-  Enterprise; plans: 1 pro 49.00, 2 enterprise 199.00
+  Enterprise; plans: 1 pro 49.00 and 2 enterprise 199.00 monthly,
+  3 Pro 39.00 and 4 Enterprise 159.00 annual
 * subscription status by ``o_orderkey % 5``: active, churned, trialing,
   past_due, paused
 * cancellation reason by ``o_orderkey % 4``: too_expensive, missing_features,
@@ -95,7 +96,8 @@ class Roles:
             e = self.t.events
             return e.select(
                 (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"),
-                F.when(F.col("user_id") % 50 != 49, F.col("user_id")).alias("customer_id"),
+                # anonymous before the day of the first login, and always for a few visitors
+                F.when((F.col("user_id") % 50 != 49) & (F.dayofmonth("ts") >= F.col("user_id") % 25), F.col("user_id")).alias("customer_id"),
             ).distinct()
 
         return self._get("sessions", build)
@@ -103,7 +105,9 @@ class Roles:
     @property
     def session_channels(self) -> DataFrame:
         def build():
-            s = self.sessions.select("session_id").where(F.col("session_id") % 13 != 0)
+            # the page view carries the channel: sessions without one have none
+            views = self.t.events.where(F.col("event_type") == "view")
+            s = views.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id")).distinct()
             base = s.select(
                 "session_id",
                 _case(F.col("session_id") % 5, {0: "paid_social", 1: "organic", 2: "referral", 3: "email", 4: "affiliate"}).alias("channel"),
@@ -118,6 +122,7 @@ class Roles:
         def build():
             e = self.t.events
             k = F.col("event_id")
+            variants = self.t.part.agg((2 * F.count(F.lit(1))).alias("n")).scalar()
             etype = (
                 _case(F.col("event_type"), {"view": "product_view", "click": "add_to_cart", "signup": "begin_checkout", "purchase": "purchase"})
                 .when(F.col("event_type") == "error", _case(k % 3, {0: "add_address", 1: "select_shipping"}, "add_payment"))
@@ -126,7 +131,7 @@ class Roles:
                 (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"),
                 F.col("ts").alias("occurred_at"),
                 etype.alias("event_type"),
-                F.when(k % 97 != 0, k % 200).alias("variant_id"),
+                F.when(k % 97 != 0, k % F.nullif(variants, F.lit(0))).alias("variant_id"),
                 (1 + k % 5).cast("int").alias("quantity"),
                 F.when(k % 89 != 0, (F.col("value").cast(MONEY) * 25).cast(MONEY)).alias("unit_price"),
             )
@@ -137,14 +142,16 @@ class Roles:
     def product_variants(self) -> DataFrame:
         return self._get(
             "product_variants",
-            lambda: self.t.part.select(F.col("p_partkey").alias("variant_id"), (F.col("p_partkey") % 100).alias("product_id")),
+            lambda: self.t.part.select(
+                F.explode(F.array(2 * F.col("p_partkey"), 2 * F.col("p_partkey") + 1)).alias("variant_id"), F.col("p_partkey").alias("product_id")
+            ),
         )
 
     @property
     def products(self) -> DataFrame:
         return self._get(
             "products",
-            lambda: self.t.part.where(F.col("p_partkey") < 100).select(
+            lambda: self.t.part.select(
                 F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category_id")
             ),
         )
@@ -229,13 +236,18 @@ class Roles:
                 T.StructField("billing_interval", T.StringType()),
             ]
         )
-        rows = [(1, "pro", Decimal("49.00"), 10, "monthly"), (2, "enterprise", Decimal("199.00"), 500, "monthly")]
+        rows = [
+            (1, "pro", Decimal("49.00"), 10, "monthly"),
+            (2, "enterprise", Decimal("199.00"), 500, "monthly"),
+            (3, "Pro", Decimal("39.00"), 10, "annual"),
+            (4, "Enterprise", Decimal("159.00"), 500, "annual"),
+        ]
         return self._get("plans", lambda: self.spark.createDataFrame(rows, schema))
 
     @property
     def subscriptions(self) -> DataFrame:
         def build():
-            o = self.t.orders.where(F.col("o_orderkey") % 8 < 2)
+            o = self.t.orders
             c = self.t.customer.select("c_custkey", "c_mktsegment")
             j = o.join(c, o.o_custkey == c.c_custkey, "inner")
             k = F.col("o_orderkey")
@@ -248,7 +260,9 @@ class Roles:
                 F.when(~b2b, F.col("o_custkey")).alias("user_id"),
                 F.col("o_custkey").alias("account_id"),
                 plan.alias("plan"),
-                F.when(k % 11 != 0, F.when(normalize_plan(plan) == "pro", F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("plan_id"),
+                F.when(
+                    k % 11 != 0, (F.when(normalize_plan(plan) == "pro", F.lit(1)).otherwise(F.lit(2)) + F.when(k % 17 == 0, F.lit(2)).otherwise(F.lit(0))).cast("long")
+                ).alias("plan_id"),
                 seats.alias("seat_count"),
                 F.when(b2b & (k % 7 != 0), (unit * seats).cast(MONEY)).otherwise(F.col("o_totalprice").cast(MONEY)).alias("mrr"),
                 _case(k % 5, {0: "active", 1: "churned", 2: "trialing", 3: "past_due"}, "paused").alias("status"),
@@ -272,7 +286,7 @@ class Roles:
                 .agg(F.min(F.struct("event_time", "event_id")).alias("_c"))
                 .select("account_id", F.col("_c.event_time").alias("first_conv"), F.col("_c.event_id").alias("conv_id"))
             )
-            a = self.accounts.where(F.col("account_id") % 2 == 0).select("account_id", "signup_date")
+            a = self.accounts.select("account_id", "signup_date")
             j = a.join(conv, "account_id", "left")
             started = F.when((F.col("account_id") % 3 == 0) | F.col("first_conv").isNull(), F.col("signup_date")).otherwise(
                 F.col("first_conv") - F.make_dt_interval(((F.col("account_id") * 7) % 75).cast("int"))
@@ -305,7 +319,7 @@ class Roles:
 
         def build():
             from_parts = self.t.part.select(
-                F.col("p_type").alias("feature_id"), F.lower("p_type").alias("feature_name"), F.lit("core").alias("category")
+                F.col("p_type").alias("feature_id"), F.when(F.col("p_type") != "SMALL", F.lower("p_type")).alias("feature_name"), F.lit("core").alias("category")
             )
             from_events = self.t.events.select(
                 F.col("event_type").alias("feature_id"), F.col("event_type").alias("feature_name"), F.lit("telemetry").alias("category")

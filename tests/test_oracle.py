@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from ledgerlens.oracle.check import compare, duck, rows_of_duck, rows_of_spark
+from ledgerlens.registry import QUERIES
 
-KEYS = list(entry.queries())
+KEYS = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con(sf_dir):
 
 
 def test_every_key_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(KEYS)
+    assert set(KEYS) <= set(entry.oracle_sql()) and set(KEYS) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -14,10 +14,29 @@ def test_tune_sets_skew_handling(spark):
 def test_checkpoint_folder_is_reused(spark):
     first = ensure_checkpoint_dir(spark)
     assert first and ensure_checkpoint_dir(spark) == first
-    assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_folder_of_the_warehouse_without_a_setting(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        fallback = ensure_checkpoint_dir(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", named)
+    assert fallback == named or fallback.startswith(spark.conf.get("spark.sql.warehouse.dir"))
+    assert ensure_checkpoint_dir(spark) == named
+
+
+def test_tune_keeps_what_the_user_set(spark):
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    spark.conf.set(key, "false")
+    tune(spark)
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    assert kept == "false"
 
 
 def test_materialize_cuts_lineage(spark):
     df = materialize(spark.range(10).selectExpr("id * 2 AS x"))
     assert sorted(r["x"] for r in df.collect()) == list(range(0, 20, 2))
-    assert "Range (" not in physical_plan(df) and "ExistingRDD" in physical_plan(df)
+    assert "Range (" not in physical_plan(df) and "FileScan parquet" in physical_plan(df)

@@ -22,11 +22,6 @@ SKEW_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
     "spark.sql.shuffle.partitions": "16",
-    # salt every key with 100+ sampled rows (sample all rows)
-    "ledgerlens.skew.hotRows": "100",
-    "ledgerlens.skew.sampleEvery": "1",
-    "ledgerlens.skew.salts": "8",
-    "ledgerlens.broadcast.maxRows": "0",  # per-group sides take the salted path too
 }
 
 
@@ -40,6 +35,7 @@ def skewed(spark):
     frames = {
         "subscription_events": r.subscription_events.withColumn("account_id", hot("account_id", "event_id")),
         "accounts": r.accounts,
+        "trials": r.trials.withColumn("account_id", hot("account_id", "trial_id")),
         "customers": r.customers,
         "sessions": r.sessions.withColumn("customer_id", hot("customer_id", "session_id")),
         "session_events": r.session_events,
@@ -74,9 +70,12 @@ def test_hot_account(skewed):
     _check(con, "mrr_movements", saas.mrr_movements(ev, as_of=SAAS_AS_OF))
     rr = saas.revenue_retention(ev, as_of=SAAS_AS_OF)
     _check(con, "revenue_retention", rr)
+    trials = f["trials"]
+    _check(con, "trial_conversion", saas.trial_conversion(trials, ev))
+    _check(con, "trial_conversion_strict", saas.trial_conversion(trials, ev, strict=True))
     _check(con, "expansion_revenue", saas.expansion_revenue(ev, acc, as_of=SAAS_AS_OF))
     plan = explain(rr, "formatted")
-    assert "SortMergeJoin" in plan and "_salt" in plan
+    assert "SortMergeJoin" in plan
 
 
 def test_hot_customer(skewed):
@@ -86,17 +85,28 @@ def test_hot_customer(skewed):
     _check(con, "cohort_retention", ecom.cohort_retention(c, s, e, since=ECOM_SINCE))
 
 
-def test_salted_join_equals_plain_join(spark, skewed):
-    from ledgerlens.functions.joins import hot_keys, salted_join
+def test_keyed_join_equals_plain_join(spark, skewed):
+    from ledgerlens.functions.joins import keyed_join
 
     f, _ = skewed
     ev = f["subscription_events"].select("event_id", "account_id", "mrr_delta")
     per = ev.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("account_id") % 5 != 1)
-    assert 7 in {r["account_id"] for r in hot_keys(ev, "account_id").collect()}
     for how in ("inner", "left"):
         plain = sorted(ev.join(per, "account_id", how).collect())
-        salted = sorted(salted_join(ev, per, "account_id", how).select(*plain[0].__fields__).collect())
-        assert plain == salted
+        joined = sorted(keyed_join(ev, per, "account_id", how).select(*plain[0].__fields__).collect())
+        assert plain == joined
+
+
+def test_hot_side_is_split(spark, skewed):
+    """The join with a written per-key side runs with its hot partition split."""
+    from ledgerlens.functions.joins import keyed_join
+
+    f, _ = skewed
+    ev = f["subscription_events"].select("event_id", "account_id", "mrr_delta")
+    per = ev.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    out = keyed_join(ev, per, "account_id").groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    assert all(r["rows"] == r["n"] for r in out.collect())
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_account_feature_adoption(skewed):
