@@ -264,9 +264,12 @@ WITH latest AS (
   SELECT account_id, signup_date, if(cancelled_at <= signup_date + INTERVAL 90 DAY, 0, 1) AS kept
   FROM accounts {without_subscription} JOIN latest USING (account_id) WHERE signup_date + INTERVAL 90 DAY <= {A}
 ), adopted AS (
-  SELECT account_id, any_value(kept) AS kept,
-         list(DISTINCT feature_id) FILTER (occurred_at <= signup_date + INTERVAL 14 DAY AND occurred_at >= {earliest}) AS has_ids
-  FROM member LEFT JOIN feature_events USING (account_id) GROUP BY account_id
+  SELECT account_id, kept, has_ids FROM member
+  LEFT JOIN (SELECT account_id, list(feature_id) AS has_ids
+             FROM (SELECT account_id, feature_id FROM member JOIN feature_events USING (account_id)
+                   WHERE feature_id IS NOT NULL AND occurred_at BETWEEN {earliest} AND signup_date + INTERVAL 14 DAY
+                   GROUP BY ALL HAVING count(*) >= 1)
+             GROUP BY account_id) USING (account_id)
 ), grouped AS (
   SELECT {key}, {names} AS feature_name_, list(feature_id) AS ids FROM features GROUP BY {key}
 ), pair AS (

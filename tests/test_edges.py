@@ -38,7 +38,7 @@ SCHEMAS = {
     "feature_events": "account_id bigint, feature_id string, occurred_at timestamp_ntz",
     "telemetry": "event_id bigint, user_id bigint, account_id bigint, feature_id string, occurred_at timestamp_ntz, properties string",
     "users": "user_id bigint, account_id bigint, is_active int",
-    "plans": "plan_id bigint, plan_name string, monthly_price decimal(18,2)",
+    "plans": "plan_id bigint, plan_name string, monthly_price decimal(18,2), billing_interval string",
 }
 
 
@@ -221,7 +221,7 @@ def books(spark):
             (4, 8, T(1999, 5, 1)),  # never converts
             (5, 1, T(1999, 6, 1)),  # second trial of account 1
         ],
-        features=[("f1", "search"), ("f2", "export"), ("f3", "export"), ("f4", "unused")],
+        features=[("f1", "search"), ("f2", "export"), ("f3", "export"), ("f4", "unused"), ("f5", None)],
         feature_events=[
             (1, "f1", T(1998, 12, 5)),
             (1, "f2", T(1998, 11, 1)),  # before signup: counts by the reference rule
@@ -231,6 +231,8 @@ def books(spark):
             (5, "f3", T(1999, 10, 30)),  # after the 14-day window
             (8, "f1", T(1999, 5, 2)),
             (8, None, T(1999, 5, 2)),
+            (1, "f5", T(1998, 12, 6)),  # adopters of a feature without a name
+            (3, "f5", T(1999, 3, 4)),
         ],
         telemetry=[
             (1, 1, 1, "f1", T(2000, 1, 1), '{"feature": "search"}'),
@@ -238,7 +240,13 @@ def books(spark):
             (3, 3, 3, None, T(2000, 1, 1), '{"feature": "gone"}'),
         ],
         users=[(1, 1, 1), (3, 3, 0), (4, 4, 2)],
-        plans=[(1, "pro", D("49.00")), (2, "enterprise", D("199.00"))],
+        # a name repeats per billing interval, in another spelling
+        plans=[
+            (1, "pro", D("49.00"), "monthly"),
+            (2, "enterprise", D("199.00"), "monthly"),
+            (3, "Professional", D("39.00"), "annual"),
+            (4, "Enterprise", D("159.00"), "annual"),
+        ],
     )
 
 
@@ -282,6 +290,7 @@ def test_feature_adoption_edges(books):
     books.check("feature_adoption_strict", saas.feature_adoption(a, s, u, f, as_of=SAAS_AS_OF, strict=True))
     by = {r["feature_name"]: r for r in rows}
     assert by["unused"]["accounts_adopted"] == 0 and by["unused"]["retention_rate_adopted"] is None
+    assert by[None]["accounts_adopted"] == 2  # features without a name are a group of their own
 
 
 def test_expansion_edges(books):
@@ -303,7 +312,13 @@ def test_sample_queries(books):
 
 def test_quality_edges(books):
     d = books.df
-    books.check("plan_id_backfill", quality.plan_id_backfill(d["subscriptions"], d["plans"]))
+    _, rows = books.check("plan_id_backfill", quality.plan_id_backfill(d["subscriptions"], d["plans"]))
+    assert len(rows) == 8 and {r["subscription_id"]: r["resolved_plan_id"] for r in rows}[102] == 1
+    _, rows = books.check("mrr_price_check", quality.mrr_price_check(d["subscriptions"], d["plans"], d["accounts"]))
+    assert sum(r["subscriptions"] for r in rows) == 8
+    empty = d["subscriptions"].limit(0)
+    row = quality.soft_fk_check([("accounts", d["accounts"], "account_id", "subscriptions", empty, "account_id")]).first()
+    assert (row["child_rows"], row["orphan_rows"]) == (0, 0)
     _, rows = books.check("unattributed_events", quality.unattributed_events(d["telemetry"], d["users"]))
     assert {r["attribution"]: r["events"] for r in rows} == {"attributed": 2, "unattributed": 1}
     _, rows = books.check("cancellation_reasons", quality.cancellation_reasons(d["subscriptions"]))
@@ -318,7 +333,7 @@ def test_feature_adoption_min_uses(books):
     a, s, u, f = (books.df[k] for k in ("accounts", "subscriptions", "feature_events", "features"))
     got = saas.feature_adoption(a, s, u, f, as_of=SAAS_AS_OF, min_uses=2)
     sc, sr = rows_of_spark(got)
-    rel = books.con.sql(SQL["feature_adoption"].replace("usage_count >= 1", "usage_count >= 2"))
+    rel = books.con.sql(SQL["feature_adoption"].replace("count(*) >= 1", "count(*) >= 2"))
     res = compare(sc, sr, rel.columns, rel.fetchall())
     assert res["match"], res
 

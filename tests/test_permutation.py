@@ -13,7 +13,7 @@ def _shuffle(df, n, seed):
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 CASES = {
