@@ -128,33 +128,59 @@ def suffix_ranks(repeated: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def _windows(levels: int, min_words: int):
-    names = ["none", "id", "key", "pos", "size", "a", "b"]
-
-    def run(table: pa.Table) -> pa.Table:
-        """Shortest windows of ``min_words`` words that begin or end at each line of one text, by the
-        two ranks that name their interval."""
-        table = table.sort_by("pos")
-        pos, words = table.column("pos").to_numpy(), table.column("words").to_numpy()
+def _windows(ranks: DataFrame, levels: int, min_words: int) -> DataFrame:
+    """none, id, key, pos, size, a, b: shortest windows of ``min_words`` words that begin or end at each
+    line, by the two ranks that name their interval."""
+    text = ["none", "id", "key"]
+    dealt = ranks.repartition(*text).sortWithinPartitions(*text, "pos")
+
+    def of_texts(table: pa.Table) -> pa.RecordBatch:
+        key, pos, words = (table.column(c).to_numpy() for c in ("key", "pos", "words"))
         rank = np.stack([table.column(f"r{k}").to_numpy() for k in range(levels + 1)])
         n = len(pos)
-        run_no = np.cumsum(np.diff(pos, prepend=pos[0]) != 1)  # lines next to each other in the text
+        apart = (np.diff(pos) != 1) | (np.diff(key) != 0)
+        run_no = np.concatenate(([0], np.cumsum(apart)))  # lines next to each other in one text
         total = np.concatenate(([0], np.cumsum(words)))
         at = np.arange(n)
         end = np.searchsorted(total, total[:-1] + min_words)  # window [i, end)
         begin = np.searchsorted(total, total[1:] - min_words, "right") - 1  # window [begin, i]
-        forward = np.stack([at, end], 1)[end <= n]
-        backward = np.stack([begin, at + 1], 1)[begin >= 0]
-        both = np.unique(np.concatenate([forward, backward]), axis=0)
-        i, j = both[:, 0], both[:, 1]
+        forward = (at * (n + 1) + end)[end <= n]
+        backward = (begin * (n + 1) + at + 1)[begin >= 0]
+        i, j = np.divmod(np.unique(np.concatenate([forward, backward])), n + 1)
         ok = run_no[i] == run_no[j - 1]
         i, j = i[ok], j[ok]
         size = j - i
         level = np.minimum(np.frexp(size.astype(np.float64))[1] - 1, levels)
-        columns = [table.column(c).take(pa.array(i)) for c in ("none", "id", "key")]
-        return pa.table([*columns, pos[i], size, rank[level, i], rank[level, j - (1 << level)]], names=names)
+        made = [pos[i], size, rank[level, i], rank[level, j - (1 << level)]]
+        columns = [table.column(c).take(pa.array(i)).combine_chunks() for c in text] + [pa.array(x) for x in made]
+        return pa.RecordBatch.from_arrays(columns, names=[*text, "pos", "size", "a", "b"])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of a text that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            last = int(np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))[-1])
+            if held and (last or held[0].column("key")[0].as_py() != key[0]):
+                if held[0].column("key")[0].as_py() == key[0]:
+                    first = int(np.flatnonzero(np.append(np.diff(key) != 0, True))[0]) + 1
+                else:
+                    first = 0
+                yield of_texts(pa.Table.from_batches([*held, batch.slice(0, first)]))
+                if first < last:
+                    yield of_texts(pa.Table.from_batches([batch.slice(first, last - first)]))
+                held = [batch.slice(last)]
+            elif held:
+                held.append(batch)
+            else:
+                if last:
+                    yield of_texts(pa.Table.from_batches([batch.slice(0, last)]))
+                held = [batch.slice(last)]
+        if held:
+            yield of_texts(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "none boolean, id long, key long, pos long, size long, a long, b long")
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -167,8 +193,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # rows with the same id and text are one document
     repeated = written(every.join(often, "r", "left_semi").dropDuplicates(["key", "pos"]))
     ranks = suffix_ranks(repeated.select(*_PLACE, "line", "words", "r"), levels)
-    schema = "none boolean, id long, key long, pos long, size long, a long, b long"
-    windows = written(ranks.groupBy("none", "id", "key").applyInArrow(_windows(levels, min_words), schema))
+    windows = written(_windows(ranks, levels, min_words))
     place = F.struct(*_PLACE)
     first = written(windows.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = windows.join(first, ["size", "a", "b"]).where(place > F.col("first")).select("key", "pos", "size")

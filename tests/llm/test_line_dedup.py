@@ -38,12 +38,14 @@ def corpus(seed):
     return rows
 
 
-def test_matches_brute_force(docs_of):
-    # ids in the order of content, so that places sort alike in both
-    for seed, min_words in ((1, 8), (2, 5), (3, 1), (4, 12)):
+def test_matches_brute_force(spark, docs_of):
+    rows_of_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for seed, min_words, n in ((1, 8, 10000), (2, 5, 7), (3, 1, 1), (4, 12, 10000)):
+        spark.conf.set(rows_of_batch, n)  # texts that go on over batches
         rows = corpus(seed)
         want = slow(rows, min_words)
         got = {(r.doc_id, tuple(r.deleted), r.n_deleted) for r in ld.line_dedup(docs_of(rows), min_words).collect()}
+        spark.conf.unset(rows_of_batch)
         assert got == {(d, tuple(g), len(g)) for (d, _), g in want.items()}
 
 
