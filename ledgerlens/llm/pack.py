@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import written
+from .kernels import Block, blocks
 
 CAPACITY = 4096
 SHARD = 8000  # pieces of a shard, about
@@ -46,7 +47,10 @@ GENERATIONS = 6
 POPULATION = 4
 WELL_FILLED = 0.98  # share of the capacity from which crossover takes a bin over, and a level keeps it
 LEVELS = 4  # times that badly filled bins are dealt anew
-MOST_WORDS = 200_000  # words whose ids a worker remembers
+MOST_WORDS = 800_000  # words whose ids a worker remembers, about
+_SIGN, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b".,;:!?#$%&*|")] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -61,21 +65,48 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def token_ids(text: str | None, path: str, end: int) -> bytes:
-    """Ids of a whole text and the end token, as little-endian unsigned 32-bit numbers.
+def _cut_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the words, with closing ASCII punctuation after a letter or digit as a span of its own
+    (a border of pieces for any tokenizer that parts letters from signs)."""
+    starts, ends = block.words()
+    at = np.arange(len(block.buf))
+    solid = np.maximum.accumulate(np.where(_SIGN[block.buf], -1, at))[ends - 1] + 1 if len(ends) else ends
+    part = (solid < ends) & (solid > starts) & _PLAIN[block.buf[np.maximum(solid - 1, 0)]]
+    k = np.flatnonzero(part)
+    return np.insert(starts, k + 1, solid[k]), np.insert(ends, k, solid[k])
 
-    For tokenizers whose pieces never hold white space (it only separates them):
-    the ids of a text are those of its words, so each word is encoded once."""
+
+def token_ids(texts: list[bytes], path: str, end: int) -> list[memoryview]:
+    """Ids of each whole text and the end token, as little-endian unsigned 32-bit numbers.
+
+    For tokenizers that ignore case and whose pieces never hold white space: the
+    ids of a text are those of its words, so each different word is encoded once
+    and remembered. Texts with marks that may be special strings keep their case."""
     tokenizer, known = _tokenizer(path)
-    words = (text or "").encode().split()
-    new = [w for w in set(words) if w not in known]
+    block = Block([t if b"<|" in t else t.lower() for t in texts])
+    starts, ends = _cut_words(block)
+    distinct, first, word = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
+    keys = distinct.tolist()
+    if len(known) > MOST_WORDS:
+        known.clear()
+    new = [k for k, key in enumerate(keys) if key not in known]
     if new:
-        if len(known) > MOST_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, words)) + end.to_bytes(4, "little")
+        data = block.buf.tobytes()
+        spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+        for k, e in zip(new, tokenizer.encode_batch_fast([data[a:b].decode() for a, b in spans], add_special_tokens=False)):
+            known[keys[k]] = np.array(e.ids, "<u4").tobytes()
+    blobs = [*map(known.__getitem__, keys), end.to_bytes(4, "little")]
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    begin = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(blobs), "<u4")
+    bounds = block.per_row(starts)
+    word = np.insert(word, bounds[1:], len(keys))  # the end token after each text's words
+    n = size[word]
+    last = np.cumsum(n)
+    ids = flat[np.repeat(begin[word] - (last - n), n) + np.arange(last[-1])]
+    stop = 4 * last[bounds[1:] + np.arange(block.n)]
+    raw = memoryview(ids.tobytes())
+    return [raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 1) -> DataFrame:
@@ -85,8 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         item = row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out, of = [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = token_ids(text.as_py(), tokenizer, end)
+            texts = blocks(batch.column("text").to_pylist())
+            for i, ids in enumerate(ids for _, _, raws in texts for ids in token_ids(raws, tokenizer, end)):
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     out.append((item, row, k, a // 4, len(part) // 4, zlib.crc32(part)))
