@@ -64,6 +64,12 @@ def normalize_plan(plan: str | Column) -> Column:
     return F.when(p == "professional", F.lit("pro")).otherwise(p)
 
 
+def closed_cohort(week: str | Column, horizon_days: int, closed_by) -> Column:
+    """Whether every member of a weekly cohort has been seen for ``horizon_days``
+    by the date ``closed_by`` (None: every cohort counts as closed)."""
+    return F.lit(True) if closed_by is None else F.date_add(col(week), 7 + horizon_days) <= F.lit(closed_by)
+
+
 def bucket_ordinal(label: str | Column, labels: Sequence[str]) -> Column:
     """Position (1-based) of ``label`` in ``labels``; NULL when absent."""
     c = col(label)

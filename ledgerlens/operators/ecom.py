@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MONEY_SUM, bucket_ordinal, days, elapsed, ratio, week_start
+from ..functions.exprs import MONEY_SUM, bucket_ordinal, closed_cohort, days, elapsed, ratio, week_start
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
 from ..functions.ranking import value_ranks
 from ..session import materialize
@@ -83,6 +83,7 @@ def activation_curve(
     window_days: int = 7,
     strict: bool = False,
     approx_percentiles: bool = False,
+    closed_by: dt.date | None = None,
 ) -> DataFrame:
     """Share of each weekly signup cohort whose first meaningful action came
     within ``window_days`` of signup, with median and p90 minutes to it.
@@ -90,13 +91,14 @@ def activation_curve(
     Reference rule: the first action *ever* is tested, so a customer whose
     first action precedes signup is not activated even if they act again in
     the window. ``strict=True`` takes the first action at or after signup.
+    ``closed_by`` leaves out cohorts whose window is not over by that date.
 
     Plan: the type filter is applied to the event scan (pushed down); events
     meet the sessions of customers in the signup window and are reduced to one
     minimum per customer; the percentile helper never gathers a cohort in one
     task.
     """
-    signups = _signups(customers, since)
+    signups = _signups(customers, since).where(closed_cohort("signup_week", window_days, closed_by))
     if strict:
         # activity at or after a signup in the window is at or after `since`
         acts = _signup_activity(events.where(F.col("occurred_at") >= _since(since)), sessions, signups, types)
@@ -178,6 +180,7 @@ def cohort_retention(
     types: Sequence[str] = RETENTION_TYPES,
     weeks: int = 4,
     strict: bool = False,
+    closed_by: dt.date | None = None,
 ) -> DataFrame:
     """Weekly behavioural retention: of each signup-week cohort, how many were
     active in week 0 and in weeks 1..``weeks`` after signup.
@@ -185,13 +188,15 @@ def cohort_retention(
     Week index is ``floor(elapsed / 7 days)`` clipped at 0, so activity before
     signup lands in week 0. Reference rule: a customer with no activity at all
     also counts as week-0 active (``greatest(NULL, 0) = 0``); ``strict=True``
-    does not count them.
+    does not count them. ``closed_by`` leaves out cohorts whose last week is not
+    over by that date.
 
     Plan: the reference's nine filtered ``count(distinct)`` become one
     aggregate of per-week 0/1 flags per customer (no Expand of the rows), then
     plain sums per cohort.
     """
     signups = _signups(customers, since).withColumnRenamed("signup_week", "cohort_week")
+    signups = signups.where(closed_cohort("cohort_week", 7 * (weeks + 1), closed_by))
     act = _signup_activity(events, sessions, signups, types)
     week_index = F.greatest(F.floor(elapsed("occurred_at", "signup_at", "second") / 604800.0), F.lit(0))
     if strict:

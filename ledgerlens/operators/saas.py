@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MONEY_SUM, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
+from ..functions.exprs import MONEY_SUM, closed_cohort, days, elapsed, month_start, months, normalize_plan, ratio, week_start, with_scalars
 from ..functions.asof import next_event
 from ..functions.joins import keyed_join
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
@@ -137,6 +137,7 @@ def trial_conversion(
     conversion_days: Sequence[int] = CONVERSION_DAYS,
     strict: bool = False,
     approx_percentiles: bool = False,
+    closed_by: dt.date | None = None,
 ) -> DataFrame:
     """Trial-to-paid conversion by weekly trial cohort.
 
@@ -144,12 +145,14 @@ def trial_conversion(
     ``subscription_started`` event ever, counted only when it is not before the
     trial start (the reference rule). ``strict=True`` instead takes the first
     conversion at or after each trial's start (an as-of join: no trial meets
-    more than one conversion, however many an account has).
+    more than one conversion, however many an account has). ``closed_by`` leaves
+    out cohorts whose longest conversion window is not over by that date.
     """
     conv_events = sub_events.where(F.col("event_type").isin(*START_TYPES) & F.col("event_time").isNotNull()).select(
         "account_id", "event_time"
     )
     tr = trials.select("trial_id", "account_id", "started_at")
+    tr = tr.where(closed_cohort(week_start("started_at"), max(conversion_days), closed_by))
     if not strict:
         first_conv = conv_events.groupBy("account_id").agg(F.min("event_time").alias("first_conversion_at"))
         joined = keyed_join(tr, first_conv, "account_id", "left")

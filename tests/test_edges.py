@@ -357,3 +357,18 @@ def test_revenue_retention_horizon_boundary(spark):
     # one-month horizon: 2024-01-31 12:00 + 1 month = 2024-02-29 12:00, after midnight of 02-29
     assert saas.revenue_retention(ev, as_of=dt.date(2024, 2, 29), horizon_months=1).collect() == []
     assert len(saas.revenue_retention(ev, as_of=dt.date(2024, 3, 1), horizon_months=1).collect()) == 1
+
+
+def test_unfinished_cohorts_are_left_out(shop, books):
+    c, s, e = shop.df["customers"], shop.df["sessions"], shop.df["session_events"]
+    args = {"since": dt.date(2024, 1, 2)}
+    for run, column, horizon in (
+        (lambda **k: ecom.activation_curve(c, s, e, **args, **k), "signup_week", 7),
+        (lambda **k: ecom.cohort_retention(c, s, e, **args, **k), "cohort_week", 35),
+        (lambda **k: saas.trial_conversion(books.df["trials"], books.df["subscription_events"], **k), "trial_week", 60),
+    ):
+        every = [tuple(r) for r in run().collect()]
+        weeks = sorted(r[0] for r in every)
+        last = weeks[len(weeks) // 2]
+        kept = [tuple(r) for r in run(closed_by=last + dt.timedelta(days=7 + horizon)).collect()]
+        assert sorted(kept, key=str) == sorted((r for r in every if r[0] <= last), key=str) and column
