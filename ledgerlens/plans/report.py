@@ -4,9 +4,9 @@
 each headline query and lists, from ``explain("formatted")`` of the final
 plan: shuffle and broadcast exchanges, join strategies, aggregates, windows,
 parquet scans with their ReadSchema, and forbidden nodes (cross products,
-Python evaluation). Eager checkpoint jobs an operator runs while being built
-are not part of the final plan; their inputs show up as scans of
-checkpointed data (``Scan ExistingRDD``).
+Python evaluation). Tables that an operator writes while it is being built are
+counted as well, from their plans before execution; reads of such tables are
+listed apart.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from __future__ import annotations
 import re
 import sys
 
-from .inspect import FORBIDDEN, explain
+from .inspect import FORBIDDEN, explain, written_plans
 
 
-def summarize(df) -> dict:
+def summarize(build) -> dict:
+    with written_plans([]) as plans:
+        df = build()
     df.write.format("noop").mode("overwrite").save()
-    plan = explain(df, "formatted")
+    plan = "\n".join([*plans, explain(df, "formatted")])
     nodes = re.findall(r"^\(\d+\) ([A-Za-z]+)", plan, flags=re.M)
     count = lambda name: sum(1 for n in nodes if n == name)
     return {
@@ -32,7 +34,7 @@ def summarize(df) -> dict:
         "hash_aggregates": count("HashAggregate") + count("ObjectHashAggregate"),
         "windows": count("Window"),
         "parquet_scans": sorted(set(re.findall(r"ReadSchema: (struct<[^\n]*>)", plan))),
-        "checkpoint_reads": len(re.findall(r"^\(\d+\) Scan ExistingRDD", plan, flags=re.M)),
+        "written_tables": len(plans),
         "forbidden": [n for n in FORBIDDEN if n in plan],
     }
 
@@ -51,20 +53,20 @@ def main() -> None:
     spark = local_session()
     print(f"# Final plans at {sf}\n")
     print("Generated by `python -m ledgerlens.plans.report`. Counts are physical operators of the final")
-    print("adaptive plan (AQE may turn sort-merge joins into broadcast joins when a side is measured small).\n")
-    print("| key | shuffles | reused | broadcasts | SMJ | BHJ | aggregates | windows | checkpoint reads | forbidden |")
+    print("adaptive plan and of the plans of tables written on the way (AQE may turn sort-merge joins into broadcast joins).\n")
+    print("| key | shuffles | reused | broadcasts | SMJ | BHJ | aggregates | windows | written tables | forbidden |")
     print("|---|---|---|---|---|---|---|---|---|---|")
     details = []
     for k in keys:
-        s = summarize(QUERIES[k](spark, sf))
+        s = summarize(lambda key=k: QUERIES[key](spark, sf))
         print(
             f"| {k} | {s['shuffles']} | {s['reused_shuffles']} | {s['broadcasts']} | {s['sort_merge_joins']} | "
-            f"{s['broadcast_hash_joins']} | {s['hash_aggregates']} | {s['windows']} | {s['checkpoint_reads']} | {', '.join(s['forbidden']) or '-'} |"
+            f"{s['broadcast_hash_joins']} | {s['hash_aggregates']} | {s['windows']} | {s['written_tables']} | {', '.join(s['forbidden']) or '-'} |"
         )
         details.append((k, s["parquet_scans"]))
     print("\n## Parquet read schemas (column pruning)\n")
     for k, scans in details:
-        print(f"* `{k}`: " + ("; ".join(f"`{x}`" for x in scans) if scans else "reads checkpointed frames only"))
+        print(f"* `{k}`: " + ("; ".join(f"`{x}`" for x in scans) if scans else "none"))
 
 
 if __name__ == "__main__":
