@@ -42,12 +42,25 @@ class Sample:
     label: np.ndarray
     width: int = WIDTH
 
+    def _parts(self, rows: int = 250):
+        """Some rows at a time, so that a pass over the sample needs little memory besides it."""
+        for a in range(0, len(self.label), rows):
+            first = self.first[a : a + rows + 1]
+            yield a, first - first[0], self.bucket[first[0] : first[-1]], self.value[first[0] : first[-1]]
+
     def scores(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(w[self.bucket] * self.value)))
-        return np.diff(sums[self.first])
+        out = np.zeros(len(self.label))
+        for a, first, bucket, value in self._parts():
+            sums = np.concatenate(([0.0], np.cumsum(w[bucket] * value)))
+            out[a : a + len(first) - 1] = np.diff(sums[first])
+        return out
 
     def gradient(self, by_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.bucket, self.value * np.repeat(by_row, np.diff(self.first)), self.width)
+        out = np.zeros(self.width)
+        for a, first, bucket, value in self._parts():
+            size = np.diff(first)
+            out += np.bincount(bucket, value * np.repeat(by_row[a : a + len(size)], size), self.width)
+        return out
 
 
 def sample_of(found: DataFrame, at_least: int = 15) -> Sample:
@@ -74,12 +87,14 @@ def sample_of(found: DataFrame, at_least: int = 15) -> Sample:
     bucket = np.frombuffer(b"".join(r.buckets for r in got), np.int32)
     value = np.frombuffer(b"".join(r["values"] for r in got), np.float32)
     size = np.fromiter((len(r.buckets) // 4 for r in got), np.int64, len(got))
+    wide = np.frombuffer(b"".join(r.dense for r in got), np.float64).reshape(len(got), N_DENSE)
+    label = np.fromiter((r.label for r in got), np.int64, len(got))
+    del got
     used = np.bincount(bucket, minlength=WIDTH) >= at_least
     keep = used[bucket]
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    first = kept[np.concatenate(([0], np.cumsum(size)))]
-    wide = np.frombuffer(b"".join(r.dense for r in got), np.float64).reshape(len(got), N_DENSE)
-    return Sample(first, bucket[keep], value[keep].astype(np.float64), wide, np.fromiter((r.label for r in got), np.int64, len(got)))
+    at = np.flatnonzero(keep)
+    first = np.searchsorted(at, np.concatenate(([0], np.cumsum(size))))
+    return Sample(first, bucket[at], value[at], wide, label)
 
 
 def held_rows(n: int) -> np.ndarray:

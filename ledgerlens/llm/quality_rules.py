@@ -21,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from .frames import map_texts
 from .kernels import Block, blocks
 from .linear import Sample, descend, held_rows, labelled_rows, platt, sample_of, sigmoid
 
-SAMPLE = 4000  # labelled rows that the model is fitted on, at most
+SAMPLE = 3000  # labelled rows that the model is fitted on, at most
 KEEP = 0.5  # probability of good quality from which a text is kept
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -93,12 +93,13 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = KEEP) ->
     """The rows of ``docs`` (all columns as they are) that the rules keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def passes(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
-        for a, b, raws in blocks(texts):
-            block = Block(raws)
-            out[a:b] = ~base_failed(text_stats(block)) & (shared.value.probability(block) >= threshold)
-        return pd.Series(out)
+        for first in range(0, len(texts), 500):
+            for a, b, raws in blocks(texts.slice(first, 500).to_pylist()):
+                block = Block(raws)
+                out[first + a : first + b] = ~base_failed(text_stats(block)) & (shared.value.probability(block) >= threshold)
+        return pa.array(out)
 
     return docs.where(passes(docs["text"]))
