@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .kernels import Block, blocks
+from .kernels import Block, blocks, give_back
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def map_texts(df: DataFrame, keep: list[str], compute, schema: str) -> DataFrame:
     """Rows of ``df`` with the columns ``keep`` as they are and those that
     ``compute(Block) -> {name: array}`` makes of its ``text`` column (null:
@@ -43,12 +50,13 @@ def map_texts(df: DataFrame, keep: list[str], compute, schema: str) -> DataFrame
     batches out; no row leaves its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             for a, b, raws in blocks(texts):
                 made = compute(Block(raws))
                 columns = [batch.column(c).slice(a, b - a) for c in keep] + [pa.array(x) for x in made.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+        give_back()
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 

@@ -8,11 +8,12 @@ single text, not on the number of rows in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -20,6 +21,15 @@ _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system: Python workers outlive their
+    tasks, and what they keep adds up on an executor over the stages of a job."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def blocks(texts, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, encoded texts) of runs of about ``limit`` bytes; null: empty."""
     first, held, size = 0, [], 0

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import free_name, written
-from .kernels import Block, blocks
+from .frames import free_name, sliced, written
+from .kernels import Block, blocks, give_back
 
 MIN_WORDS = 50
 _PLACE = ["none", "id", "key", "pos"]  # an order of all lines: none (id is null), id, content, line
@@ -51,7 +51,7 @@ def lines(docs: DataFrame) -> DataFrame:
     line's hash), words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for a, _, raws in blocks(batch.column("text").to_pylist()):
                 block = Block(raws)
                 starts, ends = block.lines()
@@ -66,6 +66,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 take = pa.array(at + a)
                 made = [pa.array(x) for x in (pos, line[full], block.hashes(starts, ends)[full].view(np.int64), words[full])]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("none", "id", "key")] + made, names=names)
+        give_back()
 
     schema = "none boolean, id long, key long, pos long, line long, r long, words long"
     names = [c.split()[0] for c in schema.split(", ")]

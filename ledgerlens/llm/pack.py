@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
-from .kernels import Block, blocks
+from .frames import sliced, written
+from .kernels import Block, blocks, give_back
 
 CAPACITY = 4096
 SHARD = 8000  # pieces of a shard, about
@@ -47,7 +47,7 @@ GENERATIONS = 6
 POPULATION = 4
 WELL_FILLED = 0.98  # share of the capacity from which crossover takes a bin over, and a level keeps it
 LEVELS = 4  # times that badly filled bins are dealt anew
-MOST_WORDS = 800_000  # words whose ids a worker remembers, about
+MOST_WORDS = 250_000  # words whose ids a worker remembers, about
 _SIGN, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _SIGN[list(b".,;:!?#$%&*|")] = True
 _PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -92,9 +92,10 @@ def token_ids(texts: list[bytes], path: str, end: int) -> list[memoryview]:
     new = [k for k, key in enumerate(keys) if key not in known]
     if new:
         data = block.buf.tobytes()
-        spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-        for k, e in zip(new, tokenizer.encode_batch_fast([data[a:b].decode() for a, b in spans], add_special_tokens=False)):
-            known[keys[k]] = np.array(e.ids, "<u4").tobytes()
+        for part in (new[i : i + 2000] for i in range(0, len(new), 2000)):
+            spans = zip(starts[first[part]].tolist(), ends[first[part]].tolist())
+            for k, e in zip(part, tokenizer.encode_batch_fast([data[a:b].decode() for a, b in spans], add_special_tokens=False)):
+                known[keys[k]] = np.array(e.ids, "<u4").tobytes()
     blobs = [*map(known.__getitem__, keys), end.to_bytes(4, "little")]
     size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     begin = np.cumsum(size) - size
@@ -114,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = row = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in sliced(batches):
             out, of = [], []
             texts = blocks(batch.column("text").to_pylist())
             for i, ids in enumerate(ids for _, _, raws in texts for ids in token_ids(raws, tokenizer, end)):
@@ -128,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             number = [pa.array(np.ascontiguousarray(c)) for c in made.T]
             columns = [*number[:2], batch.column("doc_id").take(pa.array(of, pa.int64())), number[2].cast(pa.int32()), *number[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     schema = "item long, row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
     names = [c.split()[0] for c in schema.split(", ")]

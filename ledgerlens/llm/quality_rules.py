@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .features import WIDTH, linear_scores, text_stats
 from .frames import map_texts
-from .kernels import Block, blocks
+from .kernels import Block, blocks, give_back
 from .linear import Sample, descend, held_rows, labelled_rows, platt, sample_of, sigmoid
 
 SAMPLE = 3000  # labelled rows that the model is fitted on, at most
@@ -100,6 +100,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = KEEP) ->
             for a, b, raws in blocks(texts.slice(first, 500).to_pylist()):
                 block = Block(raws)
                 out[first + a : first + b] = ~base_failed(text_stats(block)) & (shared.value.probability(block) >= threshold)
+        give_back()
         return pa.array(out)
 
     return docs.where(passes(docs["text"]))

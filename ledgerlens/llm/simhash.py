@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import free_name, written
+from .kernels import give_back
 
 WIDTH, MAX_BITS, SEED = 4, 4, 42
 CROWD = 1000  # fingerprints in a cell from which its pairs are replaced by stars
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_signed(fp))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -176,9 +177,11 @@ def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, seed
     keys = [free_name(docs, k) for k in ("none", "id", "fp")]
     stay = first.select(F.col("w.none").alias(keys[0]), F.coalesce("w.doc_id", F.lit(0)).alias(keys[1]), F.col("w.fp").alias(keys[2]))
 
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(_signed(np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, len(texts))))
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        out = pa.array(_signed(np.fromiter((fingerprint(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))))
+        give_back()
+        return out
 
     keyed = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), print_of("text")))))
     return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)

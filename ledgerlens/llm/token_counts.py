@@ -40,6 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import sliced
+
 CHUNK = 256  # symbols of a chunk whose state map is composed
 PART = 1_000_000  # code points handled at once
 LONG_PIECE = 400  # bytes; longer pieces are walked one by one
@@ -405,7 +407,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = count_tokens(texts, tokenizer)
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
