@@ -26,13 +26,13 @@ def fold(doc_id: str, modulo: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulo
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, per_file: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared checkpoint
-    folder and read it back. A lost executor loses none of it, and numbers
+    folder (``per_file``: rows of a file at most) and read it back. A lost executor loses none of it, and numbers
     given by partition or position stay what they were when written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

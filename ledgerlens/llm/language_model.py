@@ -22,9 +22,10 @@ all blocks' counts and answers each block in the order it asked. So what is
 shuffled is pre-aggregated, a frequent pair is one entry a block like any other,
 and a bucket's share is bounded because their number follows the input. Blocks
 and answers then meet once more by block to be scored. Counts cover all
-learning documents; nothing is sampled. Blocks are numbered in the order of
-reading: ``docs`` is to be a scan of files (a block whose answers do not fit
-raises an error).
+learning documents; nothing is sampled. The blocks are written once, as a row
+each with its number and its compressed documents, and every pass groups that
+table by the number: how Spark splits the input, or that it would split it
+otherwise in a later pass, is of no account.
 
 Defined results: null text is empty and has one token, the end. Without
 learning documents every probability is 1. Repeated rows each count and each
@@ -47,6 +48,7 @@ from .kernels import Block, mix
 FOLDS, HELD_OUT = 7, 2
 DELETED = 10  # one of so many learning documents is left to the mixture weights
 BLOCK = 4_000_000  # bytes of text
+FILE = 16  # blocks in a file of the written table
 BUCKET = 8_000_000  # bytes of text for each bucket
 ROUNDS = 12
 _END, _BEGIN = np.uint64(0xE703_7ED1_A0B4_28DB), np.uint64(0x8EBC_6AF0_9C88_C6E3)
@@ -138,6 +140,7 @@ def _large(raw: bytes, n: int) -> np.ndarray:
 
 _ASK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("deleted", pa.binary())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 _SPARK = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
@@ -145,19 +148,19 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_SPARK[f.type]}" for f in schema)
 
 
-def _asked(parts: DataFrame, buckets: int, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part, _, texts in _blocked(batches, size):
-            tokens = _Tokens(texts, buckets)
-            for kind, keys, counts in ((1, tokens.single, tokens.n_single), (2, tokens.pair, tokens.n_pair)):
-                of = _bucket(keys, buckets)
-                cut = np.flatnonzero(np.diff(of, prepend=-1))
-                rows = [
-                    (number, part, kind, int(of[a]), _packed(keys[a:b], kind), _small(counts[a:b])) for a, b in zip(cut, [*cut[1:], len(of)])
-                ]
-                yield pa.RecordBatch.from_pylist([dict(zip(_ASK.names, r)) for r in rows], schema=_ASK)
+def _asked(buckets: int):
+    def run(block: pa.Table) -> pa.Table:
+        """Distinct tokens and pairs of one block with their counts, a row for each bucket."""
+        number, part = block.column("block")[0].as_py(), block.column("part")[0].as_py()
+        tokens = _Tokens(_documents(block).column("text").to_pylist(), buckets)
+        rows = []
+        for kind, keys, counts in ((1, tokens.single, tokens.n_single), (2, tokens.pair, tokens.n_pair)):
+            of = _bucket(keys, buckets)
+            cut = np.flatnonzero(np.diff(of, prepend=-1))
+            rows += [(number, part, kind, int(of[a]), _packed(keys[a:b], kind), _small(counts[a:b])) for a, b in zip(cut, [*cut[1:], len(of)])]
+        return pa.Table.from_pylist([dict(zip(_ASK.names, r)) for r in rows], schema=_ASK)
 
-    return parts.mapInArrow(run, _ddl(_ASK))
+    return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -193,7 +196,7 @@ def _told(tokens: _Tokens, answers: pa.Table, column: str) -> tuple[np.ndarray,
         got = [_large(r[column], r["n"]) for r in rows if r["kind"] == kind]
         got = np.concatenate(got) if got else np.zeros(0, np.int64)
         if len(got) != len(keys):
-            raise RuntimeError("a block's counts do not fit it: write the documents to a table and score that")
+            raise RuntimeError("a block's counts do not fit it")
         out.append(got)
     return out[0], out[1]
 
@@ -207,22 +210,27 @@ _BUCKETS = 64
 
 
 def _with_block(parts: DataFrame, size: int) -> DataFrame:
+    """One row a block: its number, its part and its documents, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, ids, texts in _blocked(batches, size):
-            for a in range(0, len(ids), 2000):
-                b = min(a + 2000, len(ids))
-                columns = [[number] * (b - a), [part] * (b - a), range(a, b), ids[a:b], texts[a:b]]
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["block", "part", "place", "doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
+            columns = [pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "docs"])
 
-    return parts.mapInArrow(run, "block long, part int, place int, doc_id long, text string")
+    return parts.mapInArrow(run, "block long, part int, docs binary")
+
+
+def _documents(block: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(block.column("docs")[0].as_py()).read_all()
 
 
 def _evidence(buckets: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         """How often each combination of counts occurs among the deleted tokens, as counted without them."""
-        texts = texts.sort_by("place")
-        t = _Tokens(texts.column("text").to_pylist(), buckets)
+        t = _Tokens(_documents(block).column("text").to_pylist(), buckets)
         (single, pair), (less, less_pair) = _told(t, answers, "counts"), _told(t, answers, "deleted")
         c1, c2 = (single - less)[t.at], (pair - less_pair)[t.at_pair]
         c0 = (single - less)[t.at_before]
@@ -262,8 +270,8 @@ def mixture(evidence: DataFrame, n_tokens: int, n_types: int, rounds: int = ROUN
 
 
 def _scored(buckets: int, weights: np.ndarray, n_tokens: int, n_types: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place")
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _documents(block)
         t = _Tokens(texts.column("text").to_pylist(), buckets)
         single, pair = _told(t, answers, "counts")
         c1, c0, c2 = single[t.at], single[t.at_before], pair[t.at_pair]
@@ -276,7 +284,7 @@ def _scored(buckets: int, weights: np.ndarray, n_tokens: int, n_types: int):
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
-                "held_out": pa.array(np.asarray(texts.column("part")) == TEST),
+                "held_out": pa.array(np.full(rows, block.column("part")[0].as_py() == TEST)),
                 "n_tokens": np.diff(t.first),
                 "n_known": known.astype(np.int64),
                 "train_tokens": np.full(rows, n_tokens),
@@ -296,10 +304,11 @@ def language_model_scores(docs: DataFrame, block: int = BLOCK, bucket: int = BUC
     deleted = F.floor(code / FOLDS) % DELETED == 0
     part = F.when(fold("doc_id", FOLDS) == HELD_OUT, TEST).when(deleted, DELETE).otherwise(LEARN).alias("part")
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part, "text")
-    answers = written(_asked(parts, buckets, block).groupBy("kind", "bucket").applyInArrow(_answer, _ddl(_ANSWER)))
+    texts = written(_with_block(parts, block), FILE)  # few blocks a file, as a reader holds a file's rows at once
+    asked = texts.groupBy("block").applyInArrow(_asked(buckets), _ddl(_ASK))
+    answers = written(asked.groupBy("kind", "bucket").applyInArrow(_answer, _ddl(_ANSWER)))
     totals = [_large(r.counts, 3) for r in answers.where("block = -1").select("counts").collect()]
     n_tokens, n_types, n_deleted = (int(x) for x in (np.sum(totals, 0) if totals else (0, 0, 0)))
-    texts = _with_block(parts, block)
     answers = answers.where("block >= 0")
     left, right = texts.where(F.col("part") == DELETE).groupBy("block"), answers.where(F.col("part") == DELETE).groupBy("block")
     combos = left.cogroup(right).applyInArrow(_evidence(buckets), "c2 long, c0 long, c1 long, n long")

@@ -85,6 +85,20 @@ def test_better_than_the_base_on_unseen_rows(docs_of, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_splits_that_change_between_passes(spark, docs_of, rows, tmp_path):
+    path, key = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    docs_of(rows).repartition(8).write.parquet(path)
+    kept = spark.conf.get(key)
+    want = collections.Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in scored(docs_of, rows, block=3000))
+    lazy = lm.language_model_scores(spark.read.parquet(path), block=3000)
+    spark.conf.set(key, "2000")
+    try:
+        got = lazy.collect()
+    finally:
+        spark.conf.set(key, kept)
+    assert collections.Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got) == want
+
+
 def test_small_tables(docs_of):
     assert scored(docs_of, []) == []
     one = scored(docs_of, [(1, None)])
