@@ -6,6 +6,12 @@ is no letter becomes a blank), the lexicon is matched on the folded whole text
 by an Aho-Corasick automaton, matches inside an exception phrase are left out,
 and the summed weights are normalised by the text's length.
 
+Some characters have several readings: 1 is i or l; between letters ! | + (
+are a letter or a blank (elsewhere a blank). Around those the lexicon is matched
+in every reading, character by character; an entry counts once a place. Entries
+are learned from three readings of a text: signs as letters with 1 as i, the
+same with 1 as l, and signs as blanks.
+
 Lexicon: a short list of insults and exception phrases (fixed values below),
 and entries learned from labelled rows outside the held-out fold: words and word
 beginnings of ``STEM`` letters that occur in toxic texts far more often than
@@ -27,6 +33,7 @@ input row, null ids included (a null id counts as empty text in ``held_out``).
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -70,6 +77,9 @@ LOOKALIKES = {
     "v": "ѵν", "w": "ѡω", "x": "хχ", "y": "уүγ", "z": "2ʐ",
 }
 
+# fixed values: what a character may stand for; but for 1 only between letters, and a blank elsewhere
+READINGS = {"1": ("i", "l"), "|": ("i", "l", " "), "!": ("i", " "), "+": ("t", " "), "(": ("c", " ")}
+
 
 class _Fold(dict):
     """Code point -> folded text, worked out when first met."""
@@ -88,17 +98,30 @@ def _fold_table() -> _Fold:
         for c in others:
             if c.upper() != c and len(c.upper()) == 1:
                 table[ord(c.upper())] = latin
-    for c in "!|+(":  # only inside a word do these stand for letters; see folded()
-        del table[ord(c)]
-    return table
+    return table | {ord(c): c for c in READINGS}
+
+
+_TABLE = _Fold(_fold_table())
+_MARK, _SIGNS = re.compile(r"[1!|+(]"), re.compile(r"[!|+(]+")
+_AS_I = {ord(c): r[0] for c, r in READINGS.items()}
+_AS_L = _AS_I | {ord(c): "l" for c, r in READINGS.items() if "l" in r}
+_AS_BLANK = _AS_I | {ord(c): " " for c, r in READINGS.items() if " " in r}
 
 
-_TABLE = _fold_table()
+def _inside(signs: re.Match) -> str:
+    """Signs between letters as they are, others blank."""
+    text, a, b = signs.string, *signs.span()
+    return signs[0] if 0 < a and b < len(text) and text[a - 1] != " " != text[b] else " "
+
+
+def _marked(text: str | None) -> str:
+    """`` word word ... ``: folded but for characters with several readings, single blanks between words and at both ends."""
+    return " " + " ".join(_SIGNS.sub(_inside, (text or "").translate(_TABLE)).split()) + " "
 
 
 def folded(text: str | None) -> str:
-    """`` word word ... ``: folded, single blanks between words and at both ends."""
-    return " " + " ".join((text or "").translate(_TABLE).split()) + " "
+    """`` word word ... ``: folded, characters with several readings in their first; single blanks between words and at both ends."""
+    return _marked(text).translate(_AS_I)
 
 
 @dataclass
@@ -115,25 +138,63 @@ class Lexicon:
         return self.__dict__ | {"_automaton": None}
 
     def _machine(self):
+        """The automaton, the same patterns as a tree of letters, and the most blanks inside one."""
         if self._automaton is None:
-            self._automaton = ahocorasick.Automaton()
-            for phrase in self.exceptions:
-                words = " " + " ".join(phrase.split())
-                self._automaton.add_word(words, (len(words), -1))
-            for k, entry in enumerate(self.entries):
-                self._automaton.add_word(" " + entry, (len(entry) + 1, k))
-            self._automaton.make_automaton()
+            patterns = {" " + " ".join(phrase.split()): -1 for phrase in self.exceptions}
+            patterns |= {" " + entry: k for k, entry in enumerate(self.entries)}
+            automaton, tree = ahocorasick.Automaton(), {}
+            for words, k in patterns.items():
+                automaton.add_word(words, (len(words), k))
+                node = tree
+                for c in words[1:]:
+                    node = node.setdefault(c, {})
+                node[""] = k
+            automaton.make_automaton()
+            self._automaton = automaton, tree, max(words.count(" ") for words in patterns) - 1
         return self._automaton
 
+    @staticmethod
+    def _read(line: str, start: int, tree: dict) -> Iterator[tuple[int, int, int]]:
+        """Patterns at ``start`` in any reading: (start, end, number)."""
+        nodes = [(tree, True)]  # and whether the character before was read as a blank
+        for at in range(start, len(line)):
+            further = {}
+            for node, blank in nodes:
+                for c in READINGS.get(line[at], line[at]):
+                    if c == " " and blank:
+                        if at > start:
+                            further[id(node), True] = node, True
+                    elif c in node:
+                        further[id(node[c]), c == " "] = node[c], c == " "
+                        if "" in node[c]:
+                            yield start, at + 1, node[c][""]
+            nodes = list(further.values())
+            if not nodes:
+                break
+
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each entry occurs in the folded whole text outside exception phrases."""
-        found, spared = [], []
-        if self.entries:
-            for last, (size, k) in self._machine().iter(folded(text)):
-                (spared if k < 0 else found).append((last - size + 1, last + 1, k))
+        if not self.entries:
+            return {}
+        automaton, tree, blanks = self._machine()
+        line = _marked(text)
+        got = {(last - size + 2, last + 1, k) for last, (size, k) in automaton.iter(line)}
+        done = 0
+        for mark in _MARK.finditer(line):
+            if mark.start() < done:
+                continue
+            first, done = line.rfind(" ", 0, mark.start()), line.find(" ", mark.start())
+            starts = [first + 1, *(p for p in range(first + 2, done) if " " in READINGS.get(line[p - 1], ""))]
+            for _ in range(blanks):
+                first = line.rfind(" ", 0, max(first, 0))
+                if first >= 0:
+                    starts.append(first + 1)
+            for start in starts:
+                got.update(self._read(line, start, tree))
+        spared = [(a, b) for a, b, k in got if k < 0]
         out: dict[int, int] = {}
-        for start, _, k in found:
-            if not any(a <= start < b for a, b, _ in spared):
+        for start, k in sorted({(a, k) for a, _, k in got if k >= 0}):
+            if not any(a <= start < b for a, b in spared):
                 out[k] = out.get(k, 0) + 1
         return out
 
@@ -149,7 +210,9 @@ class Lexicon:
 
 def _terms(text: str) -> tuple[int, set[str]]:
     """A hash that near copies mostly share, and the whole words and word beginnings of a text."""
-    words = {w for w in folded(text).split() if len(w) >= STEM[0]}
+    line = _marked(text)
+    readings = [line.translate(r) for r in (_AS_I, _AS_L, _AS_BLANK)] if _MARK.search(line) else [line]
+    words = {w for r in readings for w in r.split() if len(w) >= STEM[0]}
     kind = min((xxhash.xxh64_intdigest(w) for w in words), default=0)
     return kind >> 1, {w[:k] for w in words for k in STEM if len(w) >= k} | {w + " " for w in words}
 

@@ -18,6 +18,21 @@ def test_folding_and_matching():
         assert not lex.counts(t), t
 
 
+def test_signs_and_digits_with_several_readings():
+    lex = plain()
+    for t, n in (
+        ("id!ot", 1), ("b!tch", 1), ("re+ard", 1), ("s(um", 1), ("1oser", 1), ("assho1e", 1), ("worth1ess", 1), ("1mbeci1e", 1), ("a$$ho|e", 1),
+        ("f|lth", 1), ("hey!idiot", 1), ("you!!b!+ch", 1), ("idiot!you", 1), ("garbage!human", 1), ("garbage hum4n 1d1ot", 2), ("stup1d+id!ot", 2),
+    ):
+        assert sum(lex.counts(t).values()) == n, t
+    for t in ("fail", "ioser", "assho!e", "f(x) + g(y)", "put it in the trash!can", "an id!ot proof and 1diot!proof thing", "1 + 1 | 11!", "!", "+(|"):
+        assert not lex.counts(t), t
+    whole = tx.Lexicon(["idiot ", "fall"], np.array([1.0, 1.0]))
+    assert whole.counts("id1ot!") == whole.counts("id!ot!you") == {0: 1} and whole.counts("fa11") == {1: 1} and not whole.counts("idiots fail")
+    assert tx.folded("Id!ot (1) a|b") == " idiot i aib "
+    assert {"loser ", "ioser ", "hey ", "you "} <= tx._terms("1oser hey!you")[1]
+
+
 def test_exception_phrases():
     lex = plain()
     assert not lex.counts("put it in the trash can, please")
