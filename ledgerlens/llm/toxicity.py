@@ -15,8 +15,9 @@ same with 1 as l, and signs as blanks.
 Lexicon: a short list of insults and exception phrases (fixed values below),
 and entries learned from labelled rows outside the held-out fold: words and word
 beginnings of ``STEM`` letters that occur in toxic texts far more often than
-chance allows. Near copies would lend chance words false weight, so here a text
-counts by its least word hash: texts that share it count once. Weights, and the
+chance allows. Near copies would lend chance words false weight, so they count
+once: texts whose word sets are alike by ``ALIKE`` or more, as estimated from
+``BANDS * BAND`` min-hashes, and those linked through such texts. Weights, and the
 logistic curve that maps the normalised sum to a score between 0 and 1, are
 fitted on the same rows; an entry of the fixed list that no row holds keeps the
 weight it is listed with.
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold
+from .frames import fold, written
 from .linear import Sample, descend, labelled_rows, sigmoid
 
 SAMPLE = 8000  # labelled rows that weights are learned from, at most
@@ -55,6 +56,8 @@ STEM = range(3, 11)  # letters of word beginnings that may become entries
 PURITY = 0.2  # least share of toxic texts among those with an entry
 MOST_ENTRIES = 3000
 RIDGE = 1e-4
+BANDS, BAND = 21, 6  # min-hashes of a text; texts with an equal band are compared
+ALIKE = 0.8  # share of equal min-hashes from which texts are near copies
 CHANCE = 1.0  # accepted number of entries that are there by chance
 
 # fixed values: entries (word beginnings) with the weight they have before labels are seen
@@ -208,24 +211,63 @@ class Lexicon:
         return float(sigmoid(np.float64(self.offset + sum(x * self.weights[k] for k, x in self.features(text).items()))))
 
 
-def _terms(text: str) -> tuple[int, set[str]]:
-    """A hash that near copies mostly share, and the whole words and word beginnings of a text."""
+def _words(text: str | None) -> set[str]:
+    """Words of a text in all readings that entries are learned from."""
     line = _marked(text)
     readings = [line.translate(r) for r in (_AS_I, _AS_L, _AS_BLANK)] if _MARK.search(line) else [line]
-    words = {w for r in readings for w in r.split() if len(w) >= STEM[0]}
-    kind = min((xxhash.xxh64_intdigest(w) for w in words), default=0)
-    return kind >> 1, {w[:k] for w in words for k in STEM if len(w) >= k} | {w + " " for w in words}
+    return {w for r in readings for w in r.split() if len(w) >= STEM[0]}
+
+
+def _terms(text: str | None) -> tuple[set[str], set[str]]:
+    """The words of a text, and its whole words and word beginnings."""
+    words = _words(text)
+    return words, {w[:k] for w in words for k in STEM if len(w) >= k} | {w + " " for w in words}
+
+
+_MIX = np.random.default_rng(9).integers(0, 1 << 63, (2, BANDS * BAND), np.uint64) | np.uint64(1)
+
+
+def _min_hashes(words: set[str]) -> np.ndarray:
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)[:, None]
+    mixed = (codes * _MIX[0] + _MIX[1]) >> np.uint64(32)
+    return mixed.min(axis=0, initial=np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _kinds(hashes: np.ndarray) -> np.ndarray:
+    """A number for each row of min-hashes, the same for near copies (and those linked through others)."""
+    distinct, at = np.unique(hashes, axis=0, return_inverse=True)
+    kind = np.arange(len(distinct))
+    for band in range(BANDS):
+        _, bucket = np.unique(distinct[:, band * BAND : (band + 1) * BAND], axis=0, return_inverse=True)
+        order = np.argsort(bucket.reshape(-1), kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket.reshape(-1)[order])) + 1):
+            for row in rows if len(rows) > 1 else ():
+                others = rows[kind[rows] != kind[row]]
+                if len(others):
+                    alike = (distinct[others] == distinct[row]).mean(axis=1) >= ALIKE
+                    kind[np.isin(kind, kind[others[alike]])] = kind[row]
+    return kind[at.reshape(-1)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Entries, weights and curve from labelled rows outside the held-out fold."""
-    rows = labelled_rows(docs, labels, "toxic", sample, where=fold("doc_id", FOLDS) != HELD_OUT)
+    rows = written(labelled_rows(docs, labels, "toxic", sample, where=fold("doc_id", FOLDS) != HELD_OUT))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([_min_hashes(_words(t)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), made], names=["doc_id", "label", "hashes"])
+
+    # bounded by the sample: half a kilobyte a row
+    hashed = rows.mapInArrow(hashes, "doc_id long, label int, hashes binary").collect()
+    numbers = _kinds(np.frombuffer(b"".join(r.hashes for r in hashed), np.uint32).reshape(-1, BANDS * BAND))
+    kind_of = docs.sparkSession.sparkContext.broadcast({(r.doc_id, r.label): int(k) for r, k in zip(hashed, numbers)})
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, names, toxic = [], [], []
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                kind, found = _terms(text)
+            for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
+                kind, found = kind_of.value[doc, label], _terms(text)[1]
                 kinds += [kind] * (len(found) + 1)
                 names += ["", *found]  # the empty term counts the texts
                 toxic += [label] * (len(found) + 1)

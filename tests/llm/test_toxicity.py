@@ -67,6 +67,20 @@ def test_learned_stems_and_folds(spark, docs_of):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
 
 
+def test_texts_that_share_a_word_are_no_near_copies(spark, docs_of):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    least = min(words, key=lambda w: tx.xxhash.xxh64_intdigest(w))
+    texts = [" ".join([least, *rng.sample(words, 40), *(["zorp"] if i % 6 == 0 else [])]) for i in range(300)]
+    copies = [" ".join([*texts[6].split(), f"q{a}{b}"]) + " blargh" for a in "aeiou" for b in "aeiou"]  # of a toxic text
+    rows = list(enumerate(texts + copies))
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0 or i >= 300)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    entries = tx.learn(docs_of(rows), labels).entries
+    assert any(e.startswith("zor") for e in entries) and not any(e.startswith("bla") for e in entries)
+    kinds = tx._kinds(np.array([tx._min_hashes(tx._words(t)) for t in texts + copies + ["", None]]))
+    assert len(set(kinds)) == 301 and len({kinds[6], *kinds[300:325]}) == 1 and kinds[325] == kinds[326]
+
+
 def test_without_labels(spark, docs_of):
     docs = docs_of([(1, "you are a pathetic idiot and a moron"), (2, "a quiet evening")])
     lex = tx.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
