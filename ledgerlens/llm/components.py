@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternating stars: a large star hangs each node's greater neighbours on its
     least neighbour, a small star does so with the lesser ones; the pairs become
     one star per component in a number of rounds that grows with the logarithm
-    of the path length. Each round is written, so a lost executor repeats one
+    of the path length. What a round joins is written first, so both sides are
+    plain scans and the links of a hot node can be split. Each round is written, so a lost executor repeats one
     round at most; nothing but a checksum comes to the driver.
     """
     # a > b throughout: each node hangs on a lesser one
@@ -25,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = hung.select("a", "b").unionByName(hung.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")))
         # every lesser neighbour of a, and a itself, hangs on the least of them
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             lower.select("a", F.col("m").alias("b"))
