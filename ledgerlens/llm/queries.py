@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rank, quality_rules, toxicity
+from . import minhash, quality_rank, quality_rules, toxicity
 from .chat import perspectives
 from .decontaminate import contaminated
 from .frames import read
@@ -71,6 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,6 +115,33 @@ select conv_id, perspective, part, count(*) as n_turns,
                            ',' order by turn nulls first, role, body), '') as spans,
        cast(sum(case when role = perspective then length(body) + 10 else 0 end) as bigint) as n_trained
 from y group by conv_id, perspective, part
+""",
+    # all pairs of different sets that share a shingle, and what can be reached by links
+    "op11_minhash_near_dedup": r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as words
+    from documents
+),
+d as (
+    select doc_id, list_sort(list_distinct(case when words is null or len(words) = 0 then []
+                                      when len(words) < 4 then [array_to_string(words, ' ')]
+                                      else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end)) as s
+    from w
+),
+c as (select s, min(doc_id) as node, len(s) as n from d where len(s) > 0 group by s),
+e as (select node, n, unnest(s) as x from c),
+pair as (
+    select a.node as a, b.node as b, a.n as na, b.n as nb, count(*) as both
+    from e a join e b on a.x = b.x and a.node < b.node group by all
+),
+link as (select a, b from pair where 100 * both >= 80 * (na + nb - both)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select node, node as to_ from c union select r.node, edge.b from reach r join edge on edge.a = r.to_),
+least as (select node, min(to_) as component_id from reach group by node)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(least.component_id, d.doc_id) as component_id,
+       d.doc_id = coalesce(least.component_id, d.doc_id) as kept
+from d left join c on c.s = d.s left join least on least.node = c.node
 """,
     # every window that begins with a shingle of the item, compared outright
     "op7_decontamination": r"""
