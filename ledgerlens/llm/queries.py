@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality_rank, quality_rules, toxicity
+from . import hard_negatives, minhash, quality_rank, quality_rules, ranked_search, toxicity
 from .chat import perspectives
 from .decontaminate import contaminated
 from .frames import read
@@ -75,6 +75,14 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,16 +142,72 @@ d as (
 c as (select s, min(doc_id) as node, len(s) as n from d where len(s) > 0 group by s),
 e as (select node, n, unnest(s) as x from c),
 pair as (
-    select a.node as a, b.node as b, a.n as na, b.n as nb, count(*) as both
+    select a.node as a, b.node as b, a.n as na, b.n as nb, count(*) as shared
     from e a join e b on a.x = b.x and a.node < b.node group by all
 ),
-link as (select a, b from pair where 100 * both >= 80 * (na + nb - both)),
+link as (select a, b from pair where 100 * shared >= 80 * (na + nb - shared)),
 edge as (select a, b from link union all select b, a from link),
 reach as (select node, node as to_ from c union select r.node, edge.b from reach r join edge on edge.a = r.to_),
 least as (select node, min(to_) as component_id from reach group by node)
 select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(least.component_id, d.doc_id) as component_id,
        d.doc_id = coalesce(least.component_id, d.doc_id) as kept
 from d left join c on c.s = d.s left join least on least.node = c.node
+""",
+    # every document scored for every item
+    "op12_ranked_search": r"""
+with t as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+),
+d as (select row_number() over (order by doc_id) as row, doc_id, terms, len(terms) as n from t where len(terms) > 0),
+s as (select count(*) as total, cast(sum(n) as bigint) as length from d),
+i as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+),
+q as (select item_id, term, count(*) as times from i group by item_id, term),
+p as (select row, doc_id, n, unnest(terms) as term from d),
+f as (select row, doc_id, n, term, count(*) as tf from p where term in (select term from q) group by all),
+w as (
+    select term, cast(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) as bigint) as weight
+    from (select term, count(*) as df from f group by term), s
+),
+x as (
+    select item_id, row, doc_id,
+           cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * total) // length))))) as bigint) as score
+    from q join f using (term) join w using (term), s
+    group by item_id, row, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from x where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20
+""",
+    # every anchor against every row
+    "op13_hard_negatives": """
+with r as (
+    select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+           list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+           cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+    from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+p as (
+    select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+       cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
 """,
     # every window that begins with a shingle of the item, compared outright
     "op7_decontamination": r"""

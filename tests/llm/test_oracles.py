@@ -9,7 +9,7 @@ from ledgerlens.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{os.path.join(sf_dir, t + '.parquet')}'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf_dir)
