@@ -22,15 +22,16 @@ def main(argv: list[str]) -> int:
         print(f"unknown key {key!r}; run without arguments for the list", file=sys.stderr)
         return 2
     from .plans.inspect import explain
-    from .session import local_session
+    from .session import local_session, scratch_tables
 
     spark = local_session()
-    df = QUERIES[key](spark, sf_dir)
-    if "--explain" in argv:
-        print(explain(df))
-    else:
-        n = int(argv[argv.index("--rows") + 1]) if "--rows" in argv else 50
-        df.show(n, truncate=False)
+    with scratch_tables(spark):
+        df = QUERIES[key](spark, sf_dir)
+        if "--explain" in argv:
+            print(explain(df))
+        else:
+            n = int(argv[argv.index("--rows") + 1]) if "--rows" in argv else 50
+            df.show(n, truncate=False)
     return 0
 
 

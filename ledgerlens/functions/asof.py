@@ -12,8 +12,8 @@ def next_event(points: DataFrame, events: DataFrame, key: str, point_time: str,
     """``points`` plus ``out``: the earliest ``event_time`` of the same key at or after ``point_time``.
 
     Points and events are sorted together by (key, time) over range partitions,
-    so a hot key is spread over as many tasks as its rows need and no point
-    meets more than one event. A point finds its event in its own partition, or
+    so a hot key - or a hot time of one key - is spread over as many tasks as its
+    rows need and no point meets more than one event. A point finds its event in its own partition, or
     else at the head of a later one: per key and partition one row (its first
     event) tells.
     """
@@ -24,7 +24,8 @@ def next_event(points: DataFrame, events: DataFrame, key: str, point_time: str,
     right = events.select(F.col(key).alias("_k"), F.col(event_time).alias("_t"), F.lit(1).alias("_kind"), empty.alias("_row"))
     right = right.where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).distinct()
     # at one time points come before events, so an event at the point's own time counts
-    dealt = left.unionByName(right).repartitionByRange("_k", "_t", "_kind").withColumn("_p", F.spark_partition_id())
+    # and points of one time are cut apart by a hash of their row: none depends on another
+    dealt = left.unionByName(right).repartitionByRange("_k", "_t", "_kind", F.xxhash64("_row")).withColumn("_p", F.spark_partition_id())
     dealt = materialize(dealt)
     event = F.when(F.col("_kind") == 1, F.col("_t"))
     heads = dealt.groupBy("_k", "_p").agg(F.min(event).alias("_head"))

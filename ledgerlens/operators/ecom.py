@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MONEY_SUM, bucket_ordinal, closed_cohort, days, elapsed, ratio, week_start
+from ..functions.order_statistics import Percentile, Rank, with_order_statistics
 from ..functions.percentile import PERCENTILE_DIGITS, attach, percentile_cont
-from ..functions.ranking import value_ranks
 from ..session import materialize
 
 # Fixed values that must equal the reference's (vocabulary, steps, buckets, defaults).
@@ -237,9 +237,9 @@ def product_engagement(
 
     Plan: one pass over the events pre-aggregates to (variant, cart session)
     before the variant join, so the join sees one row per variant and cart
-    session instead of one per event. The two catalogue-wide ranks come from
-    distinct values with their counts (``value_ranks``), so no task holds the
-    whole catalogue.
+    session instead of one per event. The median and the two catalogue-wide
+    ranks come from one dealing of distinct values with their counts
+    (``with_order_statistics``), so no task holds the whole catalogue.
     """
     ev = events.where(F.col("event_type").isin(VIEW, ADD_TO_CART) & F.col("variant_id").isNotNull())
     pre = ev.groupBy("variant_id", F.when(F.col("event_type") == ADD_TO_CART, F.col("session_id")).alias("cart_session")).agg(
@@ -263,12 +263,14 @@ def product_engagement(
             ratio("add_to_cart_sessions", "views").alias("atc_rate"),
         )
     )
-    medians = materialize(percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, approx=approx_percentiles))
     # inner join on category: NULL categories drop out, as in the SQL
     named = rates.where(F.col("category").isNotNull())
-    by_views = value_ranks(named, "views", "views_rank", ascending=False)
-    by_rate = value_ranks(named, "atc_rate", "atc_rate_rank")
-    ranked = attach(attach(named.join(medians, "category"), by_views, ["views"]), by_rate, ["atc_rate"])
+    ranks = [Rank("views_rank", "views", ascending=False), Rank("atc_rate_rank", "atc_rate")]
+    if approx_percentiles:
+        medians = percentile_cont(rates, ["category"], "atc_rate", {"category_median_atc_rate": 0.5}, approx=True)
+        ranked = with_order_statistics(named.join(materialize(medians), "category"), ranks)
+    else:
+        ranked = with_order_statistics(named, [Percentile("category_median_atc_rate", "atc_rate", 0.5, "category"), *ranks])
     return ranked.select(
         "product_id",
         "product_name",

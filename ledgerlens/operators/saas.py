@@ -223,14 +223,12 @@ def revenue_retention(
         )
         .where(F.col("start_time") + horizon <= _ts(as_of))
     )
+    starts = materialize(starts)  # read twice below, and joined without its aggregate's partitioning
 
     etype, delta, t = F.col("event_type"), F.col("mrr_delta"), F.col("event_time")
     in_window = (
-        keyed_join(
-            ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES) & (t <= _ts(as_of))),  # window ends by as_of
-            starts.select("account_id", "start_time"),
-            "account_id",
-        )
+        ev.where(etype.isin(CANCELLED, PLAN_CHANGED, *EXPANSION_TYPES) & (t <= _ts(as_of)))  # window ends by as_of
+        .join(starts.select("account_id", "start_time"), "account_id")
         .where((t > F.col("start_time")) & (t <= F.col("start_time") + horizon))
         .groupBy("account_id")
         .agg(
@@ -433,8 +431,11 @@ def expansion_revenue(
         .when((etype == PLAN_CHANGED) & (delta > 0), F.lit("plan_upgrade"))
         .alias("expansion_type"),
     )
-    j = ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
-        "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
+    # read twice below (totals, percentile): filter and join run once
+    j = materialize(
+        ee.join(accounts.select("account_id", "signup_date"), "account_id", "inner").select(
+            "expansion_type", "account_id", "mrr_delta", elapsed("event_time", "signup_date", "day").alias("days_from_signup")
+        )
     )
     by_type = j.groupBy("expansion_type").agg(
         F.count(F.lit(1)).alias("expansion_events"),

@@ -57,6 +57,8 @@ FROM lag GROUP BY ALL
 
 
 SQL["activation_curve"] = _activation("times[1]")
+# a cohort is closed when its last member has been seen for seven days
+SQL["activation_curve_closed"] = f"SELECT * FROM ({_activation('times[1]')}) WHERE signup_week + INTERVAL 14 DAY <= DATE '2024-01-24'"
 SQL["activation_curve_strict"] = _activation("list_filter(times, lambda x: x >= created_at)[1]")
 
 # ---------------------------------------------------------------- E2 funnel
@@ -205,6 +207,8 @@ FROM lag GROUP BY trial_week
 
 
 SQL["trial_conversion"] = _trials("times[1]")
+# ... and for trials sixty days
+SQL["trial_conversion_closed"] = f"SELECT * FROM ({_trials('times[1]')}) WHERE trial_week + INTERVAL 67 DAY <= {A}"
 SQL["trial_conversion_strict"] = _trials("list_filter(times, lambda x: x >= started_at)[1]")
 
 

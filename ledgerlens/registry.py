@@ -7,6 +7,7 @@ with it; every other parameter keeps the reference default.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,18 @@ from .sources.roles import ECOM_SINCE, SAAS_AS_OF, Roles
 from .sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+# date up to which the role data counts as seen, for the keys that report closed cohorts only
+ECOM_CLOSED_BY = dt.date(2024, 1, 24)
 
 
 def roles(spark: SparkSession, sf_dir: str) -> Roles:
     return Roles(Tables(tune(spark), sf_dir))
 
 
-def _e1(strict):
-    return lambda s, d: (lambda r: ecom.activation_curve(r.customers, r.sessions, r.session_events, since=ECOM_SINCE, strict=strict))(roles(s, d))
+def _e1(strict, closed_by=None):
+    return lambda s, d: (
+        lambda r: ecom.activation_curve(r.customers, r.sessions, r.session_events, since=ECOM_SINCE, strict=strict, closed_by=closed_by)
+    )(roles(s, d))
 
 
 def _e3(strict):
@@ -40,8 +45,8 @@ def _s1(strict):
     return lambda s, d: saas.mrr_movements(roles(s, d).subscription_events, as_of=SAAS_AS_OF, strict=strict)
 
 
-def _s2(strict):
-    return lambda s, d: (lambda r: saas.trial_conversion(r.trials, r.subscription_events, strict=strict))(roles(s, d))
+def _s2(strict, closed_by=None):
+    return lambda s, d: (lambda r: saas.trial_conversion(r.trials, r.subscription_events, strict=strict, closed_by=closed_by))(roles(s, d))
 
 
 def _s3(strict):
@@ -80,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "trial_conversion_strict": _s2(True),
     "revenue_retention_strict": _s3(True),
     "feature_adoption_strict": _s4(True),
+    # closed cohorts only: every member has been seen for the whole horizon
+    "activation_curve_closed": _e1(False, ECOM_CLOSED_BY),
+    "trial_conversion_closed": _s2(False, SAAS_AS_OF),
 }
 
 

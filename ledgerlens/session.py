@@ -13,9 +13,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 # Settings applied only where the session does not already define them.
 SCALE_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -38,13 +43,37 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: that of the innermost
+    ``scratch_tables`` scope, else ``spark.checkpoint.dir`` where the session or
+    its context names one, else a folder in the warehouse.
 
-    ``spark.checkpoint.dir`` where the session or its context names one; where
-    neither does, a folder in the warehouse, which driver and executors share.
+    A warehouse in the local file system is shared only where driver and
+    executors are one machine; elsewhere each executor would write to its own
+    disk and results would lack rows, so this is refused.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerlens"
+    folder = _scratch.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_ledgerlens"
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[str]:
+    """Scope whose intermediate tables are deleted at its end: they go to a
+    folder of their own below the shared one. Results have to be consumed
+    (written, collected, shown) inside the scope, as they read these tables."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scope-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
