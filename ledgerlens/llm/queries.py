@@ -102,27 +102,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_perspectives": """
 with t as (
-    select distinct conv_id, turn, coalesce(nullif(role, ''), 'unknown') as role, coalesce(text, '') as body,
-           coalesce(cast(floor(turn / 256) as bigint), 0) as part
-    from conversations
+    select distinct conv_id, turn, coalesce(nullif(role, ''), 'unknown') as role, coalesce(text, '') as body from conversations
 ),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, body) - 1 as place from t),
+opening as (select conv_id, min(place) as place, arg_min(body, place) as body from n where role = 'system' group by conv_id),
 who as (select distinct conv_id, role as perspective from t where role <> 'system'),
 x as (
-    select t.*, perspective,
+    select n.*, n.place // 256 as part, perspective,
+           case when opening.place < 256 * (n.place // 256)
+                then '<|im_start|>system' || chr(10) || opening.body || '<|im_end|>' || chr(10) else '' end as lead,
            '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
                                   else 'user name=' || role end || chr(10) as head
-    from t join who on t.conv_id is not distinct from who.conv_id
+    from n join who on n.conv_id is not distinct from who.conv_id
+           left join opening on n.conv_id is not distinct from opening.conv_id
 ),
 y as (
-    select *, sum(length(head) + length(body) + 11)
-                  over (partition by conv_id, part, perspective order by turn nulls first, role, body) as ends
+    select *, length(lead) + sum(length(head) + length(body) + 11) over (partition by conv_id, part, perspective order by place) as ends
     from x
 )
 select conv_id, perspective, part, count(*) as n_turns,
-       string_agg(head || body || '<|im_end|>' || chr(10), '' order by turn nulls first, role, body) as text,
+       any_value(lead) || string_agg(head || body || '<|im_end|>' || chr(10), '' order by place) as text,
        coalesce(string_agg(case when role = perspective
                                 then cast(ends - 11 - length(body) as varchar) || '-' || cast(ends - 1 as varchar) end,
-                           ',' order by turn nulls first, role, body), '') as spans,
+                           ',' order by place), '') as spans,
        cast(sum(case when role = perspective then length(body) + 10 else 0 end) as bigint) as n_trained
 from y group by conv_id, perspective, part
 """,
