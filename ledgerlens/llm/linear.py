@@ -17,15 +17,17 @@ from .kernels import Block, blocks
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> DataFrame:
     """doc_id, label, text of at most ``rows`` labelled documents, chosen by a hash of their id.
 
-    The choice is made on the labels alone (a top-k), so the ids that are
-    broadcast and the texts that come back are bounded by ``rows`` whatever the
-    size of the tables. Labels other than 0 and 1, and null ids, are left out;
-    of repeated rows of one id the greatest text counts once.
+    The choice is made on the ids alone (a top-k over the labels of documents
+    that are there), so the ids that are broadcast and the texts that come back
+    are bounded by ``rows`` whatever the size of the tables, and labels of other
+    documents take no place. Labels other than 0 and 1, and null ids, are left
+    out; of repeated rows of one id the greatest text counts once.
     """
     lab = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
     lab = lab.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     if where is not None:
         lab = lab.where(where)
+    lab = lab.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -5,8 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from ledgerlens.llm import quality_rank, quality_rules
-from ledgerlens.llm.features import WIDTH, linear_scores, sparse_rows, text_stats
+from ledgerlens.llm import linear, quality_rank, quality_rules
+from ledgerlens.llm.features import WIDTH, dense, linear_scores, sparse_rows, text_stats
 from ledgerlens.llm.kernels import Block
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,3 +112,82 @@ def test_without_labels(spark, docs_of):
     assert [r.kept for r in sorted(quality_rules.quality_rules(docs, quality_rules.fit(docs, none)).collect(), key=lambda r: r.doc_id or 9)] == [True, False, False]
     got = quality_rank.quality_scores(docs, quality_rank.fit(docs, none)).collect()
     assert {r.score for r in got} == {0.5} and len(got) == 3
+
+
+def slow_features(text):
+    """Sparse and dense features of one text, as one dictionary."""
+    block = Block([(text or "").encode()])
+    buckets, values = sparse_rows(block)[0]
+    out = {}
+    for b, v in zip(buckets.tolist(), values.tolist()):
+        out[b] = out.get(b, 0.0) + v
+    return out | {WIDTH + k: float(x) for k, x in enumerate(dense(text_stats(block))[0])}
+
+
+def test_ranking_equals_a_plain_pairwise_fit():
+    """Bradley-Terry by loops over pairs, with the same steps."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["river", "stone", "the", "of", "$$$" if i % 3 == 0 else "quiet"]) for _ in range(rng.randint(4, 15))) for i in range(48)]
+    label = [int(i % 3 != 0) for i in range(48)]
+    x = [slow_features(t) for t in texts]
+    rows = [sparse_rows(Block([t.encode()]))[0] for t in texts]
+    first = np.concatenate(([0], np.cumsum([len(b) for b, _ in rows])))
+    shape = np.concatenate([dense(text_stats(Block([t.encode()]))) for t in texts])
+    sample = linear.Sample(first, np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows]), shape, np.array(label))
+    model = quality_rank.fit_pairs(sample, steps=25)
+
+    held = linear.held_rows(48).tolist()
+    good = [k for k in range(48) if label[k] and not held[k]]
+    bad = [k for k in range(48) if not label[k] and not held[k]]
+    n = quality_rank.PARTNERS * max(len(good), len(bad))
+    pairs = [(good[k % len(good)], bad[(k + k // len(good) * 7) % len(bad)]) for k in range(n)]
+    used = sorted({k for f in x for k in f})
+    w, m, v = ({k: 0.0 for k in used} for _ in range(3))
+    for t in range(1, 26):
+        u = [sum(w[k] * f for k, f in row.items()) for row in x]
+        g = {k: 1e-5 * w[k] for k in used}
+        for i, j in pairs:
+            push = (1 / (1 + math.exp(-(u[i] - u[j]))) - 1) / n
+            for k, f in x[i].items():
+                g[k] += push * f
+            for k, f in x[j].items():
+                g[k] -= push * f
+        for k in used:
+            m[k] += 0.1 * (g[k] - m[k])
+            v[k] += 0.01 * (g[k] ** 2 - v[k])
+            w[k] -= 0.1 * (1 - (t - 1) / 25) * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+    u = [sum(w[k] * f for k, f in row.items()) for row in x]
+    out = [u[k] for k in range(48) if held[k]]
+    threshold = np.quantile(out, 1 - np.mean([label[k] for k in range(48) if held[k]]))
+    got = model.scores(Block([t.encode() for t in texts]))
+    want = [1 / (1 + math.exp(-(model.slope * (a - threshold) + math.log(0.3 / 0.7)))) for a in u]
+    assert model.slope > 0 and np.allclose(got, want, atol=2e-3)
+
+
+def test_probability_is_the_calibrated_sum():
+    rng = np.random.default_rng(2)
+    model = quality_rules.QualityModel(rng.normal(size=WIDTH).astype(np.float32), 0.7, -0.2)
+    some = [t for t in texts()[:60]]
+    got = model.probability(Block([(t or "").encode() for t in some]))
+    for t, p in zip(some, got):
+        z = sum(float(model.weights[k]) * f for k, f in slow_features(t).items() if k < WIDTH)
+        assert abs(p - 1 / (1 + math.exp(-max(-35, min(35, 0.7 * z - 0.2))))) < 1e-3
+
+
+def test_labels_of_absent_documents_take_no_place(spark, docs_of):
+    docs = docs_of([(i, f"text {i}") for i in range(20)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in linear.labelled_rows(docs, labels, "quality", 20).collect()} == set(range(20))
+    assert linear.labelled_rows(docs, labels, "quality", 7).count() == 7
+
+
+def test_clashing_columns_and_long_texts(docs_of):
+    """A text longer than a block is counted and scored as a whole."""
+    long = "word another $$$ thing\n" * 60_000
+    model = quality_rules.QualityModel(np.zeros(WIDTH), 0.0, 30.0)
+    r = quality_rules.quality_rules(docs_of([(1, long), (2, "short")], extra=("probability", "n_words")), model).where("doc_id = 1").first()
+    assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (240_000, 180_000, 59_999, 240_000)
+    none = quality_rank.RankModel(np.zeros(WIDTH), np.zeros(11), 0.0, 0.0)
+    got = quality_rank.quality_scores(docs_of([(1, long), (None, None)], extra=("score", "held_out", "predicted")), none)
+    assert sorted(r.score for r in got.collect()) == [0.5, 0.5]
+    assert quality_rank.quality_scores(docs_of([]), none).count() == 0

@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -33,6 +35,31 @@ def test_signs_and_digits_with_several_readings():
     assert {"loser ", "ioser ", "hey ", "you "} <= tx._terms("1oser hey!you")[1]
 
 
+def slow_counts(lexicon, text):
+    """Regular expressions over every reading of the marked text."""
+    line = tx._marked(text)
+    found, spared = set(), set()
+    for chars in itertools.product(*(tx.READINGS.get(c, (c,)) for c in line)):
+        read = "".join(chars)
+        for k, entry in [*enumerate(lexicon.entries), *((-1, " ".join(e.split())) for e in lexicon.exceptions)]:
+            for m in re.finditer(f"(?=(?<= )({re.escape(entry).replace(chr(92) + ' ', ' +')}))", read):
+                if m[1][0] != " ":
+                    (found if k >= 0 else spared).add((m.start(), m.start() + len(m[1]), k))
+    out = {}
+    for a, k in sorted({(a, k) for a, _, k in found}):
+        if not any(b <= a < e for b, e, _ in spared):
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_counts_match_all_readings_by_regular_expressions():
+    rng = random.Random(17)
+    lexicon = tx.Lexicon(["idi", "lo ", "tic il", "a", "il l"], np.ones(5), exceptions=("idi lo", "tic"))
+    for _ in range(1500):
+        text = "".join(rng.choice("idlotca1!|+( .") for _ in range(rng.randint(0, 9)))
+        assert lexicon.counts(text) == slow_counts(lexicon, text), repr(text)
+
+
 def test_exception_phrases():
     lex = plain()
     assert not lex.counts("put it in the trash can, please")
