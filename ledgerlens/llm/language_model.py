@@ -38,47 +38,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, written
-from .kernels import Block, mix
+from .frames import fold, sliced, written
+from .kernels import Block, give_back, mix
 
 FOLDS, HELD_OUT = 7, 2
 DELETED = 10  # one of so many learning documents is left to the mixture weights
-BLOCK = 4_000_000  # bytes of text
-FILE = 16  # blocks in a file of the written table
-BUCKET = 8_000_000  # bytes of text for each bucket
+BLOCK = 2_000_000  # bytes of text
+FILE = 8  # blocks in a file of the written table
+BUCKET = 4_000_000  # bytes of text for each bucket
 ROUNDS = 12
 _END, _BEGIN = np.uint64(0xE703_7ED1_A0B4_28DB), np.uint64(0x8EBC_6AF0_9C88_C6E3)
 LEARN, DELETE, TEST = range(3)  # what a block's documents are for
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list, list[str | None]]]:
-    """(block, part, ids, texts): documents of one part in the order they are read."""
+def _blocked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, pa.Table]]:
+    """(block, part, documents): documents of one part in the order they are read, about ``size`` bytes of
+    text at a time; they stay in Arrow buffers."""
     number = TaskContext.get().partitionId() << 24
-    held: dict[int, tuple[list, list, list[int]]] = {}
-    for batch in batches:
-        for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text"))):
-            ids, texts, total = held.setdefault(part, ([], [], [0]))
-            ids.append(doc)
-            texts.append(text)
-            total[0] += len(text or "") + 1
-            if total[0] > size:
-                yield number, part, ids, texts
-                del held[part]
-                number += 1
-    for part, (ids, texts, _) in sorted(held.items()):
-        yield number, part, ids, texts
+    held: dict[int, tuple[list[pa.RecordBatch], int]] = {}
+    for batch in sliced(batches, 100):
+        parts = batch.column("part").to_numpy()
+        for part in np.unique(parts).tolist():
+            rows = batch.filter(pa.array(parts == part)).select(["doc_id", "text"])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy() + 1, dtype=np.int64)
+            first, before = 0, 0
+            while first < len(ends):
+                have, n = held.get(part, ([], 0))
+                stop = max(first + 1, int(np.searchsorted(ends, before + size - n, "right")))
+                have.append(rows.slice(first, stop - first))
+                n, first, before = n + int(ends[stop - 1]) - before, stop, int(ends[stop - 1])
+                held[part] = have, n
+                if n >= size or first < len(ends):
+                    yield number, part, pa.Table.from_batches(held.pop(part)[0])
+                    number += 1
+    for part in sorted(held):
+        yield number, part, pa.Table.from_batches(held[part][0])
         number += 1
 
 
 class _Tokens:
     """Tokens of a block in order, and where each stands in the block's lists of distinct ones."""
 
-    def __init__(self, texts: list[str | None], buckets: int):
-        block = Block([(t or "").encode().lower() for t in texts])
+    def __init__(self, texts: pa.ChunkedArray, buckets: int):
+        block = Block([(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()])
         starts, ends = block.words()
         bounds = block.per_row(starts)
         n = np.diff(bounds) + 1
@@ -149,43 +156,64 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _asked(buckets: int):
-    def run(block: pa.Table) -> pa.Table:
-        """Distinct tokens and pairs of one block with their counts, a row for each bucket."""
-        number, part = block.column("block")[0].as_py(), block.column("part")[0].as_py()
-        tokens = _Tokens(_documents(block).column("text").to_pylist(), buckets)
-        rows = []
-        for kind, keys, counts in ((1, tokens.single, tokens.n_single), (2, tokens.pair, tokens.n_pair)):
-            of = _bucket(keys, buckets)
-            cut = np.flatnonzero(np.diff(of, prepend=-1))
-            rows += [(number, part, kind, int(of[a]), _packed(keys[a:b], kind), _small(counts[a:b])) for a, b in zip(cut, [*cut[1:], len(of)])]
-        return pa.Table.from_pylist([dict(zip(_ASK.names, r)) for r in rows], schema=_ASK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct tokens and pairs of each block with their counts, a row for each bucket."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1)
+                number, part = block.column("block")[0].as_py(), block.column("part")[0].as_py()
+                tokens = _Tokens(_documents(block).column("text"), buckets)
+                for kind, keys, counts in ((1, tokens.single, tokens.n_single), (2, tokens.pair, tokens.n_pair)):
+                    of = _bucket(keys, buckets)
+                    cut = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+                    for k in range(0, len(cut) - 1, 64):
+                        spans = zip(cut[k : k + 64], cut[k + 1 : k + 65])
+                        made = [(number, part, kind, int(of[a]), _packed(keys[a:b], kind), _small(counts[a:b])) for a, b in spans]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), _ASK)], schema=_ASK)
+        give_back()
 
     return run
 
 
+def _binary(column: pa.ChunkedArray) -> list[memoryview]:
+    """The values of a binary column, without copies."""
+    out: list[memoryview] = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+    return out
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Counts of one bucket's keys over all blocks, given back to each block in its order;
     block -1 holds the bucket's totals: tokens and distinct tokens learned from, and tokens deleted."""
-    rows = table.to_pylist()
-    kind, bucket = rows[0]["kind"], rows[0]["bucket"]
-    keys = [_unpacked(r["keys"], kind) for r in rows]
-    counts = [_large(r["counts"], len(k)) for r, k in zip(rows, keys)]
+    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    part, block = table.column("part").to_numpy(), table.column("block").to_numpy()
+    keys = [_unpacked(x, kind) for x in _binary(table.column("keys"))]
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    flat = np.concatenate([_large(x, n) for x, n in zip(_binary(table.column("counts")), size.tolist())])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    part = np.repeat([r["part"] for r in rows], [len(k) for k in keys])
-    flat = np.concatenate(counts)
-    known = np.bincount(at, flat * (part != TEST), len(distinct)).astype(np.int64)
-    deleted = np.bincount(at, flat * (part == DELETE), len(distinct)).astype(np.int64)
-    out, first = [], 0
-    for r, k in zip(rows, keys):
-        here = at[first : first + len(k)]
-        first += len(k)
-        # a block of deleted documents is also told what they count among themselves
-        own = _small(deleted[here]) if r["part"] == DELETE else b""
-        out.append((r["block"], r["part"], kind, bucket, len(k), _small(known[here]), own))
+    del keys
+    of = np.repeat(part, size)
+    known = np.bincount(at, flat * (of != TEST), len(distinct)).astype(np.int64)
+    deleted = np.bincount(at, flat * (of == DELETE), len(distinct)).astype(np.int64)
+    del flat, of, distinct
+    ends = np.cumsum(size)
+    counts = [_small(known[at[b - n : b]]) for b, n in zip(ends, size)]
+    # a block of deleted documents is also told what they count among themselves
+    own = [_small(deleted[at[b - n : b]]) if p == DELETE else b"" for b, n, p in zip(ends, size, part)]
     if kind == 1:
         total = np.array([known.sum(), (known > 0).sum(), deleted.sum()], np.int64)
-        out.append((-1, -1, kind, bucket, 3, _small(total), b""))
-    return pa.Table.from_pylist([dict(zip(_ANSWER.names, r)) for r in out], schema=_ANSWER)
+        block, part, size = np.append(block, -1), np.append(part, -1), np.append(size, 3)
+        counts, own = [*counts, _small(total)], [*own, b""]
+    del at, known, deleted
+    n = len(block)
+    columns = [block, part, np.full(n, kind), np.full(n, bucket), size, counts, own]
+    out = pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWER)], schema=_ANSWER)
+    give_back()
+    return out
 
 
 def _told(tokens: _Tokens, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +241,13 @@ def _with_block(parts: DataFrame, size: int) -> DataFrame:
     """One row a block: its number, its part and its documents, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part, ids, texts in _blocked(batches, size):
+        for number, part, docs in _blocked(batches, size):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
+                out.write_table(docs.cast(_DOCS))
             columns = [pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "docs"])
+        give_back()
 
     return parts.mapInArrow(run, "block long, part int, docs binary")
 
@@ -230,11 +259,12 @@ def _documents(block: pa.Table) -> pa.Table:
 def _evidence(buckets: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         """How often each combination of counts occurs among the deleted tokens, as counted without them."""
-        t = _Tokens(_documents(block).column("text").to_pylist(), buckets)
+        t = _Tokens(_documents(block).column("text"), buckets)
         (single, pair), (less, less_pair) = _told(t, answers, "counts"), _told(t, answers, "deleted")
         c1, c2 = (single - less)[t.at], (pair - less_pair)[t.at_pair]
         c0 = (single - less)[t.at_before]
         combos, n = np.unique(np.stack([c2, c0, c1], 1), axis=0, return_counts=True)
+        give_back()
         return pa.table({"c2": combos[:, 0], "c0": combos[:, 1], "c1": combos[:, 2], "n": n})
 
     return run
@@ -272,7 +302,7 @@ def mixture(evidence: DataFrame, n_tokens: int, n_types: int, rounds: int = ROUN
 def _scored(buckets: int, weights: np.ndarray, n_tokens: int, n_types: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _documents(block)
-        t = _Tokens(texts.column("text").to_pylist(), buckets)
+        t = _Tokens(texts.column("text"), buckets)
         single, pair = _told(t, answers, "counts")
         c1, c0, c2 = single[t.at], single[t.at_before], pair[t.at_pair]
         w = weights[bucket_of(c0)]
@@ -281,6 +311,8 @@ def _scored(buckets: int, weights: np.ndarray, n_tokens: int, n_types: int):
         rows = len(t.first) - 1
         sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (c1 > 0, base, np.log10(p) if n_tokens else p * 0)]
         known, base_sum, model = (s[t.first[1:]] - s[t.first[:-1]] for s in sums)
+        del single, pair, c1, c0, c2, w, p, base, sums
+        give_back()
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
@@ -305,7 +337,7 @@ def language_model_scores(docs: DataFrame, block: int = BLOCK, bucket: int = BUC
     part = F.when(fold("doc_id", FOLDS) == HELD_OUT, TEST).when(deleted, DELETE).otherwise(LEARN).alias("part")
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part, "text")
     texts = written(_with_block(parts, block), FILE)  # few blocks a file, as a reader holds a file's rows at once
-    asked = texts.groupBy("block").applyInArrow(_asked(buckets), _ddl(_ASK))
+    asked = texts.mapInArrow(_asked(buckets), _ddl(_ASK))  # a row is a block: none has to move
     answers = written(asked.groupBy("kind", "bucket").applyInArrow(_answer, _ddl(_ANSWER)))
     totals = [_large(r.counts, 3) for r in answers.where("block = -1").select("counts").collect()]
     n_tokens, n_types, n_deleted = (int(x) for x in (np.sum(totals, 0) if totals else (0, 0, 0)))
