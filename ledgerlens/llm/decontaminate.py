@@ -10,10 +10,13 @@ window and item, of ``similarity`` or more.
 
 Which windows: one that holds no shingle of the item has similarity 0, and a
 window that does not begin with one does not get worse when it moves up to the
-next. So the windows that begin with a shingle of the item (at the end of a
-text: the last one that fits) hold the best window of every pair, and the others
-need no fingerprint. Windows with the same content are fingerprinted and
-compared once, however many texts hold the passage.
+next. So the windows that begin with a shingle of some item of their size (at
+the end of a text: the last one that fits) hold the best window of every pair,
+and the others need no fingerprint. Where they are is all that the shingles
+tell: a window is not paired with an item but by the index. (Fingerprints of
+all windows of all sizes would take some forty 64-bit sums a word.) Windows
+with the same content are fingerprinted and compared once, however many texts
+hold the passage.
 
 Words: maximal runs of letters and numbers, lower-cased; shingles: five words
 (an item of fewer words is one shingle). The benchmark side of each join is
@@ -94,13 +97,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             "key", "doc_id", F.lit(None).cast("long").alias("item_id"), *[F.lit(0).alias(c) for c in ("start_word", "n_words", "differing_bits")], F.lit(0.0).alias("similarity")
         ).where(F.lit(False))
     items = written(reduce(DataFrame.unionByName, by_width).withColumn("fp", _simhash(F.col("h"))))
-    parts = written(items.select("width", "item", "m", F.explode(F.array_distinct("h")).alias("h")))
+    sizes = written(items.select("width", "m", F.explode("h").alias("h")).distinct())  # where a window of m words may begin
     starts = []
     for w in widths:
         words = keyed.select("key", _words(F.col("text")).alias("w"))
         each = words.select("key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), w)).alias("pos", "h"))
-        hit = each.join(parts.where(F.col("width") == w).drop("width"), "h").where(F.col("n") >= F.col("m"))
-        starts.append(hit.select("key", "item", "m", F.lit(w).alias("width"), F.least("pos", F.col("n") - F.col("m")).alias("start")))
+        hit = each.join(sizes.where(F.col("width") == w).drop("width"), "h").where(F.col("n") >= F.col("m"))
+        last = F.col("n") - F.col("m")
+        starts.append(hit.select("key", "m", F.lit(w).alias("width"), F.least("pos", last).alias("start"), (F.col("pos") >= last).alias("last")))
     starts = written(reduce(DataFrame.unionByName, starts).distinct())
     keys = written(starts.select("key").distinct())
     texts = keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", _words(F.col("text")).alias("w"))
@@ -118,8 +122,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     near = near.select("window", "item", differing.cast("int").alias("differing_bits")).distinct()
     both = near.join(prints.select("window", F.col("h").alias("a")), "window").join(items.select("item", "item_id", F.col("h").alias("b")), "item")
     shared = both.withColumn("shared", _shared(F.col("a"), F.col("b"))).withColumn("all", F.size("a") + F.size("b") - F.col("shared"))
-    alike = written(shared.select("window", "item", "item_id", "differing_bits", (F.col("shared") / F.col("all")).alias("similarity")).where(F.col("similarity") >= similarity))
-    found = windows.select("key", "doc_id", "item", "window", "start", "m").join(alike, ["window", "item"])
+    begins = F.array_contains("b", F.get("a", F.lit(0))).alias("begins")
+    alike = written(shared.select("window", "item_id", "differing_bits", begins, (F.col("shared") / F.col("all")).alias("similarity")).where(F.col("similarity") >= similarity))
+    found = windows.select("key", "doc_id", "window", "start", "last", "m").join(alike, "window").where(F.col("begins") | F.col("last"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "m", "differing_bits")).alias("x")
     return found.groupBy("key", "doc_id", "item_id").agg(best).select(
         "key", "doc_id", "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.m").alias("n_words"), "x.differing_bits", "x.similarity"
