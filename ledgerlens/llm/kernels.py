@@ -9,7 +9,7 @@ single text, not on the number of rows in a batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -21,9 +21,22 @@ _SHORT = 64  # bytes up to which spans are hashed together, eight bytes of all a
 _SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
 
 
-def give_back() -> None:
-    """Hand memory that is free in this process back to the system: Python workers outlive their
-    tasks, and what they keep adds up on an executor over the stages of a job."""
+_kept: dict[str, object] = {}  # what this worker remembers for its next task
+
+
+def remembered(key: str, make: Callable[[], object]):
+    """The object that this worker keeps under ``key``, made when first asked for."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back(*keep: str) -> None:
+    """End of a task: forget all that is remembered but ``keep``, and hand free memory back to the
+    system. Python workers outlive their tasks and serve other stages; what each of them kept would
+    add up on an executor over the stages of a job."""
+    for key in [k for k in _kept if k not in keep]:
+        del _kept[key]
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # only some C libraries have it

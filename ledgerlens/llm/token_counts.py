@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import sliced
+from .kernels import give_back, remembered
 
 CHUNK = 256  # symbols of a chunk whose state map is composed
 PART = 1_000_000  # code points handled at once
@@ -338,13 +339,12 @@ class Transducer:
         return out
 
 
-_compiled: dict[str, Transducer] = {}
+def _key(path: str) -> str:
+    return f"transducer of {path}"
 
 
 def compiled(path: str) -> Transducer:
-    if path not in _compiled:
-        _compiled[path] = Transducer(path)
-    return _compiled[path]
+    return remembered(_key(path), lambda: Transducer(path))
 
 
 def _parts(text: str, size: int) -> Iterator[str]:
@@ -413,5 +413,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
             columns = [batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        give_back(_key(tokenizer))
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

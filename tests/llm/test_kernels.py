@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+import tokenizers
 
 from ledgerlens.llm import language_model, line_dedup, pack
 from ledgerlens.llm.features import text_stats
@@ -39,7 +40,7 @@ def test_words_that_a_polynomial_takes_for_equal():
     starts, ends = block.words()
     assert len(set(block.hashes(starts, ends).tolist())) == 2
     assert text_stats(block)["n_dup_lines"].tolist() == [0, 0, 0]
-    library = pack._tokenizer(public_tokenizers.path("word_bpe_49k.json"))[0]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = pack.token_ids([a.encode(), b.encode()], public_tokenizers.path("word_bpe_49k.json"), 1)
     for t, ids in zip((a, b), got):
         assert list(memoryview(ids).cast("B").cast("I")) == [*library.encode(t, add_special_tokens=False).ids, 1]

@@ -69,5 +69,41 @@ def test_crossover_keeps_a_solution():
     c = pk.mutate(pk.crossover(a, b, size, 64, rng), size, 64, rng)
     assert sorted(i for x in c for i in x) == list(range(300))
     assert all(sum(size[i] for i in x) <= 64 for x in c)
-    best = pk.evolve(size, [], 64, 3)
+    best, _ = pk.evolve(size, [], 64, 3)
     assert len(best) <= min(len(a), len(b))
+
+
+def triplets(n, capacity, seed):
+    """Lengths that fill ``n`` sequences exactly, three by three: hard for best fit."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a = rng.randint(capacity * 38 // 100, capacity * 49 // 100)
+        b = rng.randint(capacity // 4, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_evolution_betters_best_fit():
+    """Where best fit misses the bound, generations lower the number of sequences."""
+    size = triplets(40, 1000, 5)
+    plain = pk.best_fit(pk._decreasing(list(range(len(size))), size, random.Random(0)), size, [], 1000)
+    best, generations = pk.evolve(size, [plain], 1000, 1, 400)
+    assert generations > 0 and len(best) < len(plain)
+    assert sorted(i for b in best for i in b) == list(range(len(size)))
+    assert all(sum(size[i] for i in b) <= 1000 for b in best)
+    settled, none = pk.evolve([500] * 8, [], 1000, 1, 400)
+    assert len(settled) == 4 and none == 0
+
+
+def test_only_open_shards_evolve(spark):
+    rows = [(i, 500) for i in range(100)]
+    easy = pk._pack_shards(spark.createDataFrame(rows, "item long, length long"), 3, 1000, 2, 2, 0).collect()
+    assert {r.generations for r in easy} == {0}
+    size = triplets(40, 1000, 5)
+    hard = pk._pack_shards(spark.createDataFrame(list(enumerate(size)), "item long, length long"), 1, 1000, 2, 2, 0).collect()
+    assert {r.generations for r in hard} == {2 * pk.GENERATIONS}
+    assert sorted(r.item for r in hard) == list(range(len(size)))
+    plain = pk.best_fit(pk._decreasing(list(range(len(size))), size, random.Random(0)), size, [], 1000)
+    assert len({r.bin for r in hard}) < len(plain)
