@@ -48,6 +48,7 @@ EPOCHS = 2
 GENERATIONS = 30
 POPULATION = 8
 WELL_FILLED = 0.98  # share of the capacity from which crossover takes a bin over, and a level keeps it
+MOST_PARTS = 50_000  # tasks that shards are dealt to, at most
 LEVELS = 4  # times that badly filled bins are dealt anew
 MOST_WORDS = 800_000  # words whose ids a worker remembers, about (some 30 MB)
 BLOCK = 2_000_000  # bytes of text whose words are looked up at once
@@ -311,8 +312,9 @@ def _pack_shards(items: DataFrame, shards: int, capacity: int, islands: int, epo
     """item, length, shard, bin, offset, fill, generations of the best solution of every shard. ``items``: item, length."""
     shard = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard")
     columns = ["item", "length", "shard", "bin", "offset", "fill", "generations"]
-    dealt = items.select(shard, "item", "length").groupBy("shard")
-    first = written(dealt.applyInPandas(_first_solution(capacity), f"{_SOLUTION}, open boolean"))
+    # a shard is few bytes and much work: the number of tasks follows the shards
+    dealt = items.select(shard, "item", "length").repartition(min(shards, MOST_PARTS), "shard")
+    first = written(dealt.groupBy("shard").applyInPandas(_first_solution(capacity), f"{_SOLUTION}, open boolean"))
     settled = first.where("not open").select(columns)
     still = first.where("open")
     if still.isEmpty():
@@ -320,7 +322,8 @@ def _pack_shards(items: DataFrame, shards: int, capacity: int, islands: int, epo
     every = F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island")
     state = still.select("shard", every, "item", "length", "bin", "generations", F.lit(0).alias("origin"))
     for epoch in range(epochs):
-        state = written(state.groupBy("shard", "island").applyInPandas(_evolve_island(capacity, epoch), _SOLUTION))
+        spread = state.repartition(min(shards * islands, MOST_PARTS), "shard", "island")
+        state = written(spread.groupBy("shard", "island").applyInPandas(_evolve_island(capacity, epoch), _SOLUTION))
         if epoch + 1 < epochs:
             own = state.select("shard", "island", "item", "length", "bin", "generations", F.lit(0).alias("origin"))
             ring = ((F.col("island") + 1) % islands).cast("int").alias("island")
