@@ -25,6 +25,7 @@ So no task gets more than its share, and no group more than ``part_turns`` turns
 Defined results: null or empty role: ``unknown``; null text: empty; rows with a
 null conversation id are one conversation. A dialogue of system turns alone has
 no participant and no row. Other columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ left to Spark to broadcast by its size, else both sides are shuffled by hash.
 Defined results: null and empty texts and items match nothing, as do items
 without words. Rows that repeat id and text count once. Null ids are reported as
 null. Other columns are not read (``drop_contaminated`` passes them through).
+An empty table on either side gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -30,6 +30,7 @@ otherwise in a later pass, is of no account.
 Defined results: null text is empty and has one token, the end. Without
 learning documents every probability is 1. Repeated rows each count and each
 give one row; a null id counts as empty text when folds are dealt.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

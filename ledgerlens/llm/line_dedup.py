@@ -23,6 +23,7 @@ Order of places: doc_id (null last), content, line. A text's own repetitions
 count like those of other texts. Defined results: null text stays null, with no
 lines. Rows with the same id and text are one document and get the same result.
 Lines are split at \\n only and compared byte by byte. Other columns pass through.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ Defined results: null and empty text: all counts 0, base_failed, not kept.
 Without usable labels of both classes the model has no verdict: every text
 that passes the base rules is kept. Repeated rows each give one row; null ids
 stay null. Only ``doc_id`` and ``text`` are read.
+An empty table of documents gives
+an empty result, one of labels a model without a verdict.
 """
 
 from __future__ import annotations

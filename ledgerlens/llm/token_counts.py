@@ -28,6 +28,7 @@ Nothing is shuffled; a row's count depends on that row alone.
 Defined results: null text counts as empty (0 bytes, 0 tokens, not over the
 limit); one output row per input row, repeated rows and null ids included;
 only ``doc_id`` and ``text`` are read, other columns may have any name.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

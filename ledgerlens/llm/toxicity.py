@@ -29,6 +29,7 @@ Scoring reads each document once and shuffles nothing.
 Defined results: null text scores as empty text: no match, the score of a clean
 text. Without labels of both classes the fixed list alone decides. One row per
 input row, null ids included (a null id counts as empty text in ``held_out``).
+An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
