@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,24 @@ def map_texts(df: DataFrame, keep: list[str], compute, schema: str) -> DataFrame
     return df.select(*keep, "text").mapInArrow(run, schema)
 
 
+KNOWN_KEYS = 500_000  # keys that are sent to all executors, at most (4 MB)
+
+
+def key_list(keys: DataFrame, most: int | None = None):
+    """The values of a column of longs, as a broadcast sorted array; None if there are more than ``most``
+    (``KNOWN_KEYS``): what they pick out then has to be found by a join."""
+    if keys.count() > (KNOWN_KEYS if most is None else most):
+        return None
+    return keys.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in keys.collect()), np.int64))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -19,10 +19,12 @@ many texts share come last, so texts that otherwise differ do not meet there.
 Links in proportion to a list, not to its square: copies are one class with one
 sketch. In each list every class is first compared with two hubs: the class with
 the fewest values that are rarer (the centre of a group of edited copies), and
-one by chance. Classes so connected need not be compared again: what is left
-are the members of a list outside its largest component, and only these meet
-the others of the list. No pair of different texts that may be alike enough is
-left unexamined unless its two sides are already connected.
+one by chance. Classes so connected need not be compared again. Those that still
+share a list with another component have their full sets put into lists in the
+same way, where the numbers are exact at any size; there the members of a list
+outside its largest component meet the others of the list. No pair of different
+texts that may be alike enough is left unexamined unless its two sides are
+already connected.
 
 Words: A-Z lower-cased, maximal runs between ASCII white space. Shingles: ``width``
 words; a text with fewer words is one shingle. Defined results: null text, or
@@ -44,10 +46,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import sliced, written
+from .frames import among, key_list, sliced, written
 from .kernels import Block, blocks, give_back, windows
 
 WIDTH, PERCENT, SKETCH = 4, 80, 160
+_WHOLE = 1 << 40  # sketch size that holds every set
 DEVIATIONS = 6  # by which the common values of two sketches may fall short of the expected number
 
 
@@ -75,6 +78,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _names(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """128 bits that name each set, as two numbers."""
+    names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    hi, lo = [x >> 64 for x in names], [x & (1 << 64) - 1 for x in names]
+    return tuple(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hi, lo))
+
+
 def least_common(n: Column, union: Column, sketch: int, percent: int) -> Column:
     """How many retained values a set of ``n`` has in common with any that is alike enough, if both
     together have at most ``union``: a draw of ``sketch`` from the union, without replacement."""
@@ -92,11 +102,8 @@ def sketches(docs: DataFrame, width: int = WIDTH, sketch: int = SKETCH) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = list(_sets_of(batch.column("text"), width))
-            names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            hi = np.array([x >> 64 for x in names], np.uint64).view(np.int64)
-            lo = np.array([x & (1 << 64) - 1 for x in names], np.uint64).view(np.int64)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            made = [pa.array(n), pa.array(hi), pa.array(lo), _lists([s[:sketch] for s in sets])]
+            made = [pa.array(n), *_names(sets), _lists([s[:sketch] for s in sets])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content")] + made, names=["doc_id", "content", "n", "hi", "lo", "least"])
         give_back()
 
@@ -104,22 +111,33 @@ def sketches(docs: DataFrame, width: int = WIDTH, sketch: int = SKETCH) -> DataF
     return rows.mapInArrow(run, "doc_id long, content long, n long, hi long, lo long, least array<long>")
 
 
+def _row_key(none: Column, doc_id: Column, content: Column) -> Column:
+    return F.xxhash64(none, doc_id, content)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """hi, lo, items (the whole set) of the rows that ``wanted`` (none, doc_id, content) names."""
+    """hi, lo, items (the whole set) of the rows that ``wanted`` (none, doc_id, content) names.
+
+    Up to ``KNOWN_KEYS`` rows are picked out where the documents are read, by a list of their keys; more
+    than that are found by a join, for which all texts move once."""
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(_row_key(id_.isNull(), F.coalesce(id_, F.lit(0)), F.xxhash64("text")).alias("row_key"), "text")
+    keys = wanted.select(_row_key(F.col("none"), F.col("doc_id"), F.col("content")).alias("row_key"))
+    known = key_list(keys)
+    if known is None:
+        rows = rows.join(keys, "row_key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 100):
-            sets = list(_sets_of(batch.column("text"), width))
-            names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            hi = np.array([x >> 64 for x in names], np.uint64).view(np.int64)
-            lo = np.array([x & (1 << 64) - 1 for x in names], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), _lists(sets)], names=["hi", "lo", "items"])
+        for batch in sliced(batches):
+            if known is not None:
+                batch = batch.filter(pa.array(among(batch.column("row_key").to_numpy(), known.value)))
+            for few in sliced(iter([batch]), 100):
+                sets = list(_sets_of(few.column("text"), width))
+                hi, lo = _names(sets)
+                yield pa.RecordBatch.from_arrays([hi, lo, _lists(sets)], names=["hi", "lo", "items"])
         give_back()
 
-    id_ = F.col("doc_id").cast("long")
-    rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    found = rows.join(wanted, ["none", "doc_id", "content"], "left_semi").select("text")
-    return found.mapInArrow(run, "hi long, lo long, items array<long>").dropDuplicates(["hi", "lo"])
+    return rows.mapInArrow(run, "hi long, lo long, items array<long>").dropDuplicates(["hi", "lo"])
 
 
 def inverted_lists(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
@@ -169,43 +187,55 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_pairs(entries: DataFrame, roots: DataFrame, sketch: int, percent: int) -> DataFrame:
-    """a, b: pairs that meet in a list and are not connected yet. ``roots``: node, root of the connected classes."""
+def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``entries`` of the lists that hold more than one component, with root and main (the root of the
+    list's largest component), written. ``roots``: node, root of the connected classes."""
     placed = written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     parts = placed.groupBy("value", "root").agg(F.count("*").alias("members"))
     largest = parts.groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("members", "root")).alias("m"))
     mixed = written(largest.where("parts > 1").select("value", F.col("m.root").alias("main")))
-    left = written(placed.join(mixed, "value"))
+    return written(placed.join(mixed, "value"))
+
+
+def open_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that meet in a list of full sets and are not connected yet."""
+    left = _mixed(entries, roots)
     minor = _as("a", left.where("root <> main"), F.col("root").alias("root_a"))
     all_ = _as("b", left, F.col("root").alias("root_b"), "main")
     # a class of the largest component only comes second; two others meet once
     once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    return _ordered(minor.join(all_, "value").where((F.col("root_a") != F.col("root_b")) & once & _may_link(sketch, percent)))
+    return _ordered(minor.join(all_, "value").where((F.col("root_a") != F.col("root_b")) & once & _may_link(_WHOLE, percent)))
+
+
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, items (the whole set) of the classes in ``nodes``, written."""
+    named = written(classes.join(nodes, "node", "left_semi").select("node", "hi", "lo", "none", "doc_id", "content"))
+    found = full_sets(docs, named.select("none", "doc_id", "content"), width)
+    return written(found.join(named.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "items"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, sketch: int, percent: int) -> DataFrame:
-    """The pairs that are alike enough: union-sketch estimate first, then the full sets."""
-    pairs = written(pairs)
+def estimated(pairs: DataFrame, classes: DataFrame, sketch: int, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, whole (both sketches hold their sets) of the pairs that their union sketch does not
+    rule out, written; where ``whole``, they are alike enough."""
     of = classes.select("node", "n", "least")
     a = of.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("least").alias("least_a"))
     b = of.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("least").alias("least_b"))
+    met = written(pairs).join(a, "a").join(b, "b").withColumn("shared", F.array_intersect("least_a", "least_b"))
     both = F.size(F.array_intersect("shared", F.slice(F.sort_array(F.array_union("least_a", "least_b")), 1, sketch)))
-    met = pairs.join(a, "a").join(b, "b").withColumn("shared", F.array_intersect("least_a", "least_b"))
     whole = (F.col("n_a") <= sketch) & (F.col("n_b") <= sketch)
     n, all_ = F.col("n_a") + F.col("n_b"), F.size("shared")
-    exact = 100 * all_ >= percent * (n - all_)
     need = least_common(F.greatest("n_a", "n_b"), n * (100 / (100 + percent)), sketch, percent)
-    near = F.when(whole, exact).otherwise(both >= need)
-    found = written(met.where(near).select("a", "b", "n_a", "n_b", whole.alias("whole")))
-    sure, rest = found.where("whole").select("a", "b"), found.where("not whole")
-    nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = written(classes.join(nodes, "node", "left_semi").select("node", "hi", "lo", "none", "doc_id", "content"))
-    sets = written(full_sets(docs, named.select("none", "doc_id", "content"), width).join(named.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "items"))
+    near = F.when(whole, 100 * all_ >= percent * (n - all_)).otherwise(both >= need)
+    return written(met.where(near).select("a", "b", "n_a", "n_b", whole.alias("whole")))
+
+
+def verified(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: those of ``found`` (from ``estimated``) whose full sets are alike enough, written."""
     left, right = (sets.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     common = F.size(F.array_intersect("items_a", "items_b"))
-    full = rest.join(left, "a").join(right, "b").withColumn("common", common)
-    linked = full.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-    return written(sure.unionByName(linked))
+    full = found.where("not whole").join(left, "a").join(right, "b").withColumn("common", common)
+    linked = full.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+    return written(found.where("whole").select("a", "b").unionByName(linked.select("a", "b")))
 
 
 def classes_of(marked: DataFrame) -> DataFrame:
@@ -218,13 +248,19 @@ def classes_of(marked: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     marked = written(sketches(docs, width, sketch))
-    classes = classes_of(marked)
-    entries = written(inverted_lists(classes, sketch, percent))
-    links = verified(hub_pairs(entries, sketch, percent), classes, docs, width, sketch, percent)
-    rest = verified(open_pairs(entries, components(links), sketch, percent), classes, docs, width, sketch, percent)
+    all_classes = classes_of(marked)
+    entries = written(inverted_lists(all_classes, sketch, percent))
+    classes = written(all_classes.join(entries.select("node").distinct(), "node", "left_semi"))  # those that meet another
+    found = estimated(hub_pairs(entries, sketch, percent), classes, sketch, percent)
+    nodes = found.where("not whole").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = verified(found, sets_of(nodes, classes, docs, width), percent)
+    roots = components(links)
+    sets = sets_of(_mixed(entries, roots).select("node").distinct(), classes, docs, width)
+    full = inverted_lists(sets.select("node", F.size("items").cast("long").alias("n"), F.col("items").alias("least")), _WHOLE, percent)
+    rest = verified(estimated(open_pairs(written(full), roots, percent), classes, sketch, percent), sets, percent)
     roots = components(written(links.unionByName(rest)))
     id_ = F.when(~F.col("none"), F.col("doc_id"))
-    rooted = written(classes.select("node", "hi", "lo", id_.alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = written(all_classes.select("node", "hi", "lo", id_.alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = written(rooted.join(written(names), "root").select("hi", "lo", "component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
