@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from ledgerlens.llm import frames
 from ledgerlens.llm import simhash as sh
 
 
@@ -57,11 +58,12 @@ def test_fingerprint_matches_the_definition(rows):
         assert sh.fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_components_match_brute_force(docs_of, rows, crowd):
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in sh.near_duplicates(docs_of(rows), crowd=crowd).collect()}
+@pytest.mark.parametrize("max_bits, known", [(4, 500_000), (3, 0)])
+def test_components_match_brute_force(docs_of, rows, monkeypatch, max_bits, known):
+    monkeypatch.setattr(frames, "KNOWN_KEYS", known)  # cells picked out by a list, or by a join
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in sh.near_duplicates(docs_of(rows), max_bits=max_bits).collect()}
     prints = {d: slow_fingerprint(t) for d, t in rows}
-    want = slow_components(prints, 4)
+    want = slow_components(prints, max_bits)
     assert {d: f for d, (f, _) in got.items()} == {d: f"{p:016x}" for d, p in prints.items()}
     assert {d: c for d, (_, c) in got.items()} == want
 
@@ -83,9 +85,52 @@ def test_close_fingerprints_meet(spark):
     fps = sorted(fps)
     df = written(spark.createDataFrame([(f,) for f in fps], "fp long"))
     want = slow_components({f: f for f in fps}, 4)
-    for crowd in (1000, 0):
-        roots = {r.node: r.root for r in components(sh.links(df, 4, crowd)).collect()}
-        assert {f: roots.get(f, f) for f in fps} == want
+    roots = {r.node: r.root for r in components(sh.links(df, 4)).collect()}
+    assert {f: roots.get(f, f) for f in fps} == want
+
+
+def test_all_within_reach_share_a_cell():
+    import numpy as np
+
+    rng = random.Random(3)
+    for bits in (2, 3, 4, 6):
+        a = [rng.getrandbits(64) for _ in range(300)]
+        b = []
+        for x in a:
+            for k in rng.sample(range(64), bits):
+                x ^= 1 << k
+            b.append(x)
+        reach = (2 * bits // 3 + 1) // 2
+        of = []
+        for fps in (a, b) if bits < 6 else (a[:20], b[:20]):
+            cell, row = sh._cells(np.array(fps, np.uint64), reach)
+            sets = [set() for _ in fps]
+            for c, r in zip(cell.tolist(), row.tolist()):
+                assert c not in sets[r]
+                sets[r].add(c)
+            of.append(sets)
+        assert all(x & y for x, y in zip(*of))
+
+
+def test_strangers_do_not_meet_and_groups_are_linked_in_proportion(spark):
+    """Meetings a fingerprint stay low from 10 to 160 thousand random ones; links follow a group, not its square."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm.frames import written
+
+    rng = np.random.default_rng(7)
+    for n in (10_000, 160_000):
+        fps = written(spark.range(n).select(F.xxhash64("id").alias("fp")))
+        pairs = sh.meetings(fps).groupBy("cell").agg((F.count("*") * (F.count("*") - 1) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
+        assert pairs / n < 1
+    made = []
+    for n in (300, 1200):
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, (n, 3)).astype(np.uint64), axis=1)
+        group = np.unique(np.uint64(0x123456789ABCDEF) ^ flips)
+        fps = written(spark.createDataFrame([(int(f),) for f in group], "fp long"))
+        made.append(sh.links(fps).count() / len(group))
+    assert max(made) < 30 and made[1] < 2 * made[0] + 1
 
 
 def test_keep_one_and_defined_results(docs_of):
