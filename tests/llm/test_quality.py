@@ -191,3 +191,107 @@ def test_clashing_columns_and_long_texts(docs_of):
     got = quality_rank.quality_scores(docs_of([(1, long), (None, None)], extra=("score", "held_out", "predicted")), none)
     assert sorted(r.score for r in got.collect()) == [0.5, 0.5]
     assert quality_rank.quality_scores(docs_of([]), none).count() == 0
+
+
+def labelled_texts(spark, docs_of, rows):
+    """(doc_id, text, label) -> documents and labels."""
+    return docs_of([r[:2] for r in rows]), spark.createDataFrame([(i, k, 0) for i, _, k in rows], "doc_id long, quality int, toxic int")
+
+
+def in_hash_order(spark, n):
+    from pyspark.sql import functions as F
+
+    return [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+
+
+def test_ranking_learns_from_all_labelled_rows(spark, docs_of):
+    """A mark of bad texts that no row among the first 3,000 has (those were the sample once) is learned."""
+    rng = random.Random(3)
+    seen, rows = 0, []
+    for i in in_hash_order(spark, 7000):
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        bad = rng.random() < 0.3
+        seen += not held
+        mark = ("zebra" if held or seen > 3000 else "$$$") if bad else "stone"
+        words = [rng.choice(["river", "walked", "quiet", "the", "of"]) for _ in range(rng.randint(12, 20))] + [mark] * 3
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(not bad)))
+    assert seen > 5000
+    docs, labels = labelled_texts(spark, docs_of, rows)
+    got = {r.doc_id: r for r in quality_rank.quality_scores(docs, quality_rank.fit(docs, labels)).collect()}
+    for k in (0, 1):
+        assert np.mean([got[i].predicted == k for i, _, label in rows if got[i].held_out and label == k]) > 0.95
+
+
+@pytest.mark.parametrize("rare, cell", [(False, 20_000), (False, 10), (True, 20_000)])
+def test_ranking_of_parts_equals_a_plain_pairwise_fit(spark, docs_of, monkeypatch, rare, cell):
+    """The same steps by plain arrays over the pairs of all parts; small cells and a rare class copied to more parts change no row."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(linear, "CELL", cell)
+    monkeypatch.setattr(linear, "RARE", 50 if rare else 1)
+    rng = random.Random(15)
+    rows = []
+    for i in range(300):
+        bad = i % (30 if rare else 3) == 0
+        rows.append((i, " ".join(rng.choice(["river", "stone", "the", "of", "$$$" if bad else "quiet"]) for _ in range(rng.randint(4, 15))), int(not bad)))
+    rows[7] = (7, None, 1)
+    docs, labels = labelled_texts(spark, docs_of, rows)
+    docs = docs.union(docs.where("doc_id % 5 = 1").withColumn("text", F.lit("")))  # repeated ids: the greatest text counts
+    labels = labels.union(labels.where("doc_id % 4 = 1")).union(spark.createDataFrame([(None, 1, 0), (9000, 0, 0), (5, None, 0)], labels.schema))
+    table = linear.labelled_parts(docs, labels, "quality", 60, F.lit(True))
+    model = quality_rank.fit_parts(spark, table, steps=25)
+
+    home = {r.id: r.part for r in spark.range(300).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(5))).collect()}
+    members = {p: [r for r in rows if home[r[0]] == p] for p in range(5)}
+    held = {r[0] for group in members.values() for r, h in zip(group, linear.held_rows(len(group))) if h}
+    x = {i: slow_features(t) for i, t, _ in rows}
+    met = {}
+    for f in x.values():
+        for k in f:
+            met[k] = met.get(k, 0) + 1
+    used = [k for k in sorted(met) if k >= WIDTH or met[k] >= 15]
+    m = np.array([[x[i].get(k, 0.0) for k in used] for i in range(300)])
+    parts = {p: sorted({(r[0], r[2]) for q in range(5) for r in members[q] if r[0] not in held and (q == p or rare and r[2] == 0)}) for p in range(5)}
+    pairs = []
+    for group in parts.values():
+        good, bad = [i for i, k in group if k], [i for i, k in group if not k]
+        n = quality_rank.PARTNERS * max(len(good), len(bad))
+        # partners go by place in the part, held rows left out
+        pairs += [(good[k % len(good)], bad[(k + k // len(good) * 7) % len(bad)]) for k in range(n)]
+    i, j = np.array(pairs).T
+
+    def grad(w):
+        d = m[i] - m[j]
+        return (1 / (1 + np.exp(-(d @ w))) - 1) @ d / len(pairs) + 1e-5 * w
+
+    u = m @ linear.descend(grad, len(used), 25)
+    label = np.array([k for _, _, k in rows])
+    quarter = np.array(sorted(held))
+    threshold = np.quantile(u[quarter], 1 - label[quarter].mean())
+    slope, _ = linear.platt(u[quarter], label[quarter])
+    got = model.scores(Block([(t or "").encode() for _, t, _ in rows]))
+    assert slope > 0 and np.allclose(got, 1 / (1 + np.exp(-(slope * (u - threshold) + math.log(0.3 / 0.7)))), atol=2e-3)
+    roles = [(p.label, p.role) for p in linear._parts_of(table.collect())]
+    table.unpersist()
+    assert sum(int((role != linear.COPY).sum()) for _, role in roles) == 300
+    assert sum(int((role == linear.HELD).sum()) for _, role in roles) == len(held)
+    assert len(roles) == 5 and all(len(set(k[role != linear.HELD])) == 2 for k, role in roles)
+
+
+def test_curve_of_a_table_equals_the_array_one(spark):
+    rng = np.random.default_rng(4)
+    u = np.round(rng.normal(size=500), 2)
+    label = (u + rng.normal(size=500) > 0.8).astype(int)
+    table = spark.createDataFrame([(float(a), int(b)) for a, b in zip(u, label)], "u double, label int").repartition(3)
+    slope, q = linear.platt_of(table)
+    assert abs(slope - linear.platt(u, label)[0]) < 1e-9 and abs(q - np.quantile(u, 1 - label.mean())) < 1e-12
+    assert linear.platt_of(table.where("label = 1")) == (0.0, None)
+    assert linear.platt_of(table.limit(0)) == (0.0, None)
+
+
+def test_few_labels_and_one_class(spark, docs_of):
+    for labels in ([(1, 1)], [(1, 1), (2, 0)], [(1, 1), (2, 0), (3, 1), (4, 1), (6, 1)]):
+        docs, table = labelled_texts(spark, docs_of, [(i, f"text {i}", k) for i, k in labels])
+        got = quality_rank.quality_scores(docs, quality_rank.fit(docs, table)).collect()
+        assert len(got) == len(labels) and all(0 <= r.score <= 1 for r in got)
