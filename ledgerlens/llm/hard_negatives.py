@@ -11,16 +11,23 @@ belongs among the first ``positives`` rows of the anchor's label, or among the
 first ``negatives`` rows of a window of scores. The result is exact, so recall
 is 1; the codebooks only decide how early the walk can stop.
 
-Distribution: rows are dealt by a hash of their id into shards of about ``SHARD``
+Up to ``TOGETHER`` anchors of like cells walk together, by the greatest of their
+bounds; of the cells visited, each anchor leaves out those that its own bounds
+rule out, and the others are scored for all anchors in one matrix product.
+
+Distribution: rows are dealt by a hash into shards of about ``SHARD``
 rows, each with its own cells and radii, so that a third of all rows in one
-cell, or with one label, is spread like any other. The anchors are the stated
+cell, with one label or with one id, is spread like any other. The anchors are the stated
 query set; they meet all shards in blocks of about ``ANCHORS``. A task walks
-one shard for one block and gives at most ``positives`` (``negatives``) rows for
-each anchor (window); these are merged by anchor (window), first those of
-each group of ``MERGED`` shards.
+the shards of a part of the files (about ``GROUP`` of them) for the blocks of a
+part of the files, read from where they are written (no copies are shuffled). What it
+has found in one shard is where it begins in the next, and it gives at most
+``positives`` (``negatives``) rows for each anchor (window); these are merged by
+anchor (window), first those of each group of ``MERGED`` shards.
 
 Sample: at most ``SAMPLE`` rows, those with the least hash of their id, fit the
-codebooks; every row is indexed.
+codebooks; every row is indexed. The sample is all that the driver gets of the vectors:
+executors put it in order, out of the rows whose hash is below a limit.
 
 Defined results: rows with a null id, label or vector, or any component that is
 null or not finite, take no part. Rows equal in id, label and vector count once.
@@ -34,12 +41,12 @@ bits. Empty tables give an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .frames import written
@@ -49,9 +56,12 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # percent of the positive's score between which a negative's lies
 CODES = 16  # of each half
 SAMPLE = 4000
-SHARD, ANCHORS = 8192, 512
-VISIT = 256  # rows gathered from cells before they are scored
+SHARD, ANCHORS = 8192, 4096
+TOGETHER = 512  # anchors that walk together
+VISIT = 256  # rows gathered from cells before they are first scored; then twice as many each time, up to eight times
+GROUP = 64  # shards of a task, where there are many
 MERGED = 256
+_NONE, _ALL = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # as the least score asked for
 
 
 def usable_rows(embeddings: DataFrame) -> DataFrame:
@@ -92,6 +102,8 @@ class Index:
     cells: np.ndarray  # [code of the first half, code of the second, first row, row after the last]
     centres: tuple[np.ndarray, np.ndarray]
     radii: tuple[np.ndarray, np.ndarray]
+    most: int  # the greatest absolute value of a component
+    _as: dict = field(default_factory=dict)  # rows by type of number
 
     @staticmethod
     def of(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, centres: tuple[np.ndarray, np.ndarray]) -> Index:
@@ -108,110 +120,258 @@ class Index:
         cut = np.flatnonzero(np.diff(cell[order], prepend=-1))
         first, second = np.divmod(cell[order][cut], len(centres[1]))
         cells = np.stack([first, second, cut, np.append(cut[1:], len(order))], 1)
-        return Index(ids[order], labels[order], rows[order], cells, centres, (radii[0], radii[1]))
+        return Index(ids[order], labels[order], rows[order], cells, centres, (radii[0], radii[1]), _top(rows))
 
-    def visits(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(bound, rows): blocks of rows in the order in which the multi-sequence heap visits their cells;
-        ``bound`` is not below the score of any row to come, those of the block included."""
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """For each anchor (row of ``q``) and each code of the two halves: what a row with this code can add at
+        most; and the slack of doubles."""
         half = self.centres[0].shape[1]
-        halves = q[:half].astype(np.float64), q[half:].astype(np.float64)
-        sums = [c @ x + np.sqrt(x @ x) * r for c, r, x in zip(self.centres, self.radii, halves)]
+        one, two = (
+            x @ c.T + np.sqrt((x * x).sum(1))[:, None] * r for x, c, r in zip((q[:, :half].astype(np.float64), q[:, half:].astype(np.float64)), self.centres, self.radii)
+        )
+        return one, two, 1 + 1e-9 * float(np.abs(one).max(initial=0) + np.abs(two).max(initial=0))
+
+    def walk(self, one: np.ndarray, two: np.ndarray, slack: float) -> Iterator[tuple[float, np.ndarray]]:
+        """(bound, cells): runs of cells in the order in which the multi-sequence heap visits them;
+        ``bound`` is not below the score of any row to come, those of the run included, for any of the anchors."""
+        sums = one.max(0), two.max(0)
         order = [np.argsort(-s, kind="stable") for s in sums]
-        slack = 1 + 1e-9 * float(np.abs(sums[0]).max() + np.abs(sums[1]).max())  # of doubles
-        held = {(a, b): (x, y) for a, b, x, y in self.cells.tolist()}
-        one, two = (s[o].tolist() for s, o in zip(sums, order))
+        held = {(a, b): (k, y - x) for k, (a, b, x, y) in enumerate(self.cells.tolist())}
+        first, second = (s[o].tolist() for s, o in zip(sums, order))
         code = [o.tolist() for o in order]
-        heap, left = [(-one[0] - two[0], 0, 0)], len(held)
-        gathered: list[np.ndarray] = []
-        n, bound = 0, 0.0
+        heap, left = [(-first[0] - second[0], 0, 0)], len(held)
+        gathered: list[int] = []
+        n, most, bound = 0, VISIT, 0.0
         while left:
             minus, i, j = heapq.heappop(heap)
-            if j + 1 < len(two):
-                heapq.heappush(heap, (-one[i] - two[j + 1], i, j + 1))
-            if j == 0 and i + 1 < len(one):
-                heapq.heappush(heap, (-one[i + 1] - two[0], i + 1, 0))
-            rows = held.get((code[0][i], code[1][j]))
-            if rows is not None:
+            if j + 1 < len(second):
+                heapq.heappush(heap, (-first[i] - second[j + 1], i, j + 1))
+            if j == 0 and i + 1 < len(first):
+                heapq.heappush(heap, (-first[i + 1] - second[0], i + 1, 0))
+            cell = held.get((code[0][i], code[1][j]))
+            if cell is not None:
                 if not gathered:
                     bound = -minus + slack
-                gathered.append(np.arange(*rows))
-                n, left = n + rows[1] - rows[0], left - 1
-                if n >= VISIT or not left:
-                    yield bound, np.concatenate(gathered)
-                    gathered, n = [], 0
+                gathered.append(cell[0])
+                n, left = n + cell[1], left - 1
+                if n >= most or not left:
+                    yield bound, np.array(gathered)
+                    gathered, n, most = [], 0, min(2 * most, 8 * VISIT)
 
+    def rows_of(self, cells: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(a, b) for a, b in self.cells[cells, 2:].tolist()])
 
-def _dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products as whole numbers: in doubles where these are exact."""
-    top = float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1)
-    return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if top < 2**52 else rows @ q
+    def visits(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """(bound, rows) of the walk for one anchor."""
+        for bound, cells in self.walk(*self.bounds(q[None])):
+            yield bound, self.rows_of(cells)
+
+    def open_rows(self, q: np.ndarray, least: Callable[[], np.ndarray], begun: bool) -> Iterator[tuple[np.ndarray, np.ndarray | slice]]:
+        """(anchors, rows) to be scored, by the walk of all anchors together: no other row has a score of
+        ``least()`` or above (for each anchor, asked again at each run). The order of the cells only serves to
+        raise ``least()`` early: with lists full from other shards (``begun``), and bounds that rule out less than
+        half of the shard, rows are given in the order in which they are stored."""
+        one, two, slack = self.bounds(q)
+        if begun:
+            open_ = one[:, self.cells[:, 0]] + two[:, self.cells[:, 1]] + slack >= least()[:, None]
+            if 2 * (open_ @ (self.cells[:, 3] - self.cells[:, 2])).sum() > len(q) * len(self.ids):
+                who = np.flatnonzero(open_.any(1))
+                yield from ((who, slice(i, i + 8 * VISIT)) for i in range(0, len(self.ids), 8 * VISIT))
+                return
+        for bound, cells in self.walk(one, two, slack):
+            asked = least()
+            if bound < asked.min():
+                break
+            open_ = one[:, self.cells[cells, 0]] + two[:, self.cells[cells, 1]] + slack >= asked[:, None]
+            who = np.flatnonzero(open_.any(1))
+            if len(who):
+                yield who, self.rows_of(cells[open_.any(0)])
+
+    def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Inner products of anchors and rows, as whole numbers: in single or double precision where these are exact."""
+        top = self.most * _top(q) * max(q.shape[1], 1)
+        kind = np.float32 if top < 2**24 else np.float64 if top < 2**52 else np.int64
+        if kind not in self._as:
+            self._as[kind] = self.rows.astype(kind)
+        return q.astype(kind) @ self._as[kind][at].T
+
+
+def _top(x: np.ndarray) -> int:
+    """The greatest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+class First:
+    """The first ``k`` (score, id) of each of several lists, by falling score, then rising id."""
+
+    def __init__(self, lists: int, k: int):
+        self.k, self.n = k, np.zeros(lists, np.int64)
+        self.score, self.id_ = np.full((lists, k), _ALL), np.full((lists, k), _NONE)
+
+    def least(self) -> np.ndarray:
+        """The score below which a list takes no row."""
+        return self.score[:, -1]
+
+    def add(self, at: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
+        """Rows, each with its list."""
+        last = self.score[at, -1]
+        in_ = (self.n[at] < self.k) | (score > last) | (score == last) & (id_ < self.id_[at, -1])
+        if not in_.any():
+            return
+        at, score, id_ = at[in_], score[in_], id_[in_]
+        lists = np.unique(at)
+        held = np.arange(self.k) < self.n[lists][:, None]
+        at = np.concatenate([at, np.repeat(lists, self.n[lists])])
+        score, id_ = np.concatenate([score, self.score[lists][held]]), np.concatenate([id_, self.id_[lists][held]])
+        order = np.lexsort((id_, ~score, at))
+        at, score, id_ = at[order], score[order], id_[order]
+        begin = np.searchsorted(at, lists)
+        rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+        in_ = rank < self.k
+        self.score[at[in_], rank[in_]], self.id_[at[in_], rank[in_]] = score[in_], id_[in_]
+        self.n[lists] = np.minimum(np.diff(np.append(begin, len(at))), self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, score, id) of all rows."""
+        held = np.arange(self.k) < self.n[:, None]
+        return np.repeat(np.arange(len(self.n)), self.n), self.score[held], self.id_[held]
 
 
-def first_rows(index: Index, anchor: int, q: np.ndarray, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the first ``k`` other rows of the anchor's label in this shard."""
-    score, id_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for bound, at in index.visits(q):
-        if len(score) >= k and bound < score[k - 1]:
-            break
-        at = at[(index.labels[at] == label) & (index.ids[at] != anchor)]
-        score, id_ = np.concatenate([score, _dot(index.rows[at], q)]), np.concatenate([id_, index.ids[at]])
-        best = np.lexsort((id_, -score))[:k]
-        score, id_ = score[best], id_[best]
-    return score, id_
-
-
-def window_rows(index: Index, anchor: int, q: np.ndarray, label: int, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window (``low`` to ``high``, both included): (scores, ids) of the first ``k`` rows of other
-    labels in this shard whose score lies in it."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in low]
-    open_ = low <= high
-    for bound, at in index.visits(q):
-        for w, (score, _) in enumerate(found):
-            open_[w] &= bound >= (score[k - 1] if len(score) >= k else low[w])
-        if not open_.any():
-            break
-        at = at[index.labels[at] != label]
-        score = _dot(index.rows[at], q)
-        inside = (score >= low[open_].min()) & (score <= high[open_].max())
-        score, id_ = score[inside], index.ids[at][inside]
-        if not len(score):
+@dataclass
+class Anchors:
+    """A block of anchors, with the order in which they walk together: by label (``alike``) or not, then by cell."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    q: np.ndarray
+    centres: tuple[np.ndarray, np.ndarray]
+
+    def together(self, alike: bool) -> list[np.ndarray]:
+        half = self.centres[0].shape[1]
+        codes = [nearest(x.astype(np.float64), c) for x, c in zip((self.q[:, :half], self.q[:, half:]), self.centres)]
+        labels = self.labels if alike else np.zeros(len(self.ids), np.int64)
+        order = np.lexsort((codes[1], codes[0], labels))
+        groups = np.split(order, np.flatnonzero(np.diff(labels[order])) + 1) if len(order) else []
+        return [g[i : i + TOGETHER] for g in groups for i in range(0, len(g), TOGETHER)]
+
+
+def _full(found: First, lists: np.ndarray) -> bool:
+    """Whether nearly all of the lists are full."""
+    return 10 * np.count_nonzero(found.n[lists] == found.k) > 9 * lists.size
+
+
+def nearest_rows(index: Index, anchors: Anchors, group: np.ndarray, found: First) -> None:
+    """Adds the shard's rows to ``found``, the first other rows of the anchors' label; ``group``: anchors of one label."""
+    label, ids, q = anchors.labels[group[0]], anchors.ids[group], anchors.q[group]
+    if not (index.labels == label).any():
+        return
+    for who, at in index.open_rows(q, lambda: found.least()[group], _full(found, group)):
+        at = np.arange(len(index.ids))[at]
+        at = at[index.labels[at] == label]
+        if not len(at):
             continue
-        for w in np.flatnonzero(open_):
-            in_ = (score >= low[w]) & (score <= high[w])
-            if in_.any():
-                s, i = np.concatenate([found[w][0], score[in_]]), np.concatenate([found[w][1], id_[in_]])
-                best = np.lexsort((i, -s))[:k]
-                found[w] = s[best], i[best]
-    return found
+        score = index.scores(q[who], at)
+        least = found.least()[group[who]].astype(score.dtype)
+        if len(at) > found.k and (found.n[group[who]] < found.k).any():  # else every row would be sorted in
+            other = np.where(index.ids[at] == ids[who][:, None], score.min(initial=0), score)
+            least = np.maximum(least, np.partition(other, -found.k, axis=1)[:, -found.k])
+        a, r = np.divmod(np.flatnonzero(score >= least[:, None]), len(at))
+        other = index.ids[at[r]] != ids[who[a]]
+        a, r = a[other], r[other]
+        found.add(group[who[a]], score[a, r].astype(np.int64), index.ids[at[r]])
+
+
+def window_rows(index: Index, anchors: Anchors, group: np.ndarray, cut: np.ndarray, low: np.ndarray, high: np.ndarray, found: First) -> None:
+    """Adds the shard's rows to ``found``, the first rows of other labels in each window (``low`` to ``high``, both
+    included); the windows of anchor ``k`` are those from ``cut[k]`` to ``cut[k + 1]``."""
+    labels, q, first, n = anchors.labels[group], anchors.q[group], cut[group], cut[group + 1] - cut[group]
+    n_most = int(n.max(initial=0))
+    slot = first[:, None] + np.minimum(np.arange(n_most), np.maximum(n - 1, 0)[:, None])  # of each anchor, the last again
+    if not n_most:
+        return
+    has = n > 0
+    slot[~has] = 0
+    shut = (low > high)[slot] | ~has[:, None]
+    top = np.where(shut, _ALL, high[slot]).max(1)
+
+    def least() -> np.ndarray:
+        return np.where(shut, _NONE, np.maximum(low, found.least())[slot]).min(1)
+
+    for who, at in index.open_rows(q, least, _full(found, slot[~shut])):
+        score = index.scores(q[who], at)
+        inside = score >= least()[who].astype(score.dtype)[:, None]
+        if 32 * np.count_nonzero(inside) > inside.size:  # else few are above; they go with the list
+            inside &= score <= top[who].astype(score.dtype)[:, None]
+        a, r = np.divmod(np.flatnonzero(inside), inside.shape[1])
+        s, a, id_, label = score[a, r].astype(np.int64), who[a], index.ids[at][r], index.labels[at][r]
+        other = label != labels[a]
+        s, a, id_ = s[other], a[other], id_[other]
+        k = slot[a]
+        x, w = np.nonzero((np.arange(n_most) < n[a][:, None]) & (s[:, None] >= np.maximum(low, found.least())[k]) & (s[:, None] <= high[k]))
+        found.add(k[x, w], s[x], id_[x])
+
+
+def first_rows(index: Index, anchor: int, q: np.ndarray, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the first ``k`` other rows of one anchor's label in this shard."""
+    found = First(1, k)
+    nearest_rows(index, Anchors(np.array([anchor]), np.array([label]), q[None], index.centres), np.zeros(1, int), found)
+    return found.rows()[1:]
 
 
 # ----------------------------------------------------------------- tables
-def _packed(rows: DataFrame, n_parts: int, name: str, dim: int) -> DataFrame:
-    """One row for each of ``n_parts`` parts: its number, ids, labels and v (vectors one after the other, padded with zeros)."""
+def _sample(rows: DataFrame, n: int, sample: int) -> list[Row]:
+    """``v`` of the ``sample`` rows with the least hash of their id. The limit under which hashes are looked at leaves
+    about twice as many rows; where ids repeat it may leave too few, and is raised."""
+    hash_, share = F.xxhash64("vec_id"), 2 * sample / n
+    while True:
+        low = rows if share >= 1 else rows.where(hash_ <= int(2**64 * share) - 2**63)
+        some = written(low.orderBy(hash_, "vec_id", "label", "v").limit(sample).select("v")).collect()
+        if len(some) == sample or share >= 1:
+            return some
+        share *= 16
+
+
+def _packed(rows: DataFrame, n_parts: int, name: str, dim: int, kind: str) -> DataFrame:
+    """One row for each of ``n_parts`` parts: its number, and the bytes of its ids, labels and v (vectors one after the
+    other, padded with zeros, in numbers of type ``kind``)."""
 
     def run(table: pa.Table) -> pa.Table:
         v = table.column("v").combine_chunks()
         size = np.diff(v.offsets.to_numpy())
-        out = np.zeros((len(size), dim), np.int64)
+        out = np.zeros((len(size), dim), kind)
         out[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = v.flatten().to_numpy()
-        lists = [table.column(c).combine_chunks() for c in ("vec_id", "label")] + [pa.array(out.reshape(-1))]
-        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.table([table.column("part").slice(0, 1), *one], names=[name, "ids", "labels", "v"])
+        held = [table.column(c).to_numpy().tobytes() for c in ("vec_id", "label")] + [out.tobytes()]
+        return pa.table([table.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in held)], names=[name, "ids", "labels", "v"])
+
+    part = F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(n_parts)).cast("int").alias("part")
+    return rows.select(part, "vec_id", "label", "v").groupBy("part").applyInArrow(run, f"{name} int, ids binary, labels binary, v binary")
 
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int").alias("part")
-    return rows.select(part, "vec_id", "label", "v").groupBy("part").applyInArrow(run, f"{name} int, ids array<long>, labels array<long>, v array<long>")
 
+def _longs(batch: pa.RecordBatch, at: int, column: str, kind: str = "int64") -> np.ndarray:
+    return np.frombuffer(batch.column(column)[at].as_py(), kind)
 
-def _arrays(batch: pa.RecordBatch, at: int, prefix: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, labels, v = (batch.column(prefix + c)[at].values.to_numpy() for c in ("ids", "labels", "v"))
+
+def _arrays(batch: pa.RecordBatch, at: int, prefix: str, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, labels, v = (_longs(batch, at, prefix + c, t) for c, t in (("ids", "int64"), ("labels", "int64"), ("v", kind)))
     return ids, labels, v.reshape(len(ids), dim)
 
 
 def _meet(blocks: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
-    """Every block of anchors with every shard: a row each."""
-    every = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    """Every shard with every block of anchors, a row each: one shard after the other, its blocks in a row. Tasks read
+    both sides where they are written."""
+    tasks = max(-(-n_shards // GROUP), 2 * shards.sparkSession.sparkContext.defaultParallelism)
     held = shards.select("shard", *[F.col(c).alias(f"s_{c}") for c in ("ids", "labels", "v")])
-    return every.join(held, "shard")
+    return held.coalesce(tasks).crossJoin(blocks.hint("shuffle_replicate_nl"))
+
+
+def _met(batches: Iterator[pa.RecordBatch], dim: int, kind: str, centres: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, Index, int, pa.RecordBatch, int]]:
+    """(shard, its index, block, batch, place in it) of each row of ``_meet``."""
+    shard, index = None, None
+    for batch in batches:
+        for at in range(batch.num_rows):
+            if (k := batch.column("shard")[at].as_py()) != shard:
+                shard, index = k, Index.of(*_arrays(batch, at, "s_", dim, kind), centres)
+            yield shard, index, batch.column("block")[at].as_py(), batch, at
 
 
 def _first(df: DataFrame, by: list[str], id_: str, score: str, k: int) -> DataFrame:
@@ -230,55 +390,66 @@ def hard_negatives(embeddings: DataFrame, positives: int = POSITIVES, negatives:
     spark = embeddings.sparkSession
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     rows = written(usable_rows(embeddings))
-    n, dim, n_anchors = rows.agg(F.count("*"), F.max(F.size("v")), F.count_if(F.col("vec_id") % every == 0)).first()
+    n, dim, n_anchors, least, most = rows.agg(
+        F.count("*"), F.max(F.size("v")), F.count_if(F.col("vec_id") % every == 0), F.min(F.array_min("v")), F.max(F.array_max("v"))
+    ).first()
     if not n_anchors:
         return spark.createDataFrame([], schema)
-    dim = max(dim, 2)
+    dim, kind = max(dim, 2), "int16" if -(2**15) <= (least or 0) and (most or 0) < 2**15 else "int64"
     n_shards, n_blocks = -(-n // SHARD), -(-n_anchors // ANCHORS)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "label", "v").limit(sample).select("v").collect()
+    some = _sample(rows, n, sample)
     x = np.zeros((len(some), dim))
     for i, r in enumerate(some):
         x[i, : len(r.v)] = r.v
     centres = codebook(x[:, : dim // 2], CODES), codebook(x[:, dim // 2 :], CODES)
     shared = spark.sparkContext.broadcast(centres)
-    shards = written(_packed(rows, n_shards, "shard", dim))
-    anchors = written(_packed(rows.where(F.col("vec_id") % every == 0), n_blocks, "block", dim))
+    shards = written(_packed(rows, n_shards, "shard", dim, kind))
+    anchors = written(_packed(rows.where(F.col("vec_id") % every == 0), n_blocks, "block", dim, kind))
 
     def find_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                index = Index.of(*_arrays(batch, at, "s_", dim), shared.value)
-                made = []
-                for place, (a, label, q) in enumerate(zip(*_arrays(batch, at, "", dim))):
-                    score, id_ = first_rows(index, int(a), q, int(label), positives)
-                    made.append((np.full(len(id_), place), id_, score))
-                place, id_, score = (np.concatenate(x).astype(np.int64) for x in zip(*made))
-                same = [pa.array(np.full(len(id_), batch.column(c)[at].as_py(), np.int32)) for c in ("block", "shard")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(place), pa.array(id_), pa.array(score)], names=["block", "shard", "place", "positive_id", "positive_score"])
+        begun: dict[int, tuple[int, Anchors, list[np.ndarray], First]] = {}
+        for shard, index, block, batch, at in _met(batches, dim, kind, shared.value):
+            if block not in begun:
+                own = Anchors(*_arrays(batch, at, "", dim, kind), shared.value)
+                begun[block] = shard, own, own.together(alike=True), First(len(own.ids), positives)
+            _, own, groups, found = begun[block]
+            for group in groups:
+                nearest_rows(index, own, group, found)
+        for block, (shard, _, _, found) in begun.items():
+            place, score, id_ = found.rows()
+            same = [pa.array(np.full(len(id_), x, np.int32)) for x in (block, shard)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(place), pa.array(id_), pa.array(score)], names=["block", "shard", "place", "positive_id", "positive_score"])
         give_back()
 
     near = _meet(anchors, shards, n_shards).mapInArrow(find_positives, "block int, shard int, place long, positive_id long, positive_score long")
     chosen = _first(near, ["block", "place"], "positive_id", "positive_score", positives)
-    listed = chosen.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "rank", "positive_id", "positive_score"))).alias("w"))
-    asked = written(anchors.join(written(listed), "block").select("block", "ids", "labels", "v", "w.place", "w.positive_id", "w.positive_score"))
+
+    def listed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("rank", "ascending")])
+        names = ["place", "positive_id", "positive_score"]
+        return pa.table([table.column("block").slice(0, 1), *(pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in names)], names=["block", *names])
+
+    lists = chosen.groupBy("block").applyInArrow(listed, "block int, place binary, positive_id binary, positive_score binary")
+    asked = written(anchors.join(written(lists), "block").select("block", "ids", "labels", "v", "place", "positive_id", "positive_score"))
 
     def find_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                index = Index.of(*_arrays(batch, at, "s_", dim), shared.value)
-                ids, labels, v = _arrays(batch, at, "", dim)
-                place, positive, score = (batch.column(c)[at].values.to_numpy() for c in ("place", "positive_id", "positive_score"))
-                made = [(np.zeros(0, np.int64),) * 5]
-                cut = np.searchsorted(place, np.arange(len(ids) + 1))
-                for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                    # least and greatest whole scores with low * positive <= 100 * score <= high * positive
-                    lows = np.array([-(-low * s // 100) for s in score[a:b].tolist()], np.int64)
-                    highs = np.array([high * s // 100 for s in score[a:b].tolist()], np.int64)
-                    for w, (s, i) in enumerate(window_rows(index, int(ids[k]), v[k], int(labels[k]), lows, highs, negatives)):
-                        made.append((np.full(len(s), ids[k]), np.full(len(s), positive[a + w]), i, np.full(len(s), score[a + w]), s))
-                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made)]
-                shard = pa.array(np.full(len(columns[0]), batch.column("shard")[at].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([shard, *columns], names=["shard", "anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
+        begun: dict[int, tuple] = {}
+        for shard, index, block, batch, at in _met(batches, dim, kind, shared.value):
+            if block not in begun:
+                own = Anchors(*_arrays(batch, at, "", dim, kind), shared.value)
+                place, positive, score = (_longs(batch, at, c) for c in ("place", "positive_id", "positive_score"))
+                # least and greatest whole scores with low * positive <= 100 * score <= high * positive
+                lows = np.array([-(-low * s // 100) for s in score.tolist()], np.int64)
+                highs = np.array([high * s // 100 for s in score.tolist()], np.int64)
+                cut = np.searchsorted(place, np.arange(len(own.ids) + 1))
+                begun[block] = shard, own, own.together(alike=False), First(len(place), negatives), (cut, lows, highs), (own.ids[place], positive, score)
+            _, own, groups, found, windows, _ = begun[block]
+            for group in groups:
+                window_rows(index, own, group, *windows, found)
+        for shard, _, _, found, _, (anchor, positive, score) in begun.values():
+            window, s, id_ = found.rows()
+            columns = [np.full(len(window), shard, np.int32), anchor[window], positive[window], id_, score[window], s]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
         give_back()
 
     hard = _meet(asked, shards, n_shards).mapInArrow(find_negatives, "shard int, anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
