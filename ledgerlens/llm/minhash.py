@@ -17,9 +17,9 @@ is by how many texts retain a value, rarest first: values of a passage that
 many texts share come last, so texts that otherwise differ do not meet there.
 
 Links in proportion to a list, not to its square: copies are one class with one
-sketch. In each list every class is first compared with two hubs: the class with
-the fewest values that are rarer (the centre of a group of edited copies), and
-one by chance. Classes so connected need not be compared again. Those that still
+sketch. In each list every class is first compared with a hub: the class with
+the fewest values that are rarer (the centre of a group of edited copies) or, if that
+is the class itself or can't be alike enough, one by chance. Classes so connected need not be compared again. Those that still
 share a list with another component have their full sets put into lists in the
 same way, where the numbers are exact at any size; there the members of a list
 outside its largest component meet the others of the list. No pair of different
@@ -172,15 +172,20 @@ def _as(side: str, df: DataFrame, *more: str) -> DataFrame:
 
 
 def hub_pairs(entries: DataFrame, sketch: int, percent: int) -> DataFrame:
-    """a, b: every class of a list with either hub of the list, once."""
+    """a, b: every class of a list with the list's first hub or, if that is the class itself or can't be alike
+    enough, with the one by chance; once."""
     chance = F.xxhash64("node")
-    hubs = []
-    for key in (F.struct("before", chance), F.struct(chance)):
-        hub = F.min(F.struct(key.alias("k"), *_MEMBER)).alias("hub")
-        hubs.append(entries.groupBy("value").agg(hub).select("value", *[F.col(f"hub.{c}").alias(c) for c in _MEMBER]))
-    hub = written(hubs[0].unionByName(hubs[1]).distinct())
-    both = _as("b", entries).join(_as("a", hub), "value").where((F.col("a") != F.col("b")) & _may_link(sketch, percent))
-    return _ordered(both)
+    keys = {"first": F.struct("before", chance), "second": F.struct(chance)}
+    hub = [F.min(F.struct(key.alias("k"), *_MEMBER)).alias(name) for name, key in keys.items()]
+    hubs = written(entries.groupBy("value").agg(*hub).select("value", *[F.struct(*[f"{name}.{c}" for c in _MEMBER]).alias(name) for name in keys]))
+    met = _as("b", entries).join(hubs, "value")
+    alike = (F.col("a") != F.col("b")) & _may_link(sketch, percent)
+
+    def with_hub(met: DataFrame, hub: Column) -> DataFrame:
+        return met.withColumns({"a": hub["node"], **{f"{c}_a": hub[c] for c in _MEMBER[1:]}})
+
+    met = with_hub(met, F.col("first")).withColumn("by_first", alike)
+    return _ordered(with_hub(met, F.when(F.col("by_first"), F.col("first")).otherwise(F.col("second"))).where(alike))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
